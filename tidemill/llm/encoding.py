@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -18,6 +20,23 @@ WHITE_SPACE = "\t-\r \x85\xa0  -     　"
 #: Byte-level vocabularies: a word takes the one space before it; a run of white space is cut before that space.
 BYTE_CHUNK = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
 
+#: The pre-token patterns of the two vocabularies.
+PRE_TOKEN = {
+    "word": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"),
+    "byte": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"),
+}
+#: Below U+0250 every character is a letter, a digit or a mark of its own and stays as it is under NFC; such chunks go
+#: to the vocabulary's model pre-token by pre-token, all others through the whole tokenizer.
+PLAIN = re.compile("[ -~\xa1-\u024f]+\\Z")
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in byte-level vocabularies."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = dict(zip(printable, map(chr, printable)))
+    out.update(zip((b for b in range(256) if b not in out), map(chr, range(256, 512))))
+    return out
+
 
 class Encoder:
     """ids(text) as the tokenizers library gives them without added special tokens.
@@ -26,15 +45,17 @@ class Encoder:
     cache_entries bounds the memory; a full cache is emptied.
     """
 
-    def __init__(self, path: str, kind: str, cache_entries: int = 800_000) -> None:
+    def __init__(self, path: str, kind: str, cache_entries: int = 700_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kind, self.most, self.cache = kind, cache_entries, {}
+        self.kind, self.most, self.cache, self.words = kind, cache_entries, {}, {}
+        self.model, self.pattern, self.letters = self.tokenizer.model, PRE_TOKEN[kind], byte_letters()
         self.dtype = np.dtype("<u4") if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16 else np.dtype("<u2")
+        self.code = "I" if self.dtype.itemsize == 4 else "H"
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
@@ -50,10 +71,24 @@ class Encoder:
         if len(cache) + len(new) > self.most:
             cache.clear()
             new = set(chunks)
-        new = list(new)
-        texts = [c.decode("utf-8", "surrogatepass") for c in new] if self.kind == "word" else new
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            cache[c] = np.array(e.ids, self.dtype).tobytes()
+        odd, words, model = [], self.words, self.model
+        if len(words) > self.most:
+            words.clear()
+        for c in new:
+            text = c.decode("utf-8", "surrogatepass") if self.kind == "word" else c
+            low = text.lower() if self.kind == "word" else text
+            if len(low) != len(text) or not PLAIN.match(text):
+                odd.append(c)
+                continue
+            parts = self.pattern.findall(low)
+            for w in parts:
+                if w not in words:
+                    spelt = w if w.isascii() and w[0] > " " else "".join([self.letters[x] for x in w.encode()])
+                    words[w] = array(self.code, [t.id for t in model.tokenize(spelt)]).tobytes()
+            cache[c] = words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])
+        texts = [c.decode("utf-8", "surrogatepass") if self.kind == "word" else c for c in odd]
+        for c, e in zip(odd, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            cache[c] = array(self.code, e.ids).tobytes()
         return cache
 
     def encode(self, text: str | None) -> np.ndarray:

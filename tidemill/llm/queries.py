@@ -5,12 +5,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import format_chats
 from .common import table
+from .exact_dedup import exact_groups
+from .mixing import mix
 from .packing import pack
 from .token_counts import count_tokens
 from .token_files import token_files_round_trip
 
 
+#: Tools that conversations may call, by their argument schemas.
+CHAT_TOOLS = {
+    "search": {"properties": {"query": {"type": "string"}, "top": {"type": "integer"}}, "required": ["query"], "additionalProperties": False},
+    "calculate": {"properties": {"expression": {"type": "string"}}, "required": ["expression"], "additionalProperties": False},
+}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files_round_trip(spark, table(spark, sf_dir, "documents"))
 
@@ -19,12 +33,20 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"), CHAT_TOOLS)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op6_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_mixing, op3_token_files, op6_packing, op7_exact_dedup, op8_chat_format, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,22 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import vocabulary
-from .encoding import encoder, texts_of
+from .encoding import PLAIN, PRE_TOKEN, byte_letters, encoder, texts_of
 
 LONG = 64
 #: Chunks and pre-tokens kept with their tables in a worker; a full cache is emptied.
 CHUNKS, WORDS = 700_000, 500_000
 #: Texts whose new chunks are learnt at once.
 TOGETHER = 256
-#: Below U+0250 every character is a letter, a digit or a mark of its own and stays as it is under NFC.
-PLAIN = re.compile("[!-~\xa1-\u024f]+\\Z")
-#: Fixed value: the pre-token pattern of the word vocabulary.
-PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 CONTRACTION = re.compile(r"'(s|t|re|ve|m|ll|d)\Z")
 
 
@@ -69,7 +64,7 @@ class PrefixTables:
         for c in new:
             low = c.lower()
             if PLAIN.match(c) and len(low) == len(c) and len(c) <= LONG:
-                parts = PRE_TOKEN.findall(low)
+                parts = PRE_TOKEN["word"].findall(low)
                 words.update(parts)
                 plain.append((c, parts))
             else:
@@ -109,7 +104,7 @@ class PrefixTables:
         if len(low) != len(chunk) or not unicodedata.is_normalized("NFC", chunk):
             return one_by_one()
         out, base, at = np.zeros(len(chunk), np.int64), 0, 0
-        for m in PRE_TOKEN.finditer(low):
+        for m in PRE_TOKEN["word"].finditer(low):
             start, end = m.span()
             out[at:start] = base
             if CONTRACTION.match(m[0]) or end - start <= LONG:
@@ -140,9 +135,7 @@ class BpePrefixes:
             self.split.setdefault(a + b, (a, b))
         self.longest = max(map(len, self.vocab))
         self.pairs: dict[tuple[str, str], bool] = {}
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.letters = dict(zip(printable, map(chr, printable)))
-        self.letters.update(zip((b for b in range(256) if b not in self.letters), map(chr, range(256, 512))))
+        self.letters = byte_letters()
 
     def apart(self, a: str, b: str) -> bool:
         """True if encoding a + b gives back a, b: no merge across their border comes before the merges that made them."""
