@@ -1,9 +1,12 @@
 """Shared helpers of the training-data operators: durable intermediate tables, row identity and size-checked joins."""
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +71,33 @@ def hinted(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+#: Rows of an Arrow batch: texts can be long, and a batch stands in a worker's memory whole.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch to BATCH_ROWS rows, for operators that hand whole texts or packed rows to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+_held: dict = {}
+
+
+def in_worker(owner: tuple, make: Callable):
+    """What an operator keeps in a worker process between tasks. Workers are used again by other operators: a new owner frees what the last one held."""
+    if _held.get("owner") != owner:
+        _held.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # not this C library: memory goes back when it does
+            pass
+        _held.update(owner=owner, value=make())
+    return _held["value"]
+
+
 def normal_space(c: Column) -> Column:
     """Each run of ASCII white space as one space; null as the empty text."""
     return F.regexp_replace(F.coalesce(c, F.lit("")), ASCII_WS, " ")

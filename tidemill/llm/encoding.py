@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import regex
 
+from .common import in_worker
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: The code points with the Unicode property White_Space.
@@ -72,7 +74,7 @@ class Encoder:
             cache.clear()
             new = set(chunks)
         odd, words, model = [], self.words, self.model
-        if len(words) > self.most:
+        if len(words) > self.most // 3:
             words.clear()
         for c in new:
             text = c.decode("utf-8", "surrogatepass") if self.kind == "word" else c
@@ -100,14 +102,9 @@ class Encoder:
         return np.frombuffer(b"".join(map(self.learn(chunks).__getitem__, chunks)), self.dtype)
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
 def encoder(path: str, kind: str) -> Encoder:
     """One per worker process and vocabulary; workers are used again by later tasks."""
-    if (path, kind) not in _encoders:
-        _encoders[path, kind] = Encoder(path, kind)
-    return _encoders[path, kind]
+    return in_worker(("encoder", path, kind), lambda: Encoder(path, kind))
 
 
 def texts_of(column) -> Iterator[str | None]:

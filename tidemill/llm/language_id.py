@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import vocabulary
+from .common import bounded_batches, in_worker, vocabulary
 from .encoding import texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 #: Word scores a worker keeps; texts learnt from at once; words of more code points go through one by one, in logarithms.
-KEPT, TOGETHER, LONG = 600_000, 256, 60
+KEPT, TOGETHER, LONG = 400_000, 256, 60
 #: Added to each expected piece count.
 SMOOTHING = 0.05
 ROUNDS = 3
@@ -51,7 +52,7 @@ class Lattice:
     """The pieces that fit into each of a list of words, as edges from one position to a later one."""
 
     def __init__(self, words: list[str], pieces: dict[str, int], heads: set[str]) -> None:
-        word, start, end, piece, unknown = [], [], [], [], len(pieces)
+        word, start, end, piece, unknown = array("i"), array("i"), array("i"), array("i"), len(pieces)
         for k, w in enumerate(words):
             s = START + w
             n = len(s)
@@ -67,7 +68,7 @@ class Lattice:
                         break
                 if alone:  # a character that is no piece of its own
                     word.append(k), start.append(i), end.append(i + 1), piece.append(unknown)
-        self.word, self.start, self.end, self.piece = (np.array(x, np.int64) for x in (word, start, end, piece))
+        self.word, self.start, self.end, self.piece = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (word, start, end, piece))
         self.size = np.array([len(w) + 1 for w in words], np.int64)
         self.n, self.width = len(words), int(self.size.max(initial=0)) + 1
 
@@ -187,8 +188,9 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model", train_docs: int = 800, train_words: int = 400_000) -> Model | None:
+def train(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model", train_docs: int = 800, train_words: int = 200_000) -> Model | None:
     """From text and lang of labelled documents that are not held out."""
+    bounded_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & ~held_out()).select(F.col("lang").cast("string").alias("lang"), "text", "doc_id")
     priors = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     rate = F.lit(0.0)
@@ -211,9 +213,6 @@ def train(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model", train_d
     return fit([tuple(r) for r in rows], priors, vocabulary(vocabulary_file))
 
 
-_models: dict[int, Model] = {}
-
-
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs, by the model alone."""
     parts = (model.languages, model.log_p, model.log_prior, model.pieces) if model else None
@@ -224,10 +223,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         if sent.value is None:
             own = None
         else:
-            if key not in _models:
-                _models.clear()
-                _models[key] = Model(*sent.value)
-            own = _models[key]
+            own = in_worker(("language model", key), lambda: Model(*sent.value))
         for whole in batches:
             for at in range(0, whole.num_rows, TOGETHER):
                 b = whole.slice(at, TOGETHER)
@@ -253,10 +249,7 @@ def keep_known_languages(docs: DataFrame, least_score: float = 0.5) -> DataFrame
     def posterior(texts):
         import pandas as pd
 
-        if key not in _models:
-            _models.clear()
-            _models[key] = Model(*sent.value)
-        own, out = _models[key], []
+        own, out = in_worker(("language model", key), lambda: Model(*sent.value)), []
         for at in range(0, len(texts), TOGETHER):
             words = [words_of(t) for t in texts.iloc[at : at + TOGETHER]]
             own.learn(set().union(*words))

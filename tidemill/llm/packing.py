@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, vocabulary
+from .common import bounded_batches, stored, vocabulary
 from .encoding import encoder, texts_of
 
 PIECES = "part long, no long, doc_id long, piece long, start long, length long, ids_crc32 long"
@@ -34,6 +34,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     path = vocabulary(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

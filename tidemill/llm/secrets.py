@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_batches, stored
 from .encoding import texts_of
 
 #: The base patterns, in the order in which kinds are listed.
@@ -80,6 +80,7 @@ def scan(docs: DataFrame, owner_col: str, repository_col: str) -> DataFrame:
                 candidates.append([{"kind": k, "start": s, "end": e, "value": xxhash.xxh64_intdigest(v.encode()) - (1 << 63)} for k, s, e, v in both])
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), b.column(0), b.column(1), b.column(2), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests), pa.array(candidates, kind)], ["row", "doc_id", "owner", "repository", "n_assign", "n_access", "n_hex", "base_sha256", "candidates"])
 
+    bounded_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("bigint"), F.col(owner_col).cast("string").alias("owner"), F.col(repository_col).cast("string").alias("repository"), "text")
     return read.mapInArrow(run, f"row long, doc_id long, owner string, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, candidates {CANDIDATES}")
 

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import vocabulary
-from .encoding import PLAIN, PRE_TOKEN, byte_letters, encoder, texts_of
+from .common import bounded_batches, in_worker, vocabulary
+from .encoding import PLAIN, PRE_TOKEN, Encoder, byte_letters, texts_of
 
 LONG = 64
 #: Chunks and pre-tokens kept with their tables in a worker; a full cache is emptied.
@@ -41,7 +41,7 @@ class PrefixTables:
     """tables[chunk]: counts, one for each code point; entry i counts the tokens of chunk[: i + 1]."""
 
     def __init__(self, path: str) -> None:
-        self.encoder = encoder(path, "word")
+        self.encoder = Encoder(path, "word")
         self.tables: dict[str, np.ndarray | bytes] = {}
         self.words: dict[str, bytes] = {}
         self.path, self.bpe = path, BpePrefixes(path)
@@ -179,13 +179,8 @@ class BpePrefixes:
         raise ValueError("no token fits")
 
 
-_tables: dict[str, PrefixTables] = {}
-
-
 def tables_of(path: str) -> PrefixTables:
-    if path not in _tables:
-        _tables[path] = PrefixTables(path)
-    return _tables[path]
+    return in_worker(("prefix tables", path), lambda: PrefixTables(path))
 
 
 class PrefixIndex:
@@ -216,6 +211,7 @@ class PrefixIndex:
 
 def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text, from its chunks' prefix tables."""
+    bounded_batches(docs.sparkSession)
     path = vocabulary(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +237,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
 
 def prefix_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     """doc_id, n_tokens, prefix_tokens: the stored answer to every truncation question, entry i counting text[:i]."""
+    bounded_batches(docs.sparkSession)
     path = vocabulary(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

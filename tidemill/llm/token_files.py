@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, vocabulary
+from .common import bounded_batches, new_path, vocabulary
 from .encoding import encoder, texts_of
 
 MAGIC = b"TMTOK01\n"
@@ -151,6 +151,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
 
     The manifest's size follows the number of partitions, not of documents.
     """
+    bounded_batches(docs.sparkSession)
     path = vocabulary(tokenizer)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
