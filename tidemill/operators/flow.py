@@ -74,8 +74,8 @@ def causal_composite(df: DataFrame, columns: Sequence[str] = FEATURES, keys: Seq
     """
     k = len(columns)
     pairs = list(combinations_with_replacement(range(k), 2))
-    moments = expanding_moments(df, columns, keys)
-    schema = moments.select(*df.columns).schema.add("composite", "double").add("top_eigenvalue", "double").add("n_signal", "int")
+    moments, kept = expanding_moments(df, columns, keys), list(df.columns)
+    schema = moments.select(*df.columns).schema.add("composite", "double").add("top_eigenvalue", "double").add("n_signal", "integer")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -89,7 +89,7 @@ def causal_composite(df: DataFrame, columns: Sequence[str] = FEATURES, keys: Seq
             corr[:, range(k), range(k)] = 1.0  # a constant column is uncorrelated with all others
             z = (b[[f"__x{i}" for i in range(k)]].to_numpy() - b[[f"mean_{i}" for i in range(k)]].to_numpy()) / sd
             ready = (b["n"].to_numpy() >= least) & np.isfinite(z).all(axis=1) & np.isfinite(corr).all(axis=(1, 2))
-            out = b[df.columns].copy()
+            out = b[kept].copy()
             composite, top, signal = np.full(len(b), np.nan), np.full(len(b), np.nan), np.zeros(len(b), int)
             if ready.any():
                 values, vectors = top_vectors(corr[ready])

@@ -5,6 +5,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,3 +83,44 @@ def bootstrap(df: DataFrame, starts: DataFrame, block: int, returns: str = "log_
 
 def block_size(n: int) -> int:
     return min(n, max(10, round(2 * n ** (1 / 3))))
+
+
+def dfa_many(rows: np.ndarray, least: int = LEAST_BOX, boxes: int = BOXES) -> np.ndarray:
+    """Exponents of many series of one length at once (one a row)."""
+    n = rows.shape[1]
+    y = np.cumsum(rows - rows.mean(axis=1, keepdims=True), axis=1)
+    sizes = np.unique(np.rint(10 ** np.linspace(np.log10(least), np.log10(n // 4), boxes)).astype(int))
+    logs, f = [], []
+    for b in sizes[(sizes >= 4) & (n // np.maximum(sizes, 1) >= 2)]:
+        k, t = n // b, np.arange(b) - (b - 1) / 2
+        both = np.concatenate([y[:, : k * b].reshape(len(y), k, b), y[:, n - k * b :].reshape(len(y), k, b)], axis=1)
+        both = both - both.mean(axis=2, keepdims=True)
+        rest = (both**2).sum(axis=2) - (both @ t) ** 2 / (t @ t)
+        logs.append(np.log10(b))
+        f.append(np.sqrt(np.maximum(rest, 0).mean(axis=1) / b))
+    x, z = np.array(logs) - np.mean(logs), np.log10(np.maximum(np.array(f), 1e-300))
+    return x @ z / (x @ x)
+
+
+def window_multiplier(values: np.ndarray, resamples: int, seed: int) -> tuple[float, float, float]:
+    """Exponent of a window, and the percentile interval of its block bootstrap."""
+    n = len(values)
+    block = block_size(n)
+    starts = np.random.default_rng(seed).integers(0, n - block + 1, size=(resamples, -(-n // block)))
+    pieced = values[(starts[:, :, None] + np.arange(block)).reshape(resamples, -1)[:, :n]]
+    low, high = np.percentile(dfa_many(pieced), [100 * (1 - CONFIDENCE) / 2, 100 * (1 + CONFIDENCE) / 2])
+    return float(dfa_many(values[None])[0]), float(low), float(high)
+
+
+def with_interval(df: DataFrame, window: str, resamples: int = 50, seed: int = 0, least: int = 40) -> DataFrame:
+    """hurst, ci_low, ci_high of a column of windows (arrays); null where a window is shorter than ``least``.
+
+    For many short windows with many resamples each: a few hundred numbers go to numpy instead of a few million rows to a shuffle.
+    """
+    @F.pandas_udf("struct<hurst double, ci_low double, ci_high double>")
+    def found(windows: pd.Series) -> pd.DataFrame:
+        out = [window_multiplier(np.asarray(w, np.float64), resamples, seed) if len(w) >= least else (None, None, None) for w in windows]
+        return pd.DataFrame(out, columns=["hurst", "ci_low", "ci_high"], dtype="float64")
+
+    df = df.withColumn("__h", found(F.col(window)))
+    return df.withColumns({c: F.when(~F.isnan(f"__h.{c}"), F.col(f"__h.{c}")) for c in ("hurst", "ci_low", "ci_high")}).drop("__h")

@@ -1,3 +1,148 @@
-from .registry import Queries
+"""Queries on iterative and recursive models; SQL has no form of these, tests hold them against brute force."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import backtest, flow, online, regimes, reversion, stats
+from ..sources import synthetic
+from . import views as V
+from . import walk_forward as wf
+from .registry import Queries, query, rounded
+from .timeseries import level
+from .timeseries import scored as scored_view
 
 QUERIES: Queries = {}
+
+
+@query(QUERIES)
+def mp_composite(spark, d) -> DataFrame:
+    df = flow.whole_composite(V.flow_features(spark, d))
+    return rounded(df.select("series_id", "ts", "composite", "mp_upper", "n_signal"), 6)
+
+
+@query(QUERIES)
+def mp_composite_causal(spark, d) -> DataFrame:
+    df = flow.causal_composite(V.flow_features(spark, d).select("series_id", "ts", "bar_idx", *flow.FEATURES))
+    return rounded(df.select("series_id", "ts", "composite", "top_eigenvalue", "n_signal"), 6)
+
+
+@query(QUERIES)
+def ax_subsignal(spark, d) -> DataFrame:
+    df = reversion.with_trend_slope(reversion.ou_fit(level(spark, d), "level"), "level")
+    return rounded(df.where("bar_idx >= 20").select("series_id", "bar_idx", "regime", reversion.subsignal(F.col("regime"), F.col("level")).alias("subsignal")), 6)
+
+
+def whole(spark, d) -> DataFrame:
+    """All orders as one series."""
+    return V.series(spark, d, whole=True)
+
+
+@query(QUERIES)
+def hmm_fit(spark, d) -> DataFrame:
+    df = regimes.fit(whole(spark, d), starts=regimes.seeds_of(6))
+    return df.select("series_id", "start", F.round("score", 3).alias("score"), *(F.transform(c, lambda x: F.round(x, 4)).alias(c) for c in ("mu", "var", "nu")))
+
+
+@query(QUERIES)
+def hmm_gaussian(spark, d) -> DataFrame:
+    df = regimes.fit(whole(spark, d), starts=regimes.seeds_of(6), student=False)
+    return df.select("series_id", "start", F.round("score", 3).alias("score"), *(F.transform(c, lambda x: F.round(x, 4)).alias(c) for c in ("mu", "var")))
+
+
+@query(QUERIES)
+def hmm_filter(spark, d) -> DataFrame:
+    s = whole(spark, d)
+    return regimes.decode(s, regimes.fit(s, starts=regimes.seeds_of(3)), "filter").select("series_id", "bar_idx", "regime")
+
+
+@query(QUERIES)
+def hmm_viterbi(spark, d) -> DataFrame:
+    s = whole(spark, d)
+    return regimes.decode(s, regimes.fit(s, starts=regimes.seeds_of(3)), "viterbi").select("series_id", "bar_idx", "regime")
+
+
+@query(QUERIES)
+def walk_forward_regimes(spark, d) -> DataFrame:
+    return regimes.walk_forward_regimes(whole(spark, d), starts=regimes.seeds_of(2)).select("series_id", "fold", "bar_idx", "regime")
+
+
+def settings(spark) -> DataFrame:
+    return backtest.settings_table(spark)
+
+
+@query(QUERIES)
+def sized_backtest(spark, d) -> DataFrame:
+    one = backtest.settings_table(spark, (0.1,), (0.25,))
+    return rounded(backtest.sized_backtest(scored_view(spark, d), one), 8)
+
+
+@query(QUERIES)
+def sizing_sweep(spark, d) -> DataFrame:
+    return rounded(backtest.sweep(scored_view(spark, d), settings(spark)), 6)
+
+
+@query(QUERIES)
+def select_setting(spark, d) -> DataFrame:
+    return rounded(backtest.select_setting(backtest.sweep(scored_view(spark, d), settings(spark))), 6)
+
+
+@query(QUERIES)
+def conformal_gate(spark, d) -> DataFrame:
+    df = online.conformal_gate(scored_view(spark, d), "score", "next_return")
+    infinite = F.abs("lower") == float("inf")
+    return rounded(df.withColumns({c: F.when(~infinite, F.col(c)) for c in ("upper", "lower")}), 8)
+
+
+@query(QUERIES)
+def conformal_experiment(spark, d) -> DataFrame:
+    """Coverage, abstention and Sharpe ratio of gated positions at two levels, next to the ungated score's sign."""
+    s = scored_view(spark, d)
+    out = None
+    for alpha in (0.10, 0.25):
+        gate = online.conformal_gate(s, "score", "next_return", alpha).join(s.select("series_id", "bar_idx", "next_return", "score"), ["series_id", "bar_idx"])
+        gate = gate.withColumn("position", F.when(F.col("action") == "long", 1.0).when(F.col("action") == "short", -1.0).otherwise(0.0))
+        post = backtest.fixed_backtest(gate, "position", "next_return").where("bar_idx >= 90")
+        m = post.groupBy("series_id").agg(F.avg(F.col("covered").cast("double")).alias("coverage"), F.avg((F.col("action") == "abstain").cast("double")).alias("abstain_rate"), stats.sharpe(F.col("net_return"), 252).alias("sharpe"), stats.sharpe(S.sign(F.col("score")) * F.col("next_return"), 252).alias("sharpe_ungated"))
+        m = m.withColumn("alpha", F.lit(alpha))
+        out = m if out is None else out.unionByName(m)
+    return rounded(out, 6)
+
+
+@query(QUERIES)
+def bocpd(spark, d) -> DataFrame:
+    z = F.col("log_return")
+    df = online.changepoints(V.series(spark, d).withColumn("z", z), "z").withColumn("confidence", S.run_confidence(F.col("map_run")))
+    return rounded(df, 6)
+
+
+@query(QUERIES)
+def run_config_metrics(spark, d) -> DataFrame:
+    """The trial log's rows of the default configurations over the synthetic daily market."""
+    signals = market_signals(spark).persist()
+    configs = wf.default_configs()
+    return rounded(wf.trial_rows(wf.run_configs(signals, configs), configs, "walk_forward_v1"), 6)
+
+
+def market_signals(spark, n: int = 400, splits: int = 4) -> DataFrame:
+    from ..operators import options
+
+    df = synthetic.daily_bars(spark, n).withColumn("ts", F.col("date").cast("timestamp_ntz"))
+    events = spark.createDataFrame([("2020-10-02", "NFP", 1.8), ("2020-11-12", "CPI", 0.9), ("2021-01-27", "FOMC", -0.6), ("2021-02-25", "GDP", 1.2)], "day string, event_type string, surprise double")
+    events = events.select(F.col("day").cast("timestamp_ntz").alias("event_ts"), "event_type", "surprise")
+    return wf.build_signals(df, events, synthetic.flow_noise(spark, n), options.chain_noise(spark), splits, regimes.seeds_of(2), (3, 8, 18))
+
+
+@query(QUERIES)
+def regime_edge_permutation(spark, d) -> DataFrame:
+    return rounded(wf.regime_edge(synthetic.daily_bars(spark, 500), 3, 200, regimes.seeds_of(2)), 6)
+
+
+@query(QUERIES)
+def synthetic_intraday(spark, d) -> DataFrame:
+    """Fifteen-minute bars of the synthetic intraday market."""
+    from ..operators.bars import resample_bars
+
+    source = synthetic.SyntheticIntradaySource(spark, 5)
+    return resample_bars(source._bars, "15 minutes", "timestamp", ("volume", "bid_volume", "ask_volume"), ())

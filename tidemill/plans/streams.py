@@ -1,3 +1,37 @@
-from .registry import Queries
+"""Queries on streams, run over the events that are there."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..streaming import operators as ops
+from ..streaming.run import available_now, table_stream
+from . import views as V
+from .registry import Queries, query, rounded
 
 QUERIES: Queries = {}
+
+
+def ticks(spark, d) -> DataFrame:
+    return table_stream(spark, d, "events").select(F.col("event_type").alias("series_id"), "event_id", "ts", "value")
+
+
+@query(QUERIES, f"WITH {V.HOURLY} SELECT series_id, bar_ts, open, high, low, close, round(volume, 6) + 0 AS volume, n FROM hourly WHERE bar_ts + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events)")
+def stream_bars(spark, d) -> DataFrame:
+    """Append mode keeps back the bars that the watermark has not passed."""
+    out = available_now(ops.stream_bars(ticks(spark, d), "1 hour"))
+    return rounded(out.withColumn("bar_ts", F.col("bar_ts").cast("timestamp_ntz")), 6, ["volume"])
+
+
+@query(QUERIES)
+def stream_bocpd(spark, d) -> DataFrame:
+    rows = ticks(spark, d).where("series_id = 'purchase'").withColumn("bar_idx", F.col("event_id").cast("bigint")).withColumn("z", F.log1p("value"))
+    return rounded(available_now(ops.stream_changepoints(rows, "z")), 6)
+
+
+@query(QUERIES)
+def stream_gate(spark, d) -> DataFrame:
+    rows = ticks(spark, d).where("series_id = 'signup'").withColumn("bar_idx", F.col("event_id").cast("bigint")).withColumn("score", F.sin(F.col("event_id").cast("double"))).withColumn("realised", F.sin(F.col("event_id").cast("double")) + F.log1p("value") / 10)
+    out = available_now(ops.stream_gate(rows, "score", "realised", 1.0))
+    infinite = F.abs("lower") == float("inf")
+    return rounded(out.withColumns({c: F.when(~infinite, F.col(c)) for c in ("upper", "lower")}), 8)
