@@ -9,6 +9,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import regex
@@ -40,14 +41,22 @@ def byte_letters() -> dict[int, str]:
     return out
 
 
+#: Chunks kept by default: some 200 MB a worker.
+CACHE_ENTRIES = 650_000
+
+
+def older_half(cache: dict) -> dict:
+    return dict(islice(cache.items(), len(cache) // 2))
+
+
 class Encoder:
     """ids(text) as the tokenizers library gives them without added special tokens.
 
     kind "word": the vocabulary drops white space, so chunks end at ASCII white space. kind "byte": chunks follow BYTE_CHUNK.
-    cache_entries bounds the memory; a full cache is emptied.
+    cache_entries bounds the memory; a full cache keeps its older half, which has the common chunks.
     """
 
-    def __init__(self, path: str, kind: str, cache_entries: int = 700_000) -> None:
+    def __init__(self, path: str, kind: str, cache_entries: int = CACHE_ENTRIES) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -71,11 +80,11 @@ class Encoder:
         if not new:
             return cache
         if len(cache) + len(new) > self.most:
-            cache.clear()
-            new = set(chunks)
+            cache = self.cache = older_half(cache)
+            new = set(chunks).difference(cache)
         odd, words, model = [], self.words, self.model
-        if len(words) > self.most // 3:
-            words.clear()
+        if len(words) > self.most // 2:
+            words = self.words = older_half(words)
         for c in new:
             text = c.decode("utf-8", "surrogatepass") if self.kind == "word" else c
             low = text.lower() if self.kind == "word" else text
@@ -102,9 +111,9 @@ class Encoder:
         return np.frombuffer(b"".join(map(self.learn(chunks).__getitem__, chunks)), self.dtype)
 
 
-def encoder(path: str, kind: str) -> Encoder:
+def encoder(path: str, kind: str, cache_entries: int = CACHE_ENTRIES) -> Encoder:
     """One per worker process and vocabulary; workers are used again by later tasks."""
-    return in_worker(("encoder", path, kind), lambda: Encoder(path, kind))
+    return in_worker(("encoder", path, kind, cache_entries), lambda: Encoder(path, kind, cache_entries))
 
 
 def texts_of(column) -> Iterator[str | None]:

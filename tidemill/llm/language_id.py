@@ -18,6 +18,7 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from .encoding import texts_of
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 #: Word scores a worker keeps; texts learnt from at once; words of more code points go through one by one, in logarithms.
-KEPT, TOGETHER, LONG = 400_000, 256, 60
+KEPT, TOGETHER, LONG = 200_000, 256, 60
 #: Added to each expected piece count.
 SMOOTHING = 0.05
 ROUNDS = 3
@@ -142,8 +143,8 @@ class Model:
     def learn(self, words: set[str]) -> None:
         new = words.difference(self.at)
         if len(self.at) + len(new) > KEPT:
-            self.at.clear()
-            self.scores, new = self.scores[:0], words
+            self.at = dict(islice(self.at.items(), len(self.at) // 2))  # the older half has the common words
+            self.scores, new = self.scores[: len(self.at)], words.difference(self.at)
         if new:
             new = list(new)
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))

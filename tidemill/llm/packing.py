@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored, vocabulary
-from .encoding import encoder, texts_of
+from .encoding import CACHE_ENTRIES, encoder, texts_of
 
 PIECES = "part long, no long, doc_id long, piece long, start long, length long, ids_crc32 long"
 
@@ -33,12 +33,12 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return ([(0, head)] if head else []) + [(s, capacity) for s in range(head, n, capacity)]
 
 
-def pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int, cache_entries: int) -> DataFrame:
     bounded_batches(docs.sparkSession)
     path = vocabulary(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, no = encoder(path, kind), TaskContext.get().partitionId(), 0
+        enc, part, no = encoder(path, kind, cache_entries), TaskContext.get().partitionId(), 0
         for batch in batches:
             out: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
@@ -101,9 +101,9 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[list[int],
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", kind: str = "byte", end_id: int = 0, capacity: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", kind: str = "byte", end_id: int = 0, capacity: int = 2048, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece of every document at its place."""
-    cuts = stored(pieces(docs, tokenizer, kind, end_id, capacity), "pieces")
+    cuts = stored(pieces(docs, tokenizer, kind, end_id, capacity, cache_entries), "pieces")
     by_part = cuts.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     length, low, sequence, offset, base = [], [], [], [], 0

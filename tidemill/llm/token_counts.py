@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, in_worker, vocabulary
-from .encoding import PLAIN, PRE_TOKEN, Encoder, byte_letters, texts_of
+from .encoding import PLAIN, PRE_TOKEN, Encoder, byte_letters, older_half, texts_of
 
 LONG = 64
-#: Chunks and pre-tokens kept with their tables in a worker; a full cache is emptied.
-CHUNKS, WORDS = 700_000, 500_000
+#: Chunks and pre-tokens kept with their tables in a worker; a full cache keeps its older half, which has the common ones.
+CHUNKS, WORDS = 300_000, 200_000
 #: Texts whose new chunks are learnt at once.
 TOGETHER = 256
 CONTRACTION = re.compile(r"'(s|t|re|ve|m|ll|d)\Z")
@@ -56,10 +56,10 @@ class PrefixTables:
         if not new:
             return
         if len(self.tables) + len(new) > CHUNKS:
-            self.tables.clear()
-            new = chunks
+            self.tables = older_half(self.tables)
+            new = chunks.difference(self.tables)
         if len(self.words) > WORDS:
-            self.words.clear()
+            self.words = older_half(self.words)
         plain, words = [], set()
         for c in new:
             low = c.lower()
@@ -154,7 +154,7 @@ class BpePrefixes:
                     limit, left = ra, self.split[left][1]
                 else:
                     limit, right = rb + 1, self.split[right][0]  # of equal merges the left one comes first
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 500_000:
                 self.pairs.clear()
             self.pairs[a, b] = found
         return found
