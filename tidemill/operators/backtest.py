@@ -70,13 +70,14 @@ def agreement_of(score: Column, votes: Sequence[Column]) -> Column:
 
 
 def sized_backtest(df: DataFrame, settings: DataFrame, keys: Sequence[str] = KEYS, order: str = ORDER, band: str | None = None) -> DataFrame:
-    """Every series under every setting. df: keys, order, score, agreement, next_return[, a band column]; settings (a small table): setting, band, cdar_limit, alpha, window, cost.
+    """Every series under every setting, or under its own where df has a setting column. df: keys, order, score, agreement, next_return[, a band column]; settings (a small table): setting, band, cdar_limit, alpha, window, cost.
 
     Rows: keys, setting, order, position, net_return, is_trade, equity.
     """
     names = [*keys, "setting"]
-    rows = df.select(*keys, F.col(order).alias("__i"), "score", "agreement", "next_return", *([F.col(band).alias("__band")] if band else []))
-    rows = rows.crossJoin(F.broadcast(settings.select("setting", F.col("band").alias("__own_band"), "cdar_limit", "alpha", "window", "cost")))
+    rows = df.select(*keys, *(["setting"] if "setting" in df.columns else []), F.col(order).alias("__i"), "score", "agreement", "next_return", *([F.col(band).alias("__band")] if band else []))
+    table = F.broadcast(settings.select("setting", F.col("band").alias("__own_band"), "cdar_limit", "alpha", "window", "cost"))
+    rows = rows.join(table, "setting") if "setting" in df.columns else rows.crossJoin(table)
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part, s = part.sort_values("__i"), part.iloc[0]

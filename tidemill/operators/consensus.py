@@ -57,7 +57,8 @@ def hit_rate(vote: Column, outcome: Column, w) -> Column:
 def dynamic_weights(df: DataFrame, votes: Sequence[str], outcome: str, window: int = WINDOW, floor: float = FLOOR, keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:
     """weight_<vote> from the resolved rows before this one: what the hit rate has above chance, plus a floor; null on the first row."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-window, -1)
-    return df.withColumns({f"weight_{v}": F.greatest(hit_rate(F.col(v), F.col(outcome), w) - CHANCE, F.lit(0.0)) + floor for v in votes})
+    rates = {v: hit_rate(F.col(v), F.col(outcome), w) for v in votes}
+    return df.withColumns({f"weight_{v}": F.when(r.isNotNull(), F.greatest(r - CHANCE, F.lit(0.0)) + floor) for v, r in rates.items()})
 
 
 def held(df: DataFrame, columns: Sequence[str], every: int = EVERY, least: int = LEAST, start: float | None = 1.0, keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:

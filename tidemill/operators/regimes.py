@@ -20,9 +20,9 @@ MODEL = "pi array<double>, a array<double>, mu array<double>, var array<double>,
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
-    """By recurrence up to 6, then the asymptotic series."""
+    """By recurrence up to 10, then the asymptotic series."""
     x, out = np.array(x, np.float64), np.zeros(np.shape(x))
-    while (low := x < 6).any():
+    while (low := x < 10).any():
         out = out - np.where(low, 1 / np.where(low, x, 1), 0)
         x = np.where(low, x + 1, x)
     f = 1 / (x * x)

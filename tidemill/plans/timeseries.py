@@ -144,7 +144,7 @@ def consensus_hurst_band(spark, d) -> DataFrame:
     return df.select("series_id", "bar_idx", "score", "band", S.band_label(F.col("score"), F.col("band")).alias("label"))
 
 
-DYNAMIC = ", ".join(f"greatest(avg(CASE WHEN sign({v}) <> 0 AND sign({v}) = sign(nxt) THEN 1.0 ELSE 0.0 END) OVER w - 0.5::DOUBLE, 0) + 0.01::DOUBLE AS weight_{n}" for v, n in (("v_regime", "regime"), ("v_flow", "order_flow"), ("v_kernel", "kernel")))
+DYNAMIC = ", ".join(f"CASE WHEN count(*) OVER w > 0 THEN greatest(avg(CASE WHEN sign({v}) <> 0 AND sign({v}) = sign(nxt) THEN 1.0 ELSE 0.0 END) OVER w - 0.5::DOUBLE, 0) + 0.01::DOUBLE END AS weight_{n}" for v, n in (("v_regime", "regime"), ("v_flow", "order_flow"), ("v_kernel", "kernel")))
 
 
 def resolved(spark, d) -> DataFrame:

@@ -63,7 +63,7 @@ def report_lines(df: DataFrame, columns: Sequence[str], order: Sequence[str], di
     kinds = dict(df.dtypes)
 
     def cell(c: str) -> Column:
-        text = F.format_string(f"%.{digits}f", F.bround(F.col(c), digits)) if kinds[c] == "double" else F.col(c).cast("string")
+        text = F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.bround(F.col(c), digits))) if kinds[c] == "double" else F.col(c).cast("string")
         return F.lpad(F.coalesce(text, F.lit("")), width, " ")
 
     return df.orderBy(*order).select(F.concat(*(cell(c) for c in columns)).alias("value"))
