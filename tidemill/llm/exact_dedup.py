@@ -32,7 +32,7 @@ def refined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
     rows = docs.select(F.col(id_col).alias("doc_id"), clean.alias("clean"))
     sized = rows.withColumn("n", F.length("clean"))
     # Level 1: lengths that occur again.
-    lengths = sized.groupBy("n").count().where("count > 1").select(F.col("n").alias("n1"))
+    lengths = stored(sized.groupBy("n").count().where("count > 1").select(F.col("n").alias("n1")), "lengths")
     head = F.xxhash64(F.substring("clean", 1, HEAD))
     # Level 2: heads of those lengths that occur again. Only narrow rows leave the scan.
     heads = sized.select("n", head.alias("head")).join(hinted(lengths, BROADCAST_ROWS), F.col("n") == F.col("n1"), "left_semi")
