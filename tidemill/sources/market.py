@@ -16,11 +16,9 @@ FREQUENCIES = ("1min", "5min", "15min")
 
 def in_new_york(value: datetime, name: str = "timestamp") -> datetime:
     """The value itself; naive values and other zones raise."""
-    if value.tzinfo is None:
-        raise ValueError(f"{name} must be timezone-aware ({ZONE}); got a naive timestamp")
-    zone = getattr(value.tzinfo, "key", None) or getattr(value.tzinfo, "zone", None) or str(value.tzinfo)
+    zone = "no time zone" if value.tzinfo is None else str(value.tzinfo)
     if zone != ZONE:
-        raise ValueError(f"{name} must be in {ZONE}; got {zone}")
+        raise ValueError(f"{name} must be told in {ZONE}, it has {zone}")
     return value
 
 
