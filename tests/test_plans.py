@@ -147,3 +147,19 @@ def test_library_does_not_import_the_training_data_subpackage():
         for n in ast.walk(ast.parse(f.read_text())):
             if isinstance(n, ast.Import | ast.ImportFrom):
                 assert "llm" not in " ".join([getattr(n, "module", "") or "", *(a.name for a in n.names)]), f
+
+
+def test_experiment_appends_and_gates(spark, signals, tmp_path):
+    from tidemill.sources import files
+
+    (tmp_path / "r.txt").write_text("sweep\n\nneutral_band cdar_limit train_sharpe train_trades_per_week heldout_sharpe heldout_trades_per_week\n0.00 1.00 0.34 4.1 -0.45 4.0\n0.02 0.10 0.30 3.9 -0.40 3.8\n")
+    report = files.read_report(spark, f"file://{tmp_path}/r.txt", ["neutral_band", "cdar_limit", "train_sharpe", "train_trades_per_week", "heldout_sharpe", "heldout_trades_per_week"])
+    configs, log = [wf.Config("baseline_pre5a", wss_mode="off", hurst=False), wf.Config("a"), wf.Config("b", kernel_reading="momentum")], f"file://{tmp_path}/log"
+    rows, gate = wf.experiment(signals, log, configs, report=report)
+    g, whole = gate.first(), files.read_trial_log(spark, log)
+    assert whole.count() == 5 and g["num_trials"] == 5 and g["num_obs"] == 72 and g["trial_id"] == rows.where("reported").first()["trial_id"]
+    assert {r["trial_id"] for r in whole.where("group = 'calibration_sweep_v1'").collect()} == {"sweep_000", "sweep_001"}
+    with pytest.raises(RuntimeError):
+        wf.experiment(signals, log, configs)
+    costs = wf.cost_sensitivity(wf.scored(signals, configs[1]).drop("band"), 0.0, 1.0).orderBy("cost_bps").collect()
+    assert [c["cost_bps"] for c in costs] == [0.0, 5.0, 10.0] and costs[0]["train_sharpe_pp"] > costs[2]["train_sharpe_pp"]
