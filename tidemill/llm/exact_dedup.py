@@ -53,8 +53,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = refined(docs, id_col, text_col, digest_all)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
-    groups = rows.where("crowded").groupBy(F.col("text_sha256").alias("sha")).agg(first.alias("first"), F.count("*").alias("size")).where("size > 1")
-    out = rows.join(groups, F.col("crowded") & (F.col("text_sha256") == F.col("sha")), "left")
+    groups = stored(rows.where("crowded").groupBy(F.col("text_sha256").alias("sha")).agg(first.alias("first"), F.count("*").alias("size")).where("size > 1"), "groups")
+    # Two plain sides, so that a join of shuffled rows can split a text that a third of them share.
+    out = rows.join(hinted(groups, BROADCAST_ROWS), F.col("crowded") & (F.col("text_sha256") == F.col("sha")), "left")
     return out.select(
         "doc_id", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.id")).alias("keep_id"), F.coalesce("size", F.lit(1)).cast("bigint").alias("group_size"),
         F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept"), "text_sha256",
