@@ -14,18 +14,18 @@ from ..functions.frames import KEYS, ordered, trailing
 OU_WINDOW, TREND_WINDOW, TREND_BANDWIDTH, TREND_LOOKBACK = 100, 150, 20, 10
 
 
-def ou_fit(df: DataFrame, price: str = "close", window: int = OU_WINDOW, keys: Sequence[str] = KEYS) -> DataFrame:
+def ou_fit(df: DataFrame, price: str = "close", window: int = OU_WINDOW, keys: Sequence[str] = KEYS, least: int = 3) -> DataFrame:
     """theta, mu, half_life, resid_std of the regression of changes on levels over the last ``window`` prices.
 
-    mu and half_life are null unless theta is positive; all are null before three prices. The residual deviation comes from
+    mu and half_life are null unless theta is positive; all are null before ``least`` prices. The residual deviation comes from
     the variance of the changes and the squared correlation, so one frame gives everything.
     """
-    if window < 3:
+    if window < 3 or least < 3:
         raise ValueError("a fit needs at least 3 prices")
     level = F.lag(price).over(ordered(keys))
     df = df.withColumn("__x", level).withColumn("__d", F.col(price) - level)
     w = trailing(window - 1, keys)
-    ready = F.count("__d").over(w) >= 2
+    ready = F.count("__d").over(w) >= least - 1
     x, d = F.when(F.col("__d").isNotNull(), F.col("__x")), F.col("__d")
     slope, intercept = F.regr_slope(d, x).over(w), F.regr_intercept(d, x).over(w)
     sxx, syy, sxy = F.regr_sxx(d, x).over(w), F.regr_syy(d, x).over(w), F.regr_sxy(d, x).over(w)

@@ -30,8 +30,8 @@ def mp_composite_causal(spark, d) -> DataFrame:
 
 @query(QUERIES)
 def ax_subsignal(spark, d) -> DataFrame:
-    df = reversion.with_trend_slope(reversion.ou_fit(level(spark, d), "level"), "level")
-    return rounded(df.where("bar_idx >= 20").select("series_id", "bar_idx", "regime", reversion.subsignal(F.col("regime"), F.col("level")).alias("subsignal")), 6)
+    df = reversion.with_trend_slope(reversion.ou_fit(level(spark, d), "level", least=20), "level")
+    return rounded(df.select("series_id", "bar_idx", "regime", reversion.subsignal(F.col("regime"), F.col("level")).alias("subsignal")), 6)
 
 
 def whole(spark, d) -> DataFrame:
@@ -103,7 +103,7 @@ def conformal_experiment(spark, d) -> DataFrame:
     for alpha in (0.10, 0.25):
         gate = online.conformal_gate(s, "score", "next_return", alpha).join(s.select("series_id", "bar_idx", "next_return", "score"), ["series_id", "bar_idx"])
         gate = gate.withColumn("position", F.when(F.col("action") == "long", 1.0).when(F.col("action") == "short", -1.0).otherwise(0.0))
-        post = backtest.fixed_backtest(gate, "position", "next_return").where("bar_idx >= 90")
+        post = backtest.fixed_backtest(gate, "position", "next_return").where("abs(lower) <> double('infinity')")
         m = post.groupBy("series_id").agg(F.avg(F.col("covered").cast("double")).alias("coverage"), F.avg((F.col("action") == "abstain").cast("double")).alias("abstain_rate"), stats.sharpe(F.col("net_return"), 252).alias("sharpe"), stats.sharpe(S.sign(F.col("score")) * F.col("next_return"), 252).alias("sharpe_ungated"))
         m = m.withColumn("alpha", F.lit(alpha))
         out = m if out is None else out.unionByName(m)

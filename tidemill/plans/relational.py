@@ -144,10 +144,10 @@ def session_calendar(spark, d) -> DataFrame:
     return days.select("day", text.alias("fridays"))
 
 
-@query(QUERIES, f"""WITH {V.HOURLY}, r AS (SELECT event_id, ts FROM events WHERE event_type = 'purchase')
-SELECT r.event_id, r.ts, h.close AS spot FROM r ASOF LEFT JOIN (SELECT * FROM hourly WHERE series_id = 'view') h ON r.ts >= h.bar_ts""")
+@query(QUERIES, f"""WITH {V.HOURLY}
+SELECT r.event_id, r.ts, h.close AS spot FROM events r ASOF LEFT JOIN (SELECT * FROM hourly WHERE series_id = 'view') h ON r.ts >= h.bar_ts""")
 def asof_spot(spark, d) -> DataFrame:
-    requests = V.table(spark, d, "events").where("event_type = 'purchase'").select("event_id", "ts", F.lit("view").alias("series_id"))
+    requests = V.table(spark, d, "events").select("event_id", "ts", F.lit("view").alias("series_id"))
     found = bars.as_of(requests, V.hourly(spark, d).select("series_id", "bar_ts", "close"), ["series_id"], "ts", "bar_ts", ["close"])
     return found.select("event_id", "ts", F.col("close").alias("spot"))
 

@@ -25,13 +25,13 @@ def stream_bars(spark, d) -> DataFrame:
 
 @query(QUERIES)
 def stream_bocpd(spark, d) -> DataFrame:
-    rows = ticks(spark, d).where("series_id = 'purchase'").withColumn("bar_idx", F.col("event_id").cast("bigint")).withColumn("z", F.log1p("value"))
+    rows = ticks(spark, d).withColumn("bar_idx", F.col("event_id").cast("bigint")).withColumn("z", F.log1p("value"))
     return rounded(available_now(ops.stream_changepoints(rows, "z")), 6)
 
 
 @query(QUERIES)
 def stream_gate(spark, d) -> DataFrame:
-    rows = ticks(spark, d).where("series_id = 'signup'").withColumn("bar_idx", F.col("event_id").cast("bigint")).withColumn("score", F.sin(F.col("event_id").cast("double"))).withColumn("realised", F.sin(F.col("event_id").cast("double")) + F.log1p("value") / 10)
+    rows = ticks(spark, d).withColumn("bar_idx", F.col("event_id").cast("bigint")).withColumn("score", F.sin(F.col("event_id").cast("double"))).withColumn("realised", F.sin(F.col("event_id").cast("double")) + F.log1p("value") / 10)
     out = available_now(ops.stream_gate(rows, "score", "realised", 1.0))
     infinite = F.abs("lower") == float("inf")
     return rounded(out.withColumns({c: F.when(~infinite, F.col(c)) for c in ("upper", "lower")}), 8)

@@ -20,19 +20,19 @@ def level(spark, d) -> DataFrame:
 
 OU = f"""l AS (SELECT *, ln(close) AS level FROM series), x AS (SELECT *, lag(level) OVER ({BY}) AS x, level - lag(level) OVER ({BY}) AS dx FROM l),
 ou0 AS (SELECT *, count(dx) OVER w AS k, regr_slope(dx, x) OVER w AS b, regr_intercept(dx, x) OVER w AS a, regr_syy(dx, x) OVER w AS syy, regr_sxx(dx, x) OVER w AS sxx, regr_sxy(dx, x) OVER w AS sxy FROM x WINDOW w AS ({BY} ROWS BETWEEN 98 PRECEDING AND CURRENT ROW)),
-ou AS (SELECT *, CASE WHEN k >= 2 THEN -b END AS theta, CASE WHEN k >= 2 AND b < 0 THEN -a / b END AS mu, CASE WHEN k >= 2 AND b < 0 THEN ln(2) / -b END AS half_life, CASE WHEN k >= 2 THEN sqrt(greatest(0, syy - sxy * sxy / sxx) / k) END AS resid_std FROM ou0)"""
+ou AS (SELECT *, CASE WHEN k >= 19 THEN -b END AS theta, CASE WHEN k >= 19 AND b < 0 THEN -a / b END AS mu, CASE WHEN k >= 19 AND b < 0 THEN ln(2) / -b END AS half_life, CASE WHEN k >= 19 THEN sqrt(greatest(0, syy - sxy * sxy / sxx) / k) END AS resid_std FROM ou0)"""
 
 
-@query(QUERIES, f"WITH {V.SERIES}, {OU} SELECT series_id, bar_idx, round(theta, 6) + 0 AS theta, round(mu, 5) + 0 AS mu, round(half_life, 5) + 0 AS half_life, round(resid_std, 6) + 0 AS resid_std FROM ou WHERE bar_idx >= 20")
+@query(QUERIES, f"WITH {V.SERIES}, {OU} SELECT series_id, bar_idx, round(theta, 6) + 0 AS theta, round(mu, 5) + 0 AS mu, round(half_life, 5) + 0 AS half_life, round(resid_std, 6) + 0 AS resid_std FROM ou")
 def ou_half_life(spark, d) -> DataFrame:
-    df = reversion.ou_fit(level(spark, d), "level").where("bar_idx >= 20").select("series_id", "bar_idx", "theta", "mu", "half_life", "resid_std")
+    df = reversion.ou_fit(level(spark, d), "level", least=20).select("series_id", "bar_idx", "theta", "mu", "half_life", "resid_std")
     return rounded(rounded(df, 6, ["theta", "resid_std"]), 5, ["mu", "half_life"])
 
 
-@query(QUERIES, f"WITH {V.SERIES}, {OU} SELECT series_id, bar_idx, round(CASE WHEN half_life IS NULL OR resid_std = 0 THEN 0 ELSE tanh((mu - level) / (resid_std / sqrt(2 * theta)) / 2) END, 5) + 0 AS signal FROM ou WHERE regime = 'sideways' AND bar_idx >= 20")
+@query(QUERIES, f"WITH {V.SERIES}, {OU} SELECT series_id, bar_idx, round(CASE WHEN regime <> 'sideways' THEN NULL WHEN half_life IS NULL OR resid_std = 0 THEN 0 ELSE tanh((mu - level) / (resid_std / sqrt(2 * theta)) / 2) END, 5) + 0 AS signal FROM ou")
 def ax_reversion(spark, d) -> DataFrame:
-    df = reversion.ou_fit(level(spark, d), "level").where("regime = 'sideways' and bar_idx >= 20")
-    return rounded(df.select("series_id", "bar_idx", reversion.reversion_signal(F.col("level")).alias("signal")), 5)
+    df = reversion.ou_fit(level(spark, d), "level", least=20)
+    return rounded(df.select("series_id", "bar_idx", F.when(F.col("regime") == "sideways", reversion.reversion_signal(F.col("level"))).alias("signal")), 5)
 
 
 PARAMS = "params(event_type, w, half_life) AS (VALUES ('NFP', 1.0::DOUBLE, 3.0::DOUBLE), ('CPI', -1.0, 4.0), ('FOMC', -1.2, 7.0), ('GDP', 0.8, 3.0))"
@@ -64,7 +64,7 @@ KERNEL = f"""ks AS (SELECT *, list(close) OVER ({BY} ROWS BETWEEN 45 PRECEDING A
 ke AS (SELECT *, list_sum(list_transform(range(1, len(ys) + 1), lambda i: ys[i] * exp(-0.5::DOUBLE * pow((len(ys) - i) / 5.0::DOUBLE, 2)))) / list_sum(list_transform(range(1, len(ys) + 1), lambda i: exp(-0.5::DOUBLE * pow((len(ys) - i) / 5.0::DOUBLE, 2)))) AS estimate FROM ks),
 kd AS (SELECT *, CASE WHEN count(*) OVER w >= 20 AND stddev_samp(close - estimate) OVER w > 0 THEN (close - estimate) / stddev_samp(close - estimate) OVER w END AS deviation FROM ke WINDOW w AS ({BY} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))"""
 SIGNALS = f"""{KERNEL}, sg AS (SELECT series_id, bar_idx, regime, log_return, round((log_return - avg(log_return) OVER w) / stddev_samp(log_return) OVER w, 6) AS order_flow, round(deviation, 6) AS kernel_dev FROM kd WINDOW w AS ({BY} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
-v AS (SELECT *, {BIAS} AS v_regime, tanh(order_flow / 2) AS v_flow, -tanh(kernel_dev / 2) AS v_kernel FROM sg WHERE order_flow IS NOT NULL AND kernel_dev IS NOT NULL AND bar_idx >= 30)"""
+v AS (SELECT *, {BIAS} AS v_regime, tanh(order_flow / 2) AS v_flow, -tanh(kernel_dev / 2) AS v_kernel FROM sg WHERE order_flow IS NOT NULL AND kernel_dev IS NOT NULL)"""
 
 
 def signals(spark, d) -> DataFrame:
@@ -75,7 +75,7 @@ def signals(spark, d) -> DataFrame:
     w = trailing(20)
     sd = F.stddev_samp("log_return").over(w)
     df = df.withColumn("order_flow", F.round((F.col("log_return") - F.avg("log_return").over(w)) / F.when(sd > 0, sd), 6)).withColumn("kernel_dev", F.round("deviation", 6))
-    return df.where("order_flow is not null and kernel_dev is not null and bar_idx >= 30").select("series_id", "bar_idx", "regime", "log_return", "order_flow", "kernel_dev")
+    return df.where("order_flow is not null and kernel_dev is not null").select("series_id", "bar_idx", "regime", "log_return", "order_flow", "kernel_dev")
 
 
 def voted(spark, d, wss=None) -> tuple[DataFrame, dict]:
@@ -246,9 +246,9 @@ def dsr_gate(spark, d) -> DataFrame:
 
 
 @query(QUERIES, f"""WITH {V.FLOW}, c AS (SELECT ts, bar_idx, corr(volume_delta, volume_delta_ma3) OVER w AS a, corr(volume_delta, obi) OVER w AS b, corr(obi, obi_ma10) OVER w AS e FROM features WINDOW w AS ({BY} ROWS UNBOUNDED PRECEDING))
-SELECT ts, round(a, 6) + 0 AS delta_ma3, round(b, 6) + 0 AS delta_obi, round(e, 6) + 0 AS obi_ma10 FROM c WHERE bar_idx >= 59""")
+SELECT ts, CASE WHEN bar_idx >= 59 THEN round(a, 6) + 0 END AS delta_ma3, CASE WHEN bar_idx >= 59 THEN round(b, 6) + 0 END AS delta_obi, CASE WHEN bar_idx >= 59 THEN round(e, 6) + 0 END AS obi_ma10 FROM c""")
 def mp_corr_moments(spark, d) -> DataFrame:
     cols = ["volume_delta", "obi", "volume_delta_ma3", "obi_ma10"]
-    df = flow.expanding_moments(V.flow_features(spark, d), cols).where("bar_idx >= 59")
-    r = lambda i, j: F.try_divide(F.col(f"cov_{i}_{j}"), F.sqrt(F.col(f"cov_{i}_{i}") * F.col(f"cov_{j}_{j}")))
+    df = flow.expanding_moments(V.flow_features(spark, d), cols)
+    r = lambda i, j: F.when(F.col("n") >= flow.LEAST_ROWS, F.try_divide(F.col(f"cov_{i}_{j}"), F.sqrt(F.col(f"cov_{i}_{i}") * F.col(f"cov_{j}_{j}"))))
     return rounded(df.select("ts", r(0, 2).alias("delta_ma3"), r(0, 1).alias("delta_obi"), r(1, 3).alias("obi_ma10")), 6)
