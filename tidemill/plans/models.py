@@ -10,7 +10,7 @@ from ..sources import synthetic
 from . import views as V
 from . import walk_forward as wf
 from .registry import Queries, query, rounded
-from .timeseries import level
+from .timeseries import BY, SIGNALS, level
 from .timeseries import scored as scored_view
 
 QUERIES: Queries = {}
@@ -72,23 +72,63 @@ def settings(spark) -> DataFrame:
     return backtest.settings_table(spark)
 
 
-@query(QUERIES)
+def path_sql(settings: str) -> str:
+    """The sized path of every series under every row of settings (setting, band, cdar_limit), step by step."""
+    return f"""WITH RECURSIVE {V.SERIES}, {SIGNALS}, n AS (SELECT *, (v_regime + v_flow + v_kernel) / 3 AS score, lead(log_return) OVER ({BY}) AS r FROM v),
+a AS MATERIALIZED (SELECT series_id, bar_idx, score, r, ((sign(v_regime) = sign(score))::INT + (sign(v_flow) = sign(score))::INT + (sign(v_kernel) = sign(score))::INT) / 3.0::DOUBLE AS agreement, row_number() OVER ({BY}) AS t FROM n WHERE r IS NOT NULL),
+st AS ({settings}),
+w(series_id, setting, band, cdar_limit, t, equity, peak, dds, position, net_return, is_trade) AS (
+ SELECT DISTINCT series_id, setting, band, cdar_limit, 0::BIGINT, 1.0::DOUBLE, 1.0::DOUBLE, [0.0::DOUBLE], 0.0::DOUBLE, 0.0::DOUBLE, false FROM a, st
+ UNION ALL SELECT series_id, setting, band, cdar_limit, t, equity * (1 + net), greatest(peak, equity * (1 + net)),
+  list_append(dds[(CASE WHEN len(dds) >= 252 THEN 2 ELSE 1 END):], (greatest(peak, equity * (1 + net)) - equity * (1 + net)) / greatest(peak, equity * (1 + net))), pos, net, sign(pos) <> sign(prev)
+  FROM (SELECT *, pos * r - 0.0002::DOUBLE * abs(pos - prev) AS net FROM (
+   SELECT w.series_id, w.setting, w.band, w.cdar_limit, a.t, w.equity, w.peak, w.dds, w.position AS prev, a.r,
+    CASE WHEN abs(a.score) <= w.band THEN 0 ELSE sign(a.score) * (abs(a.score) - w.band) / (1 - w.band) * a.agreement
+     * greatest(0, least(1, 1 - list_sum(list_reverse_sort(w.dds)[1:greatest(1, ceil(round(0.05::DOUBLE * len(w.dds), 9))::INT)]) / greatest(1, ceil(round(0.05::DOUBLE * len(w.dds), 9))::INT) / w.cdar_limit)) END AS pos
+   FROM w JOIN a ON a.series_id = w.series_id AND a.t = w.t + 1)))"""
+
+
+SIZED = path_sql("SELECT 0 AS setting, 0.1::DOUBLE AS band, 0.25::DOUBLE AS cdar_limit") + """
+SELECT w.series_id, setting, a.bar_idx, round(position, 8) + 0 AS position, round(net_return, 8) + 0 AS net_return, is_trade, round(equity, 8) + 0 AS equity FROM w JOIN a ON a.series_id = w.series_id AND a.t = w.t"""
+
+
+@query(QUERIES, SIZED)
 def sized_backtest(spark, d) -> DataFrame:
     one = backtest.settings_table(spark, (0.1,), (0.25,))
     return rounded(backtest.sized_backtest(scored_view(spark, d), one), 8)
 
 
-@query(QUERIES)
+GRID = "SELECT (i * 7 + j)::INT AS setting, round(0.02::DOUBLE * i, 2) AS band, ([0.1::DOUBLE, 0.15, 0.2, 0.25, 0.3, 0.4, 1.0])[j + 1] AS cdar_limit FROM range(26) a(i), range(7) b(j)"
+_PART = ", ".join(
+    f"CASE WHEN stddev_samp(net_return) FILTER ({w}) > 0 THEN avg(net_return) FILTER ({w}) / stddev_samp(net_return) FILTER ({w}) * sqrt(252) ELSE 0 END AS {h}_sharpe_ann, (count(*) FILTER ({w} AND is_trade))::DOUBLE / count(*) FILTER ({w}) * 5 AS {h}_trades_per_week"
+    for h, w in (("train", "t <= cut"), ("heldout", "t > cut"))
+)
+SWEEP = path_sql(GRID) + f""", k AS (SELECT series_id, round_even(count(*) * 0.6::DOUBLE, 0) AS cut FROM a GROUP BY series_id),
+m AS (SELECT w.series_id, setting, any_value(band) AS band, any_value(cdar_limit) AS cdar_limit, {_PART} FROM w JOIN k ON k.series_id = w.series_id WHERE t > 0 GROUP BY w.series_id, setting)"""
+_ROUNDED = "series_id, setting, round(band, 6) + 0 AS band, round(cdar_limit, 6) + 0 AS cdar_limit, " + ", ".join(f"round({c}, 6) + 0 AS {c}" for c in ("train_sharpe_ann", "train_trades_per_week", "heldout_sharpe_ann", "heldout_trades_per_week"))
+
+
+@query(QUERIES, f"{SWEEP} SELECT {_ROUNDED} FROM m")
 def sizing_sweep(spark, d) -> DataFrame:
     return rounded(backtest.sweep(scored_view(spark, d), settings(spark)), 6)
 
 
-@query(QUERIES)
+@query(QUERIES, f"{SWEEP} SELECT {_ROUNDED} FROM m WHERE train_trades_per_week BETWEEN 1 AND 5 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY train_sharpe_ann DESC, setting) = 1")
 def select_setting(spark, d) -> DataFrame:
     return rounded(backtest.select_setting(backtest.sweep(scored_view(spark, d), settings(spark))), 6)
 
 
-@query(QUERIES)
+GATE = f"""WITH RECURSIVE {V.SERIES}, {SIGNALS}, n AS (SELECT series_id, bar_idx, (v_regime + v_flow + v_kernel) / 3 AS s, lead(log_return) OVER ({BY}) AS r FROM v),
+g AS (SELECT *, row_number() OVER ({BY}) AS t FROM n WHERE r IS NOT NULL), sc AS (SELECT series_id, sum(s * r) / sum(s * s) AS scale FROM g WHERE t <= 60 GROUP BY series_id),
+e0 AS (SELECT g.*, scale, abs(r - scale * s) AS err FROM g JOIN sc USING (series_id)), e AS MATERIALIZED (SELECT *, avg(err) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS m FROM e0),
+w AS (SELECT series_id, t, CASE WHEN err > 0 THEN err ELSE 1e-6::DOUBLE END AS width FROM e WHERE t = 1
+ UNION ALL SELECT e.series_id, e.t, greatest(w.width + 0.05::DOUBLE * greatest(e.m, 1e-12::DOUBLE) * ((e.err > w.width)::INT - 0.1::DOUBLE), 1e-12::DOUBLE) FROM w JOIN e ON e.series_id = w.series_id AND e.t = w.t + 1),
+i AS (SELECT e.*, CASE WHEN e.t > 60 THEN w.width END AS width FROM e LEFT JOIN w ON w.series_id = e.series_id AND w.t = e.t - 1)
+SELECT series_id, bar_idx, CASE WHEN scale * s - width > 0 THEN 'long' WHEN scale * s + width < 0 THEN 'short' ELSE 'abstain' END AS action, round(scale * s - width, 8) + 0 AS lower, round(scale * s + width, 8) + 0 AS upper,
+ width IS NULL OR (r >= scale * s - width AND r <= scale * s + width) AS covered, round(scale, 8) + 0 AS scale FROM i"""
+
+
+@query(QUERIES, GATE)
 def conformal_gate(spark, d) -> DataFrame:
     df = online.conformal_gate(scored_view(spark, d), "score", "next_return")
     infinite = F.abs("lower") == float("inf")
@@ -110,7 +150,21 @@ def conformal_experiment(spark, d) -> DataFrame:
     return rounded(out, 6)
 
 
-@query(QUERIES)
+BOCPD = f"""WITH RECURSIVE {V.SERIES}, x AS MATERIALIZED (SELECT series_id, bar_idx, log_return AS x, row_number() OVER ({BY}) AS t FROM series WHERE log_return IS NOT NULL),
+w(series_id, t, lp, mu, be) AS (SELECT DISTINCT series_id, 0::BIGINT, [0.0::DOUBLE], [0.0::DOUBLE], [1.0::DOUBLE] FROM x
+ UNION ALL SELECT series_id, t, list_transform(lp, lambda v: v - rest), mu[1:500], be[1:500] FROM (SELECT *, CASE WHEN cut THEN top2 + ln(list_sum(list_transform(lp, lambda u: exp(u - top2)))) ELSE 0 END AS rest
+ FROM (SELECT series_id, t, mu, be, lp0[1:500] AS lp, len(lp0) > 500 AS cut, list_max(lp0[1:500]) AS top2
+ FROM (SELECT series_id, t, list_concat([ln(0.01::DOUBLE)], list_transform(joint, lambda j: j + ln(1 - 0.01::DOUBLE) - total)) AS lp0,
+   list_concat([0.0::DOUBLE], list_transform(mu, lambda m, i: m + (x - m) / (i + 1))) AS mu, list_concat([1.0::DOUBLE], list_transform(list_zip(be, mu), lambda z, i: z[1] + i * (x - z[2]) ** 2 / (2.0 * (i + 1)))) AS be
+  FROM (SELECT *, top + ln(list_sum(list_transform(joint, lambda j: exp(j - top)))) AS total FROM (SELECT *, list_max(joint) AS top
+   FROM (SELECT w.series_id, x.t, x.x, w.mu, w.be, list_transform(list_zip(w.lp, w.mu, w.be), lambda z, i: z[1] + lgamma((i + 1) / 2.0::DOUBLE + 0.5) - lgamma((i + 1) / 2.0::DOUBLE)
+     - 0.5 * ln((i + 1) * pi() * z[3] * (i + 1) / ((i + 1) / 2.0::DOUBLE * i)) - ((i + 1) / 2.0::DOUBLE + 0.5) * ln(1 + (x.x - z[2]) ** 2 / ((i + 1) * z[3] * (i + 1) / ((i + 1) / 2.0::DOUBLE * i)))) AS joint
+    FROM w JOIN x ON x.series_id = w.series_id AND x.t = w.t + 1))))))),
+o AS (SELECT series_id, t, list_sum(list_transform(lp[1:6], lambda v: exp(v))) AS change_prob, list_sum(list_transform(lp, lambda v, i: (i - 1) * exp(v))) AS expected_run, (list_position(lp, list_max(lp)) - 1)::INT AS map_run FROM w WHERE t > 0)
+SELECT o.series_id, x.bar_idx, round(change_prob, 6) + 0 AS change_prob, round(expected_run, 6) + 0 AS expected_run, map_run, round(greatest(0, least(1, map_run / 30.0::DOUBLE)), 6) + 0 AS confidence FROM o JOIN x ON x.series_id = o.series_id AND x.t = o.t"""
+
+
+@query(QUERIES, BOCPD)
 def bocpd(spark, d) -> DataFrame:
     z = F.col("log_return")
     df = online.changepoints(V.series(spark, d).withColumn("z", z), "z").withColumn("confidence", S.run_confidence(F.col("map_run")))
