@@ -17,7 +17,7 @@ import re
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -32,6 +32,8 @@ WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 #: Word scores a worker keeps; texts learnt from at once; words of more code points go through one by one, in logarithms.
 KEPT, TOGETHER, LONG = 200_000, 256, 60
+#: Words whose lattices the driver holds dense tables for at once.
+FITTED_AT_ONCE = 8192
 #: Added to each expected piece count.
 SMOOTHING = 0.05
 ROUNDS = 3
@@ -161,7 +163,7 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def fit(counts: list[tuple[str, str, int]], priors: dict[str, int], path: str) -> Model | None:
+def fit(counts: Iterable[tuple[str, str, int]], priors: dict[str, int], path: str) -> Model | None:
     """counts: (language, word, n)."""
     pieces = pieces_of(path)
     heads = {p[:i] for p in pieces for i in range(1, len(p))}
@@ -174,12 +176,12 @@ def fit(counts: list[tuple[str, str, int]], priors: dict[str, int], path: str) -
         return None
     lengths = np.array([len(p) for p in pieces] + [1])
     for language in languages:
-        net = Lattice([w for w, _ in by[language]], pieces, heads)
-        weights = np.array([n for _, n in by[language]], np.float64)
-        p = np.bincount(net.piece, weights[net.word], len(pieces) + 1) + SMOOTHING
+        parts = [by[language][i : i + FITTED_AT_ONCE] for i in range(0, len(by[language]), FITTED_AT_ONCE)]
+        nets = [(Lattice([w for w, _ in part], pieces, heads), np.array([n for _, n in part], np.float64)) for part in parts]
+        p = sum(np.bincount(net.piece, weights[net.word], len(pieces) + 1) for net, weights in nets) + SMOOTHING
         for _ in range(ROUNDS):
             p /= p.sum()
-            p = net.expected(p * SCALE**lengths, weights, len(pieces) + 1) + SMOOTHING
+            p = sum(net.expected(p * SCALE**lengths, weights, len(pieces) + 1) for net, weights in nets) + SMOOTHING
         rows.append(np.log(p / p.sum()))
     prior = np.array([priors.get(x, 0) + 1.0 for x in languages])
     return Model(languages, np.array(rows), np.log(prior / prior.sum()), pieces)
@@ -210,8 +212,8 @@ def train(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model", train_d
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([seen[k] for k in keys], pa.int64())], ["lang", "word", "n"])
 
     words = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rows = words.orderBy(F.desc("n"), "lang", "word").limit(train_words).collect()
-    return fit([tuple(r) for r in rows], priors, vocabulary(vocabulary_file))
+    rows = words.orderBy(F.desc("n"), "lang", "word").limit(train_words).toArrow()
+    return fit(zip(*(rows.column(c).to_pylist() for c in ("lang", "word", "n"))), priors, vocabulary(vocabulary_file))
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
