@@ -34,6 +34,12 @@ def with_bar_index(df: DataFrame, ts: str, keys: Sequence[str] = KEYS, tie: str
     return df.withColumn(ORDER, (F.row_number().over(by) - 1).cast("bigint"))
 
 
+def spread(df: DataFrame, *columns: str, least: int = 64) -> DataFrame:
+    """Dealt by columns into a fixed number of tasks, before groups that are small to read and dear to compute: adaptive
+    execution sizes tasks by bytes and would run all of them one after another."""
+    return df.repartition(max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))), *columns)
+
+
 def nan_as_null(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.when(~F.isnan(c), c)

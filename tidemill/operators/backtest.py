@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEYS, ORDER, expanding, ordered
+from ..functions.frames import KEYS, ORDER, expanding, ordered, spread
 from .stats import YEAR, sharpe
 
 ALPHA, WINDOW, COST, TRAIN = 0.05, 252, 0.0002, 0.6
@@ -86,7 +86,7 @@ def sized_backtest(df: DataFrame, settings: DataFrame, keys: Sequence[str] = KEY
         return pd.DataFrame({**dict(zip(names, ([v] * len(part) for v in key))), order: part["__i"].to_numpy(), **path})
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*names).schema)
-    return rows.groupBy(*names).applyInPandas(one, f"{kinds}, {order} long, position double, net_return double, is_trade boolean, equity double")
+    return spread(rows, *names).groupBy(*names).applyInPandas(one, f"{kinds}, {order} long, position double, net_return double, is_trade boolean, equity double")
 
 
 def fixed_backtest(df: DataFrame, position: str, next_return: str, cost: float = COST, keys: Sequence[str] = KEYS) -> DataFrame:

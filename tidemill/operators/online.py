@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEYS, ORDER
+from ..functions.frames import KEYS, ORDER, spread
 
 
 class Changepoints:
@@ -94,7 +94,7 @@ def changepoints(df: DataFrame, value: str, hazard: float = 0.01, k: int = 5, mo
 
     rows = df.where(F.col(value).isNotNull()).select(*names, F.col(ORDER).alias("bar_idx"), F.col(value).cast("double").alias("x"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*names).schema)
-    return rows.groupBy(*names).applyInPandas(one, f"{kinds}, bar_idx long, change_prob double, expected_run double, map_run int")
+    return spread(rows, *names).groupBy(*names).applyInPandas(one, f"{kinds}, bar_idx long, change_prob double, expected_run double, map_run int")
 
 
 def slope_through_origin(score: str, realised: str):
@@ -124,4 +124,4 @@ def conformal_gate(df: DataFrame, score: str, realised: str, alpha: float = 0.1,
 
     rows = df.where(F.col(score).isNotNull() & F.col(realised).isNotNull()).select(*names, F.col(ORDER).alias("bar_idx"), F.col(score).cast("double").alias("s"), F.col(realised).cast("double").alias("r"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*names).schema)
-    return rows.groupBy(*names).applyInPandas(one, f"{kinds}, bar_idx long, action string, lower double, upper double, covered boolean, scale double")
+    return spread(rows, *names).groupBy(*names).applyInPandas(one, f"{kinds}, bar_idx long, action string, lower double, upper double, covered boolean, scale double")

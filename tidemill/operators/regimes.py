@@ -13,9 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEYS, ORDER
+from ..functions.frames import KEYS, ORDER, spread
 
 STATES, STARTS, NU_START, ROUNDS, TOLERANCE, NU_LEAST, NU_MOST, VAR_LEAST, SPLITS = 3, 15, 8.0, 100, 1e-4, 2.05, 200.0, 1e-10, 8
+#: Starts of one group.
+TOGETHER = 16
 MODEL = "pi array<double>, a array<double>, mu array<double>, var array<double>, nu array<double>, score double"
 
 
@@ -30,35 +32,49 @@ def digamma(x: np.ndarray) -> np.ndarray:
 
 
 def log_emissions(x: np.ndarray, mu: np.ndarray, var: np.ndarray, nu: np.ndarray) -> np.ndarray:
-    """An infinite nu is a normal distribution."""
-    z = (x[:, None] - mu) ** 2 / var
+    """(rows, ..., states) for parameters (..., states); an infinite nu is a normal distribution."""
+    x = x.reshape(-1, *[1] * np.ndim(mu))
+    z = (x - mu) ** 2 / var
     normal = ~np.isfinite(nu)
     v = np.where(normal, 1.0, nu)
-    const = np.array([math.lgamma((n + 1) / 2) - math.lgamma(n / 2) for n in v])
+    const = np.vectorize(lambda n: math.lgamma((n + 1) / 2) - math.lgamma(n / 2), otypes=[np.float64])(v)
     t = const - 0.5 * np.log(v * np.pi * var) - (v + 1) / 2 * np.log1p(z / v)
     return np.where(normal, -0.5 * (np.log(2 * np.pi * var) + z), t)
 
 
-def forward(pi: np.ndarray, a: np.ndarray, logb: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Filtered probabilities, their scales, and the log likelihood."""
-    top = logb.max(axis=1)
-    b = np.exp(logb - top[:, None])
-    alpha, scale = np.empty_like(b), np.empty(len(b))
+def forward_many(pi: np.ndarray, a: np.ndarray, logb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Filtered probabilities (rows, models, states), their scales (rows, models) and log likelihoods (models): a step costs the same for one model as for many."""
+    top = logb.max(axis=2)
+    b = np.exp(logb - top[:, :, None])
+    alpha, scale = np.empty_like(b), np.empty(b.shape[:2])
     now = pi * b[0]
     for t in range(len(b)):
         if t:
-            now = (alpha[t - 1] @ a) * b[t]
-        scale[t] = max(now.sum(), 1e-300)
-        alpha[t] = now / scale[t]
-    return alpha, scale, float(np.log(scale).sum() + top.sum())
+            now = (now[:, None, :] @ a)[:, 0] * b[t]
+        total = np.maximum(now.sum(axis=1), 1e-300)
+        now = now / total[:, None]
+        alpha[t], scale[t] = now, total
+    return alpha, scale, np.log(scale).sum(axis=0) + top.sum(axis=0)
+
+
+def backward_many(a: np.ndarray, logb: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    c = np.exp(logb - logb.max(axis=2, keepdims=True)) / scale[:, :, None]
+    beta, across = np.ones_like(c), a.transpose(0, 2, 1)
+    now = beta[-1]
+    for t in range(len(c) - 2, -1, -1):
+        now = ((c[t + 1] * now)[:, None, :] @ across)[:, 0]
+        beta[t] = now
+    return beta
+
+
+def forward(pi: np.ndarray, a: np.ndarray, logb: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """The same of one model: (rows, states), (rows), log likelihood."""
+    alpha, scale, score = forward_many(pi[None], a[None], logb[:, None])
+    return alpha[:, 0], scale[:, 0], float(score[0])
 
 
 def backward(a: np.ndarray, logb: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    b = np.exp(logb - logb.max(axis=1, keepdims=True))
-    beta = np.ones_like(b)
-    for t in range(len(b) - 2, -1, -1):
-        beta[t] = a @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
-    return beta
+    return backward_many(a[None], logb[:, None], scale[:, None])[:, 0]
 
 
 def viterbi(pi: np.ndarray, a: np.ndarray, logb: np.ndarray) -> np.ndarray:
@@ -89,35 +105,43 @@ def solve_nu(term: float) -> float:
     return (low + high) / 2
 
 
-def fit_once(x: np.ndarray, seed: int, student: bool = True, rounds: int = ROUNDS, trace: list | None = None) -> tuple:
-    """(pi, a, mu, var, nu, log likelihood) from one random start."""
-    rng = np.random.default_rng(seed)
-    mu = np.sort(x[rng.choice(len(x), size=STATES, replace=False)])
-    var, nu = np.full(STATES, max(np.var(x), VAR_LEAST)), np.full(STATES, NU_START if student else np.inf)
-    pi, a, before = np.full(STATES, 1 / STATES), np.full((STATES, STATES), 1 / STATES), -np.inf
+def fit_many(x: np.ndarray, seeds: Sequence[int], student: bool = True, rounds: int = ROUNDS, trace: list | None = None) -> list[tuple]:
+    """(pi, a, mu, var, nu, log likelihood) from each random start; starts that have converged stand still."""
+    n = len(seeds)
+    mu = np.stack([np.sort(x[np.random.default_rng(s).choice(len(x), size=STATES, replace=False)]) for s in seeds])
+    var, nu = np.full((n, STATES), max(np.var(x), VAR_LEAST)), np.full((n, STATES), NU_START if student else np.inf)
+    pi, a, before, at = np.full((n, STATES), 1 / STATES), np.full((n, STATES, STATES), 1 / STATES), np.full(n, -np.inf), np.arange(n)
+    y = x[:, None, None]
     for step in range(rounds):
-        logb = log_emissions(x, mu, var, nu)
-        alpha, scale, score = forward(pi, a, logb)
+        logb = log_emissions(x, mu[at], var[at], nu[at])
+        alpha, scale, score = forward_many(pi[at], a[at], logb)
         if trace is not None:
-            trace.append(score)
-        beta = backward(a, logb, scale)
+            trace.append(float(score[0]))
+        beta = backward_many(a[at], logb, scale)
         gamma = alpha * beta
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        b = np.exp(logb - logb.max(axis=1, keepdims=True))
-        xi = a * (alpha[:-1].T @ (b[1:] * beta[1:] / scale[1:, None]))
-        pi, a = gamma[0], xi / np.maximum(xi.sum(axis=1, keepdims=True), 1e-300)
-        z = (x[:, None] - mu) ** 2 / var
-        u = (nu + 1) / (nu + z) if student else np.ones_like(z)
-        n, wu = gamma.sum(axis=0), gamma * u
-        mu = (wu * x[:, None]).sum(axis=0) / wu.sum(axis=0)
+        gamma /= gamma.sum(axis=2, keepdims=True)
+        c = np.exp(logb - logb.max(axis=2, keepdims=True)) / scale[:, :, None] * beta
+        xi = a[at] * np.einsum("tsi,tsj->sij", alpha[:-1], c[1:])
+        z = (y - mu[at]) ** 2 / var[at]
+        u = (nu[at] + 1) / (nu[at] + z) if student else np.ones_like(z)
+        weight, wu = gamma.sum(axis=0), gamma * u
+        new_mu = (wu * y).sum(axis=0) / wu.sum(axis=0)
         if student:
-            log_u = digamma((nu + 1) / 2) - np.log((nu + z) / 2)
-            nu = np.array([solve_nu(v) for v in (gamma * (log_u - u)).sum(axis=0) / n])
-        var = np.maximum((wu * (x[:, None] - mu) ** 2).sum(axis=0) / n, VAR_LEAST)
-        if step and abs(score - before) < TOLERANCE * abs(before):
+            log_u = digamma((nu[at] + 1) / 2) - np.log((nu[at] + z) / 2)
+            term = (gamma * (log_u - u)).sum(axis=0) / weight
+            nu[at] = np.vectorize(solve_nu, otypes=[np.float64])(term)
+        var[at] = np.maximum((wu * (y - new_mu) ** 2).sum(axis=0) / weight, VAR_LEAST)
+        mu[at], pi[at], a[at] = new_mu, gamma[0], xi / np.maximum(xi.sum(axis=2, keepdims=True), 1e-300)
+        still = ~np.isfinite(score) | ((step > 0) & (np.abs(score - before[at]) < TOLERANCE * np.abs(before[at])))
+        before[at], at = score, at[~still]
+        if not len(at):
             break
-        before = score
-    return pi, a, mu, var, nu, forward(pi, a, log_emissions(x, mu, var, nu))[2]
+    final = forward_many(pi, a, log_emissions(x, mu, var, nu))[2]
+    return [(pi[i], a[i], mu[i], var[i], nu[i], float(final[i])) for i in range(n)]
+
+
+def fit_once(x: np.ndarray, seed: int, student: bool = True, rounds: int = ROUNDS, trace: list | None = None) -> tuple:
+    return fit_many(x, [seed], student, rounds, trace)[0]
 
 
 def state_labels(mu: np.ndarray, var: np.ndarray, nu: np.ndarray) -> list[str]:
@@ -148,7 +172,8 @@ def folds(df: DataFrame, splits: int = SPLITS, least_block: int = 1, keys: Seque
 def fit(df: DataFrame, returns: str = "log_return", fold_table: DataFrame | None = None, starts: Sequence[int] | None = None, student: bool = True, rounds: int = ROUNDS, keys: Sequence[str] = KEYS) -> DataFrame:
     """keys, fold, and the parameters of the best start (the first among equals). Without folds every row is training (fold 0).
 
-    Groups are (series, fold, start), so the fits of one series spread over the cluster; all failing raises.
+    A group is a series, a fold and up to TOGETHER starts, whose recursions run side by side in one pass over the rows; groups
+    spread over the cluster. A start that fails drops out, a fold without any good one raises.
     """
     starts = list(seeds_of() if starts is None else starts)
     spark = df.sparkSession
@@ -157,26 +182,25 @@ def fit(df: DataFrame, returns: str = "log_return", fold_table: DataFrame | None
         rows = rows.withColumn("fold", F.lit(0))
     else:
         rows = rows.join(F.broadcast(fold_table.select(*keys, "fold", "train_end")), list(keys)).where("__i < train_end").drop("train_end")
-    table = spark.createDataFrame(list(enumerate(starts)), "start int, seed bigint")
-    rows = rows.crossJoin(F.broadcast(table))
-    names = [*keys, "fold", "start"]
+    parts = -(-len(starts) // TOGETHER)
+    rows = rows.crossJoin(F.broadcast(spark.range(parts).select(F.col("id").cast("int").alias("part"))))
+    names = [*keys, "fold"]
+    columns = [*names, "start", "pi", "a", "mu", "var", "nu", "score"]
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        x = part.sort_values("__i")["__x"].to_numpy(np.float64)
-        try:
-            with np.errstate(all="ignore"):
-                pi, a, mu, var, nu, score = fit_once(x, int(part["seed"].iloc[0]), student, rounds)
-            good = math.isfinite(score) and np.isfinite(mu).all() and np.isfinite(a).all()
-        except (ValueError, FloatingPointError):
-            good = False
-        if not good:
-            return pd.DataFrame({c: [] for c in [*names, "pi", "a", "mu", "var", "nu", "score"]})
-        return pd.DataFrame([[*key, pi.tolist(), a.ravel().tolist(), mu.tolist(), var.tolist(), nu.tolist(), score]], columns=[*names, "pi", "a", "mu", "var", "nu", "score"])
+        x, first = part.sort_values("__i")["__x"].to_numpy(np.float64), key[-1] * TOGETHER
+        with np.errstate(all="ignore"):
+            found = fit_many(x, starts[first : first + TOGETHER], student, rounds) if len(x) >= STATES else []
+        good = [(first + i, *m) for i, m in enumerate(found) if math.isfinite(m[5]) and all(np.isfinite(v).all() for v in m[:4])]
+        return pd.DataFrame([[*key[:-1], i, pi.tolist(), a.ravel().tolist(), mu.tolist(), var.tolist(), nu.tolist(), score] for i, pi, a, mu, var, nu, score in good], columns=columns)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*names).schema)
-    fitted = rows.groupBy(*names).applyInPandas(one, f"{kinds}, {MODEL}")
+    fitted = spread(rows, *names, "part").groupBy(*names, "part").applyInPandas(one, f"{kinds}, start int, {MODEL}")
     best = F.max_by(F.struct("start", "pi", "a", "mu", "var", "nu", "score"), F.struct("score", -F.col("start")))
-    return fitted.groupBy(*keys, "fold").agg(best.alias("m")).select(*keys, "fold", "m.*")
+    wanted = rows.select(*names).distinct()
+    models = wanted.join(fitted.groupBy(*names).agg(best.alias("m")), names, "left")
+    failed = F.raise_error(F.lit("no start of the regime model gave a finite likelihood")).cast("boolean")
+    return models.where(F.when(F.col("m").isNull(), failed).otherwise(True)).select(*names, "m.*")
 
 
 def decode(df: DataFrame, models: DataFrame, how: str = "filter", returns: str = "log_return", fold_table: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -205,7 +229,7 @@ def decode(df: DataFrame, models: DataFrame, how: str = "filter", returns: str =
         return out[part[first] <= part["bar_idx"]] if first else out
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*names).schema)
-    return rows.groupBy(*names).applyInPandas(one, f"{kinds}, bar_idx long, state int, regime string")
+    return spread(rows, *names).groupBy(*names).applyInPandas(one, f"{kinds}, bar_idx long, state int, regime string")
 
 
 def walk_forward_regimes(df: DataFrame, splits: int = SPLITS, returns: str = "log_return", starts: Sequence[int] | None = None, keys: Sequence[str] = KEYS) -> DataFrame:

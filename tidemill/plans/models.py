@@ -41,31 +41,31 @@ def whole(spark, d) -> DataFrame:
 
 @query(QUERIES)
 def hmm_fit(spark, d) -> DataFrame:
-    df = regimes.fit(whole(spark, d), starts=regimes.seeds_of(6))
+    df = regimes.fit(whole(spark, d))
     return df.select("series_id", "start", F.round("score", 3).alias("score"), *(F.transform(c, lambda x: F.round(x, 4)).alias(c) for c in ("mu", "var", "nu")))
 
 
 @query(QUERIES)
 def hmm_gaussian(spark, d) -> DataFrame:
-    df = regimes.fit(whole(spark, d), starts=regimes.seeds_of(6), student=False)
+    df = regimes.fit(whole(spark, d), starts=regimes.seeds_of(25), student=False)
     return df.select("series_id", "start", F.round("score", 3).alias("score"), *(F.transform(c, lambda x: F.round(x, 4)).alias(c) for c in ("mu", "var")))
 
 
 @query(QUERIES)
 def hmm_filter(spark, d) -> DataFrame:
     s = whole(spark, d)
-    return regimes.decode(s, regimes.fit(s, starts=regimes.seeds_of(3)), "filter").select("series_id", "bar_idx", "regime")
+    return regimes.decode(s, regimes.fit(s), "filter").select("series_id", "bar_idx", "regime")
 
 
 @query(QUERIES)
 def hmm_viterbi(spark, d) -> DataFrame:
     s = whole(spark, d)
-    return regimes.decode(s, regimes.fit(s, starts=regimes.seeds_of(3)), "viterbi").select("series_id", "bar_idx", "regime")
+    return regimes.decode(s, regimes.fit(s), "viterbi").select("series_id", "bar_idx", "regime")
 
 
 @query(QUERIES)
 def walk_forward_regimes(spark, d) -> DataFrame:
-    return regimes.walk_forward_regimes(whole(spark, d), starts=regimes.seeds_of(2)).select("series_id", "fold", "bar_idx", "regime")
+    return regimes.walk_forward_regimes(whole(spark, d)).select("series_id", "fold", "bar_idx", "regime")
 
 
 def settings(spark) -> DataFrame:
