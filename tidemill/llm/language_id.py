@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, in_worker, vocabulary
+from .common import bounded_batches, give_back, in_worker, trimmed, vocabulary
 from .encoding import texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 #: Word scores a worker keeps; texts learnt from at once; words of more code points go through one by one, in logarithms.
-KEPT, TOGETHER, LONG = 200_000, 256, 60
+KEPT, TOGETHER, LONG = 150_000, 128, 60
 #: Words whose lattices the driver holds dense tables for at once.
 FITTED_AT_ONCE = 8192
 #: Added to each expected piece count.
@@ -211,7 +211,7 @@ def train(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model", train_d
                 keys = list(seen)
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([seen[k] for k in keys], pa.int64())], ["lang", "word", "n"])
 
-    words = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = sample.mapInArrow(trimmed(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     rows = words.orderBy(F.desc("n"), "lang", "word").limit(train_words).toArrow()
     return fit(zip(*(rows.column(c).to_pylist() for c in ("lang", "word", "n"))), priors, vocabulary(vocabulary_file))
 
@@ -236,7 +236,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 found = [own.predict(w) if w and own else ("und", 0.0) for w in words]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("bigint"), held_out().alias("held_out"), "text").mapInArrow(trimmed(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known_languages(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
@@ -257,6 +257,7 @@ def keep_known_languages(docs: DataFrame, least_score: float = 0.5) -> DataFrame
             words = [words_of(t) for t in texts.iloc[at : at + TOGETHER]]
             own.learn(set().union(*words))
             out += [own.predict(w)[1] if w else -1.0 for w in words]
+        give_back()
         return pd.Series(out, dtype="float64")
 
     return docs.where(posterior(F.col("text")) >= least_score)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, vocabulary
+from .common import bounded_batches, stored, trimmed, vocabulary
 from .encoding import CACHE_ENTRIES, encoder, texts_of
 
 PIECES = "part long, no long, doc_id long, piece long, start long, length long, ids_crc32 long"
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: in
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["part", "no", "doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(trimmed(run), PIECES)
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, stored, trimmed
 from .encoding import texts_of
 
 #: The base patterns, in the order in which kinds are listed.
@@ -82,7 +82,7 @@ def scan(docs: DataFrame, owner_col: str, repository_col: str) -> DataFrame:
 
     bounded_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("bigint"), F.col(owner_col).cast("string").alias("owner"), F.col(repository_col).cast("string").alias("repository"), "text")
-    return read.mapInArrow(run, f"row long, doc_id long, owner string, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, candidates {CANDIDATES}")
+    return read.mapInArrow(trimmed(run), f"row long, doc_id long, owner string, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, candidates {CANDIDATES}")
 
 
 def ownership(found: DataFrame, owners: int, repositories: int) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, in_worker, vocabulary
+from .common import bounded_batches, in_worker, trimmed, vocabulary
 from .encoding import PLAIN, PRE_TOKEN, Encoder, byte_letters, older_half, texts_of
 
 LONG = 64
@@ -232,7 +232,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
                 total = pa.array([n + sum([int(tables[c][-1]) for c in chunks]) for n, chunks in zip(extra, parts)], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), total, pa.compute.greater(total, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def prefix_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:

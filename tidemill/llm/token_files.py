@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_path, vocabulary
+from .common import bounded_batches, new_path, trimmed, vocabulary
 from .encoding import encoder, texts_of
 
 MAGIC = b"TMTOK01\n"
@@ -174,7 +174,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int64()), (uri, pa.string()), (low, pa.int64()), (high, pa.int64()), (int(sum(counts)), pa.int64()), (len(counts), pa.int64()), (nulls, pa.int64()))], ["part", "uri", "low", "high", "ids", "records", "null_rows"])
 
     dealt = docs.select(F.col("doc_id").cast("bigint").alias("k"), F.col("text").alias("t")).repartitionByRange(F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), F.col("t").asc_nulls_first())
-    rows = dealt.mapInArrow(shard, "part long, uri string, low long, high long, ids long, records long, null_rows long").collect()
+    rows = dealt.mapInArrow(trimmed(shard), "part long, uri string, low long, high long, ids long, records long, null_rows long").collect()
     return [r.asDict() for r in sorted(rows, key=lambda r: r["part"])]
 
 
