@@ -105,8 +105,8 @@ class Lattice:
 class Model:
     """languages (sorted), log_p[language, piece] with the unknown character last, log_prior."""
 
-    def __init__(self, languages: list[str], log_p: np.ndarray, log_prior: np.ndarray, pieces: dict[str, int]) -> None:
-        self.languages, self.log_p, self.log_prior, self.pieces = languages, log_p, log_prior, pieces
+    def __init__(self, languages: list[str], log_p: np.ndarray, log_prior: np.ndarray, pieces: dict[str, int], kept: int = KEPT) -> None:
+        self.languages, self.log_p, self.log_prior, self.pieces, self.kept = languages, log_p, log_prior, pieces, kept
         self.heads = {p[:i] for p in pieces for i in range(1, len(p))}
         lengths = np.array([len(p) for p in pieces] + [1])
         self.scaled = np.exp(log_p) * SCALE**lengths
@@ -144,7 +144,7 @@ class Model:
 
     def learn(self, words: set[str]) -> None:
         new = words.difference(self.at)
-        if len(self.at) + len(new) > KEPT:
+        if len(self.at) + len(new) > self.kept:
             self.at = dict(islice(self.at.items(), len(self.at) // 2))  # the older half has the common words
             self.scores, new = self.scores[: len(self.at)], words.difference(self.at)
         if new:
@@ -216,8 +216,8 @@ def train(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model", train_d
     return fit(zip(*(rows.column(c).to_pylist() for c in ("lang", "word", "n"))), priors, vocabulary(vocabulary_file))
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of docs, by the model alone."""
+def identify(docs: DataFrame, model: Model | None, kept: int = 400_000) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for every row of docs, by the model alone. kept: word scores a worker keeps."""
     parts = (model.languages, model.log_p, model.log_prior, model.pieces) if model else None
     sent = docs.sparkSession.sparkContext.broadcast(parts)  # languages x pieces: its size does not depend on the documents
     key = zlib.crc32(model.log_p.tobytes()) if model else 0
@@ -226,7 +226,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         if sent.value is None:
             own = None
         else:
-            own = in_worker(("language model", key), lambda: Model(*sent.value))
+            own = in_worker(("language model", key, kept), lambda: Model(*sent.value, kept))
         for whole in batches:
             for at in range(0, whole.num_rows, TOGETHER):
                 b = whole.slice(at, TOGETHER)
