@@ -48,6 +48,18 @@ def test_drop_exact_copies(spark, odd, none):
     assert drop_exact_copies(none).count() == 0
 
 
+@pytest.mark.parametrize("bound", [500_000, 0])
+def test_drop_exact_copies_decides_by_row(spark, monkeypatch, bound):
+    """Null ids and repeated ids: a copy goes, another text under the same id stays."""
+    import tidemill.llm.exact_dedup as E
+
+    monkeypatch.setattr(E, "BROADCAST_ROWS", bound)
+    texts = [(1, "X x"), (None, "X  x"), (None, "only here"), (None, "twice"), (None, "twice"), (5, "X x"), (5, "Z"), (6, "X x"), (6, "X x"), (7, "Y"), (7, "Y"), (7, "V"), (8, "Y"), (9, "own")]
+    got = drop_exact_copies(corpus(spark, [(i, t, "en", "a") for i, t in texts])).collect()
+    want = [(1, "X x"), (5, "Z"), (7, "V"), (7, "Y"), (9, "own"), (None, "only here"), (None, "twice")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_shuffled_keys_beyond_the_broadcast_bound(spark, odd, monkeypatch):
     import tidemill.llm.exact_dedup as E
 

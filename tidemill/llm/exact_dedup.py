@@ -65,16 +65,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that stay: of equal texts the one with the smallest doc_id."""
     groups = stored(exact_groups(docs, digest_all=False).where("group_size > 1"), "copies")
-    by_id = groups.groupBy("doc_id").agg(F.max("kept").alias("some"), F.min("kept").alias("all"))
-    gone = by_id.where("not some").select(F.col("doc_id").alias("__id"))
-    out = docs.join(hinted(gone, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    torn = by_id.where("some and not all").select(F.col("doc_id").alias("__id"))
+    lost = groups.where("not kept").groupBy("doc_id").agg(F.count("*").alias("lost")).select(F.col("doc_id").alias("__id"), "lost")
+    lost = stored(lost, "lost")
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    # An id goes outright only if each of its rows, also those whose text no other row has, is a copy that goes.
+    rows = docs.select("doc_id").join(hinted(lost.select("__id"), BROADCAST_ROWS), F.col("doc_id") == F.col("__id")).groupBy("__id").agg(F.count("*").alias("rows"))
+    by_id = stored(lost.join(rows, "__id", "left").select("__id", F.coalesce(F.col("lost") == F.col("rows"), F.lit(False)).alias("all")), "lost-ids")
+    out = docs.join(hinted(by_id.where("all").select("__id"), BROADCAST_ROWS), same, "left_anti")
+    torn = by_id.where("not all").select("__id")
     if torn.limit(1).count() == 0:
         return out
-    # Rows that repeat a doc_id, some of which go: these few are told apart by their text.
-    repeats, same = hinted(torn, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("__id"))
-    stay = groups.where("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha")).distinct()
-    lost = groups.select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha")).distinct().subtract(stay)
+    # Null ids and repeated ids, some of whose rows go: these are told apart by their text.
+    repeats = hinted(torn, BROADCAST_ROWS)
+    pairs = groups.join(repeats, same, "left_semi").groupBy(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha")).agg(F.max("kept").alias("stays"))
     own = out.join(repeats, same, "left_semi").withColumn("__digest", digest())
-    own = own.join(lost, F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("__digest") == F.col("__sha")), "left_anti")
+    own = own.join(pairs.where("not stays"), F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("__digest") == F.col("__sha")), "left_anti")
     return out.join(repeats, same, "left_anti").unionByName(own.dropDuplicates(["doc_id", "__digest"]).drop("__digest"))
