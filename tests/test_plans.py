@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tidemill.operators import online
+from tidemill.operators import hurst, online
 from tidemill.plans import catalogue, models, views
 from tidemill.plans import walk_forward as wf
 from tidemill.streaming import operators as ops
@@ -47,6 +47,27 @@ def test_queries_without_sql_run(spark, data, name):
     assert catalogue.queries()[name](spark, data).count() > 0
 
 
+def returns_of(spark, data):
+    rows = views.series(spark, data).where("log_return is not null").orderBy("bar_idx").toPandas()
+    return {k: part.log_return.to_numpy() for k, part in rows.groupby("series_id")}
+
+
+def brute_interval(r):
+    """200 resamples of blocks of the reference's size from the whole length, one after another."""
+    block = max(10, round(2 * len(r) ** (1 / 3)))
+    starts = np.random.default_rng(0).integers(0, len(r) - block + 1, size=(200, -(-len(r) // block)))
+    assert starts.max() + block > 0.95 * len(r)
+    return np.percentile([hurst.dfa_many(np.concatenate([r[s : s + block] for s in row])[None, : len(r)])[0] for row in starts], [2.5, 97.5])
+
+
+def test_whole_bootstrap(spark, data):
+    got = {r["series_id"]: r for r in catalogue.queries()["hurst_block_bootstrap_whole"](spark, data).collect()}
+    own = returns_of(spark, data)
+    assert set(got) == set(own)
+    for k, r in own.items():
+        assert got[k]["resamples"] == 200 and (got[k]["ci_low"], got[k]["ci_high"]) == pytest.approx(tuple(brute_interval(r)), abs=1e-6)
+
+
 def test_config_checks():
     assert [c.name for c in wf.default_configs()][0] == "baseline_pre5a" and len(wf.default_configs()) == 7
     for bad in ({"weights": "x"}, {"base_band": 1.0}, {"recal_every": 0}, {"wss_mode": "on"}):

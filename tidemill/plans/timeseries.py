@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.frames import spread
 from ..operators import backtest, bars, consensus, flow, hurst, kernel, online, regimes, reversion, stats, surprise
 from . import views as V
 from .registry import Queries, query, rounded
@@ -133,6 +134,18 @@ def hurst_block_bootstrap(spark, d) -> DataFrame:
     return rounded(hurst.bootstrap(V.series(spark, d), starts, 25).select("series_id", "ci_low", "ci_high", "resamples"), 6)
 
 
+def whole_interval(spark, d) -> DataFrame:
+    """series_id, hurst, ci_low, ci_high: blocks from the whole length of each series, the operator's block and resamples. numpy's draws are beyond SQL."""
+    rows = V.series(spark, d).where("log_return is not null").groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("bar_idx", "log_return"))).alias("rows"))
+    return hurst.with_interval(spread(rows.select("series_id", F.col("rows.log_return").alias("w")), "series_id"), "w", hurst.RESAMPLES).drop("w")
+
+
+@query(QUERIES)
+def hurst_block_bootstrap_whole(spark, d) -> DataFrame:
+    """The bootstrap over whole series; hurst_block_bootstrap keeps the first 524 rows that its SQL draws from."""
+    return rounded(whole_interval(spark, d).select("series_id", "ci_low", "ci_high", F.lit(hurst.RESAMPLES).cast("bigint").alias("resamples")), 6)
+
+
 @query(QUERIES, f"""WITH {V.SERIES}, {SIGNALS}, {RETURNS}, {dfa_sql('series_id', 'bar_idx')}, h AS (SELECT series_id, round(hurst, 4) AS hurst FROM hu), b AS (SELECT series_id, 0.15::DOUBLE * CASE WHEN hurst - 0.01 <= 0.5 AND hurst + 0.01 >= 0.5 THEN 2 ELSE 2 - least(abs(hurst - 0.5) / 0.5, 1) * 1.5 END AS band FROM h),
 s AS (SELECT v.series_id, bar_idx, band, round((v_regime + v_flow + v_kernel) / 3, 6) + 0 AS score FROM v JOIN b USING (series_id))
 SELECT series_id, bar_idx, score, round(band, 6) + 0 AS band, CASE WHEN score > round(band, 6) THEN 'bullish' WHEN score < -round(band, 6) THEN 'bearish' ELSE 'neutral' END AS label FROM s""")
