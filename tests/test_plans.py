@@ -68,6 +68,17 @@ def test_whole_bootstrap(spark, data):
         assert got[k]["resamples"] == 200 and (got[k]["ci_low"], got[k]["ci_high"]) == pytest.approx(tuple(brute_interval(r)), abs=1e-6)
 
 
+def test_every_bandwidth_is_scored(spark, data):
+    got = {(r["series_id"], r["bandwidth"]): r["mse"] for r in catalogue.queries()["kernel_loocv_whole"](spark, data).collect()}
+    rows = views.series(spark, data).orderBy("bar_idx").toPandas()
+    assert len(got) == 5 * 11
+    for k, part in rows.groupby("series_id"):
+        y, i = part.close.to_numpy(), part.bar_idx.to_numpy()
+        for h in (2, 3, 5, 8, 12, 18, 27, 40, 60, 90, 135):
+            w = np.exp(-0.5 * ((i[:, None] - i) / h) ** 2) * (1 - np.eye(len(i)))
+            assert got[k, h] == pytest.approx(np.mean((y - w @ y / w.sum(axis=1)) ** 2) / 1e6, abs=2e-3)
+
+
 def test_config_checks():
     assert [c.name for c in wf.default_configs()][0] == "baseline_pre5a" and len(wf.default_configs()) == 7
     for bad in ({"weights": "x"}, {"base_band": 1.0}, {"recal_every": 0}, {"wss_mode": "on"}):
