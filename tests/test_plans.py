@@ -68,6 +68,26 @@ def test_whole_bootstrap(spark, data):
         assert got[k]["resamples"] == 200 and (got[k]["ci_low"], got[k]["ci_high"]) == pytest.approx(tuple(brute_interval(r)), abs=1e-6)
 
 
+def test_model_queries_run_whole(spark, data, monkeypatch):
+    """All orders, default splits, starts, bandwidths, permutations and sessions. The fits are replaced by the view's own labels."""
+    seen, folded, real = [], [], wf.fold_kernel
+
+    def labels(df, splits=8, returns="log_return", starts=None, keys=("series_id",)):
+        seen.append((df.count(), splits, starts))
+        return views.series(spark, data, whole=True).select("series_id", "bar_idx", F.coalesce("regime", F.lit("sideways")).alias("regime"))
+
+    monkeypatch.setattr(wf.regimes, "walk_forward_regimes", labels)
+    monkeypatch.setattr(wf, "fold_kernel", lambda df, folds, h, *a: folded.append((tuple(h), folds.count())) or real(df, folds, (2,)))
+    n = views.series(spark, data, whole=True).count()
+    edge = catalogue.queries()["regime_edge_permutation"](spark, data).collect()
+    assert [r["series_id"] for r in edge] == ["ALL"]
+    assert any(abs(edge[0][p] * 501 - round(edge[0][p] * 501)) < 1e-3 for p in ("trend_p", "reversion_p"))
+    rows = catalogue.queries()["run_config_metrics"](spark, data).collect()
+    assert len(rows) == 7 and {r["n_decisions"] for r in rows} == {n - n // 9 - 1}
+    assert seen == [(n, 5, None), (n, 8, None)] and folded == [((2, 3, 5, 8, 12, 18, 27, 40, 60, 90, 135), 8)]
+    assert catalogue.queries()["synthetic_intraday"](spark, data).count() == 60 * 26
+
+
 def test_every_bandwidth_is_scored(spark, data):
     got = {(r["series_id"], r["bandwidth"]): r["mse"] for r in catalogue.queries()["kernel_loocv_whole"](spark, data).collect()}
     rows = views.series(spark, data).orderBy("bar_idx").toPandas()

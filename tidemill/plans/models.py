@@ -173,12 +173,20 @@ def bocpd(spark, d) -> DataFrame:
 
 @query(QUERIES)
 def run_config_metrics(spark, d) -> DataFrame:
-    """The trial log's rows of the default configurations over the synthetic daily market."""
-    signals = market_signals(spark).persist()
+    """The trial log's rows of the default configurations over all orders as one series."""
+    signals = series_signals(spark, d).persist()
     configs = wf.default_configs()
     return rounded(wf.trial_rows(wf.run_configs(signals, configs), configs, "walk_forward_v1"), 6)
 
 
+def series_signals(spark, d) -> DataFrame:
+    """Signals of all orders as one series, with the operators' own splits, starts and bandwidths."""
+    from ..operators import options
+
+    df = whole(spark, d).withColumn("ts", F.col("ts").cast("timestamp_ntz")).persist()
+    return wf.build_signals(df, V.macro(spark, d), synthetic.flow_noise(spark, df.count()), options.chain_noise(spark))
+
+
 def market_signals(spark, n: int = 400, splits: int = 4) -> DataFrame:
     from ..operators import options
 
@@ -190,7 +198,7 @@ def market_signals(spark, n: int = 400, splits: int = 4) -> DataFrame:
 
 @query(QUERIES)
 def regime_edge_permutation(spark, d) -> DataFrame:
-    return rounded(wf.regime_edge(synthetic.daily_bars(spark, 500), 3, 200, regimes.seeds_of(2)), 6)
+    return rounded(wf.regime_edge(whole(spark, d)), 6)
 
 
 @query(QUERIES)
@@ -198,5 +206,5 @@ def synthetic_intraday(spark, d) -> DataFrame:
     """Fifteen-minute bars of the synthetic intraday market."""
     from ..operators.bars import resample_bars
 
-    source = synthetic.SyntheticIntradaySource(spark, 5)
+    source = synthetic.SyntheticIntradaySource(spark)
     return resample_bars(source._bars, "15 minutes", "timestamp", ("volume", "bid_volume", "ask_volume"), ())
