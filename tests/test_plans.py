@@ -68,6 +68,21 @@ def test_whole_bootstrap(spark, data):
         assert got[k]["resamples"] == 200 and (got[k]["ci_low"], got[k]["ci_high"]) == pytest.approx(tuple(brute_interval(r)), abs=1e-6)
 
 
+def test_band_follows_the_bootstrapped_interval(spark, data):
+    old = {(r["series_id"], r["bar_idx"]): r for r in catalogue.queries()["consensus_hurst_band"](spark, data).collect()}
+    got = catalogue.queries()["consensus_hurst_interval"](spark, data).collect()
+    assert len(got) == len(old) > 0
+    bands = {}
+    for k, r in returns_of(spark, data).items():
+        low, high = brute_interval(r)
+        h = hurst.dfa_many(r[None])[0]
+        bands[k] = 0.15 * (2 if low <= 0.5 <= high else 2 - min(abs(h - 0.5) / 0.5, 1) * 1.5)
+    for r in got:
+        assert r["band"] == pytest.approx(bands[r["series_id"]], abs=1e-6) and r["score"] == old[r["series_id"], r["bar_idx"]]["score"]
+        assert r["label"] == ("bullish" if r["score"] > r["band"] else "bearish" if r["score"] < -r["band"] else "neutral")
+    assert {round(r["band"], 6) for r in got} != {round(r["band"], 6) for r in old.values()}
+
+
 def test_model_queries_run_whole(spark, data, monkeypatch):
     """All orders, default splits, starts, bandwidths, permutations and sessions. The fits are replaced by the view's own labels."""
     seen, folded, real = [], [], wf.fold_kernel

@@ -157,6 +157,16 @@ def consensus_hurst_band(spark, d) -> DataFrame:
     return df.select("series_id", "bar_idx", "score", "band", S.band_label(F.col("score"), F.col("band")).alias("label"))
 
 
+@query(QUERIES)
+def consensus_hurst_interval(spark, d) -> DataFrame:
+    """The band from the bootstrapped interval; consensus_hurst_band keeps the interval of 0.01 each way of its SQL."""
+    multiplier = F.when(F.col("hurst").isNull(), 2.0).otherwise(S.hurst_multiplier(F.col("hurst"), F.col("ci_low"), F.col("ci_high")))
+    h = whole_interval(spark, d).select("series_id", F.round(S.NEUTRAL_BAND * multiplier, 6).alias("band"))
+    df, votes = voted(spark, d)
+    df = rounded(consensus.consensus(df.join(h, "series_id"), votes, band=F.col("band")), 6, ["score"])
+    return df.select("series_id", "bar_idx", "score", "band", S.band_label(F.col("score"), F.col("band")).alias("label"))
+
+
 DYNAMIC = ", ".join(f"CASE WHEN count(*) OVER w > 0 THEN greatest(avg(CASE WHEN sign({v}) <> 0 AND sign({v}) = sign(nxt) THEN 1.0 ELSE 0.0 END) OVER w - 0.5::DOUBLE, 0) + 0.01::DOUBLE END AS weight_{n}" for v, n in (("v_regime", "regime"), ("v_flow", "order_flow"), ("v_kernel", "kernel")))
 
 
