@@ -68,6 +68,16 @@ def test_whole_bootstrap(spark, data):
         assert got[k]["resamples"] == 200 and (got[k]["ci_low"], got[k]["ci_high"]) == pytest.approx(tuple(brute_interval(r)), abs=1e-6)
 
 
+def test_every_window_has_an_exponent(spark, data):
+    got = {(r["series_id"], r["end_bar"]): r["hurst"] for r in catalogue.queries()["hurst_rolling_whole"](spark, data).collect()}
+    last = {r["series_id"]: r["n"] - 1 for r in views.series(spark, data).groupBy("series_id").agg(F.count("*").alias("n")).collect()}
+    assert set(got) == {(k, e) for k, n in last.items() for e in range(252, n + 1)}
+    want = hurst.rolling_dfa(views.series(spark, data).where("bar_idx < 262")).collect()
+    assert len(want) >= 40 and all(got[r["series_id"], r["end_bar"]] == pytest.approx(r["hurst"], abs=1e-6) for r in want)
+    strided = catalogue.queries()["hurst_rolling"](spark, data).collect()
+    assert all(got[r["series_id"], r["end_bar"]] == pytest.approx(r["hurst"], abs=2e-6) for r in strided)
+
+
 def test_band_follows_the_bootstrapped_interval(spark, data):
     old = {(r["series_id"], r["bar_idx"]): r for r in catalogue.queries()["consensus_hurst_band"](spark, data).collect()}
     got = catalogue.queries()["consensus_hurst_interval"](spark, data).collect()

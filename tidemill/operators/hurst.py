@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEYS, ORDER
+from ..functions.frames import KEYS, ORDER, spread
 
 LEAST_BOX, BOXES, WINDOW, RESAMPLES, CONFIDENCE = 10, 15, 252, 200, 0.95
 
@@ -62,6 +62,20 @@ def rolling_dfa(df: DataFrame, returns: str = "log_return", window: int = WINDOW
     return dfa(windows_of(df, returns, window, step, keys), "r", own).select(*own, "hurst")
 
 
+def rolling_exponent(df: DataFrame, returns: str = "log_return", window: int = WINDOW, keys: Sequence[str] = KEYS) -> DataFrame:
+    """rolling_dfa of every full window, each one array to numpy: as many rows as bars. A window of one value has no exponent."""
+    rows = df.where(F.col(returns).isNotNull())
+    by = Window.partitionBy(*keys).orderBy(ORDER)
+    rows = rows.select(*keys, F.col(ORDER).alias("end_bar"), F.collect_list(returns).over(by.rangeBetween(-(window - 1), 0)).alias("w"), F.min(ORDER).over(Window.partitionBy(*keys)).alias("first"))
+
+    @F.pandas_udf("double")
+    def found(windows: pd.Series) -> pd.Series:
+        return pd.Series([float(dfa_many(np.asarray(w, np.float64)[None])[0]) for w in windows], dtype="float64")
+
+    rows = rows.where((F.col("end_bar") >= F.col("first") + window - 1) & (F.array_min("w") < F.array_max("w")))
+    return spread(rows, *keys, "end_bar").select(*keys, "end_bar", found("w").alias("hurst"))
+
+
 def block_starts(spark, n: int, resamples: int, seed: int, block: int) -> DataFrame:
     """resample, k, start: the driver's draws, so that results do not depend on partitions; its size is resamples times blocks."""
     blocks = -(-n // block)

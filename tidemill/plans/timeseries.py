@@ -125,6 +125,12 @@ def hurst_rolling(spark, d) -> DataFrame:
     return rounded(hurst.rolling_dfa(V.series(spark, d), window=252, step=100), 6)
 
 
+@query(QUERIES)
+def hurst_rolling_whole(spark, d) -> DataFrame:
+    """Every full window; hurst_rolling keeps the stride of 100 of its SQL."""
+    return rounded(hurst.rolling_exponent(V.series(spark, d)), 6)
+
+
 @query(QUERIES, f"""WITH {V.SERIES}, r0 AS (SELECT series_id, row_number() OVER ({BY}) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n, log_return AS r FROM series WHERE log_return IS NOT NULL),
 st AS (SELECT rs AS resample, k, (rs * 7919 + k * 104729) % 500 AS start FROM range(20) a(rs), range(100) b(k)),
 rr AS (SELECT series_id, resample, k * 25 + j AS pos, r FROM st, range(25) c(j) JOIN r0 ON r0.i = st.start + c.j WHERE k * 25 + j < n),
