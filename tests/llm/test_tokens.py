@@ -11,7 +11,8 @@ from tokenizers import Tokenizer
 from tidemill.llm.common import vocabulary
 from tidemill.llm.encoding import Encoder
 from tidemill.llm.packing import cut, fullest, pack, patterns
-from tidemill.llm.token_counts import PrefixIndex, PrefixTables, count_tokens, prefix_counts, truncate_to_budget
+from tidemill.llm import token_counts as TC
+from tidemill.llm.token_counts import PrefixIndex, PrefixTables, count_tokens, prefix_index, truncate_to_budget
 from tidemill.llm.token_files import PerfectHash, Shard, read_by_key, token_files_round_trip, write_token_files
 
 WORD, BYTE = vocabulary("word_bpe_49k.json"), vocabulary("byte_bpe_50k.json")
@@ -49,39 +50,80 @@ def _shared(kind, path):
     return _made[kind]
 
 
+def every_prefix(own, text):
+    return [len(own.encoder.whole(text[:i])) for i in range(len(text) + 1)]
+
+
 def test_prefix_counts_equal_encoding_every_prefix():
     own = PrefixTables(WORD)
     random.seed(3)
     words = ["".join(random.choice("abcdefghij") for _ in range(random.randint(70, 120))) for _ in range(10)] + ["aaab" * 40, "th" * 60 + "a" * 30, "éé" * 50]
     for text in [*ODD, *words, "plain words in a row, with 12 marks!"]:
-        index = PrefixIndex(text, own)
-        want = [len(own.encoder.whole(text[:i])) for i in range(len(text) + 1)]
+        index, want = PrefixIndex.of(text, own), every_prefix(own, text)
         assert index.at.tolist() == want, text
+        assert PrefixIndex.stored(TC.packed(TC.text_steps(text, own))).at.tolist() == want
         if text:
             best = index.longest_within(3)
             assert want[best] <= 3 and all(n > 3 for n in want[best + 1 :])
 
 
+#: Marks that compose, decomposed kana and Hangul, letters that grow in lower case, joiners, contractions and special strings.
+MIXED = "abE' é1<|>\u0301\xa0ßİ日か\u3099がกำ\u1100\u1161\u11a8가각ΣςŉǅẠ\u0323\u030a\u0307😀٣\u200dﷺ!\"s"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(list(MIXED)), st.sampled_from(["'re", "'ll", "か" * 11, "!" * 12, "<|endoftext|>", "<|startof"])), max_size=30))
+def test_prefix_counts_of_any_text(parts):
+    if "own" not in _made:
+        _made["own"] = PrefixTables(WORD)
+    text = "".join(parts)
+    assert PrefixIndex.of(text, _made["own"]).at.tolist() == every_prefix(_made["own"], text)
+
+
+@pytest.mark.parametrize("text", ["İ" + "abcdefgh" * 12_500, "か\u3099き\u3099" * 25_000, "a" * 50_000 + "e\u0301" * 25_000, "ภาษาไทย" * 14_000, "<|endoftext|>abc" * 6000])
+def test_very_long_chunks_in_linear_time(text):
+    import time
+
+    own, rng, began = PrefixTables(WORD), random.Random(1), time.process_time()
+    index = PrefixIndex.of(text, own)
+    assert time.process_time() - began < 20
+    for i in [len(text), *(rng.randrange(len(text)) for _ in range(4))]:
+        assert index.at[i] == own.count_all([text[:i]])[0]
+
+
+def test_small_caches_change_nothing(monkeypatch):
+    monkeypatch.setattr(TC, "TABLES", 5)
+    monkeypatch.setattr(TC, "SWEEP", 3)
+    monkeypatch.setattr(TC, "PAIR_SLOTS", 1 << 20)
+    own = PrefixTables(WORD)
+    for text in ODD * 2:
+        assert PrefixIndex.of(text, own).at[-1] == len(own.encoder.whole(text))
+
+
 def test_count_tokens(spark, odd, none):
     t = Tokenizer.from_file(WORD)
-    rows = odd.select("doc_id", "text").collect()
+    size = lambda text: len(t.encode(text, add_special_tokens=False).ids)
     got = Counter(tuple(r) for r in count_tokens(odd, limit=10).collect())
     want = Counter()
-    for r in rows:
-        n = len(t.encode(r["text"] or "", add_special_tokens=False).ids)
-        want[r["doc_id"], len((r["text"] or "").encode()), n, n > 10] += 1
+    for r in odd.select("doc_id", "text").collect():
+        text = r["text"] or ""
+        n = size(text)
+        fits = len(text) if n <= 10 else max(i for i in range(min(len(text), 200) + 1) if size(text[:i]) <= 10)
+        want[r["doc_id"], len(text.encode()), n, n > 10, fits] += 1
     assert got == want
-    assert count_tokens(none).count() == 0
+    assert count_tokens(none).count() == 0 and prefix_index(none).count() == 0
 
 
-def test_truncation_without_encoding_again(spark, odd):
+def test_truncation_keeps_rows_and_columns(spark, odd, none):
     t = Tokenizer.from_file(WORD)
-    small = odd.where("doc_id in (1, 5, 9, 12, 14)")
-    cut_ = {r["doc_id"]: r["text"] for r in truncate_to_budget(small, prefix_counts(small), 6).collect()}
+    small = odd.where("doc_id in (1, 4, 5, 9, 12, 14)").union(odd.where("doc_id = 14"))
+    got = truncate_to_budget(small, 6)
+    assert got.columns == odd.columns and truncate_to_budget(none, 6).count() == 0
+    cut_ = Counter()
     for r in small.collect():
-        text = r["text"] or ""
-        fits = [i for i in range(len(text) + 1) if len(t.encode(text[:i], add_special_tokens=False).ids) <= 6]
-        assert cut_[r["doc_id"]] == text[: max(fits)]
+        text = r["text"]
+        cut_[r["doc_id"], text and text[: max(i for i in range(len(text) + 1) if len(t.encode(text[:i], add_special_tokens=False).ids) <= 6)]] += 1
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == cut_
 
 
 def test_perfect_hash_is_minimal():
