@@ -8,6 +8,7 @@ import tidemill.llm.ngram_join as J
 from tests.llm.conftest import corpus
 from tidemill.llm.components import components
 from tidemill.llm.exact_dedup import drop_exact_copies, exact_groups
+from tidemill.llm.ngram_join import met_in_buckets
 
 
 def norm(text):
@@ -81,8 +82,8 @@ def sets_of(rows, k):
     return out
 
 
-def brute_components(rows, k, num, den):
-    sets = sets_of([r for r in rows if r[0] is not None], k)
+def brute_links(sets, num, den):
+    """Roots of the sets named by keys, linked by all pairs."""
     up = {i: i for i in sets}
 
     def root(x):
@@ -98,7 +99,47 @@ def brute_components(rows, k, num, den):
             if x and y and den * both >= num * (len(x) + len(y) - both):
                 p, q = root(ids[a]), root(ids[b])
                 up[max(p, q)] = min(p, q)
-    return {i: (len(sets[i]), root(i)) for i in ids}
+    return {i: root(i) for i in ids}
+
+
+def brute_components(rows, k, num, den):
+    sets = sets_of([r for r in rows if r[0] is not None], k)
+    return {i: (len(sets[i]), r) for i, r in brute_links(sets, num, den).items()}
+
+
+def brute_repeated(rows, k, num, den):
+    """(doc_id, n, component) of every row, where rows of a doc_id are one document."""
+    sets = [sets_of([r], k)[r[0]] for r in rows]
+    root = brute_links({i: s for i, (s, r) in enumerate(zip(sets, rows)) if r[0] is not None}, num, den)
+    up = {}
+
+    def top(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            for a, b in ((("row", i), ("row", root[i])), (("row", i), ("id", r[0]))):
+                up[top(a)] = top(b)
+    least = {}
+    for r in rows:
+        if r[0] is not None:
+            least[top(("id", r[0]))] = min(least.get(top(("id", r[0])), r[0]), r[0])
+    return sorted(((r[0], len(s), None if r[0] is None else least[top(("id", r[0]))]) for r, s in zip(rows, sets)), key=str)
+
+
+def brute_kept(rows, k, num, den):
+    """The rows that stay, texts by their word sets: of linked texts the smallest doc_id; other texts of the id stay."""
+    sets = [frozenset(sets_of([r], k)[r[0]]) for r in rows]
+    inner = [i for i, (r, s) in enumerate(zip(rows, sets)) if r[0] is not None and s]
+    root = brute_links({i: sets[i] for i in inner}, num, den)
+    best = {}
+    for i in inner:
+        best.setdefault(root[i], []).append((rows[i][0], sets[i]))
+    kept = [(rows[i][0], sets[i]) for i in range(len(rows)) if i not in root]
+    low = {r: min(x[0] for x in found) for r, found in best.items()}
+    return kept, {r: {s for d, s in found if d == low[r]} for r, found in best.items()}, low
 
 
 def noisy(n, rng, base, edits):
@@ -129,6 +170,63 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, k, num, paired):
     assert got == brute_components(rows, k, num, 100)
 
 
+REPEATED = [(1, "a b c d e f g h i j"), (5, "a b c d e f g h i j"), (5, " ".join(f"z{i}" for i in range(60))), (9, " ".join(f"z{i}" for i in range(60)) + " q"), (9, ""), (7, "u v w x y z"), (7, "U  v w x y z"), (7, None), (None, "u v w x y z"), (8, "U V W X Y Z"), (6, "only this one here"), (6, "and another text of the id"), (6, "and another text of the id")]
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_one_id_under_several_texts(spark, monkeypatch, bound):
+    monkeypatch.setattr(J, "BROADCAST_IDS", bound)
+    rows = REPEATED + [(100 + i % 40, t) for i, (_, t) in enumerate(near_rows(3))]
+    docs = corpus(spark, [(i, t, "en", "a") for i, t in rows])
+    got = J.near_duplicates(docs, 3, 80, 100).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_repeated(rows, 3, 80, 100)
+    stay = [(r["doc_id"], r["text"]) for r in J.drop_near_copies(docs, 3, 80, 100).collect()]
+    alone, groups, low = brute_kept(rows, 3, 80, 100)
+    sets = [(i, frozenset(sets_of([(i, t)], 3)[i])) for i, t in stay]
+    for found in alone:  # null ids and texts without words stay
+        assert found in sets
+    left = [x for x in sets if x[0] is not None and x[1]]
+    assert len(groups) == len(set(left))
+    assert all(any(i == low[r] and s in own for r, own in groups.items()) for i, s in left)
+
+
+def test_a_hub_of_one_id(spark):
+    """The verdict's case: another text of a repeated id keeps its links, and stays where documents are dropped."""
+    z = " ".join(f"z{i}" for i in range(58))
+    docs = corpus(spark, [(1, "b c d e f", "en", "a"), (5, "b c d e f", "en", "a"), (5, z, "en", "a"), (9, z + " q", "en", "a")])
+    assert sorted((r["doc_id"], r["component_id"]) for r in J.near_duplicates(docs).collect()) == [(1, 1), (5, 1), (5, 1), (9, 1)]
+    assert sorted((r["doc_id"], r["text"]) for r in J.drop_near_copies(docs).collect()) == [(1, "b c d e f"), (5, z)]
+
+
+def test_few_listed_tokens_change_no_link_and_bound_the_candidates(spark, monkeypatch):
+    """A list of common tokens that holds next to nothing: the rows that buckets give stay linear in the prefixes."""
+    rows = near_rows(11)
+    seen = {}
+    for most in (1 << 20, 3):
+        monkeypatch.setattr(J, "MOST_COMMON", most)
+        made = []
+        monkeypatch.setattr(J, "met_in_buckets", lambda t, *a, f=met_in_buckets: made.append((t, f(t, *a))) or made[-1][1])
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.near_duplicates(corpus(spark, [(i, t, "en", "a") for i, t in rows]), 3, 80, 100).collect() if r["doc_id"] is not None}
+        assert got == brute_components(rows, 3, 80, 100)
+        seen[most] = [(t.count(), m.count()) for t, m in made]
+        assert all(out <= J.PAIRED * taken for taken, out in seen[most])
+
+
+def test_wide_buckets_are_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(J, "WIDE", 3)
+    rows = near_rows(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.near_duplicates(corpus(spark, [(i, t, "en", "a") for i, t in rows]), 3, 80, 100).collect() if r["doc_id"] is not None}
+    assert got == brute_components(rows, 3, 80, 100)
+
+
+def test_frequencies_beyond_a_byte_are_told_apart(spark):
+    docs = corpus(spark, [(i, "common words here " + ("rarer words there " if i % 4 == 0 else "") + f"x{i} y{i} z{i}", "en", "a") for i in range(1400)])
+    cells, classes = J.common_tokens(J.described(docs, 3, 20, 8).where("kind = 1"), 20, 8)
+    import numpy as np
+
+    assert set(np.frombuffer(classes, np.uint8).tolist()) >= {8, 10} and len(cells) == 8 * len(classes)
+
+
 def test_stars_and_tiles_are_taken(spark, monkeypatch):
     monkeypatch.setattr(J, "PAIRED", 3)
     taken = []
