@@ -70,6 +70,25 @@ def test_shuffled_keys_beyond_the_broadcast_bound(spark, odd, monkeypatch):
     assert drop_exact_copies(odd).count() == 12
 
 
+def test_few_digests_beyond_the_broadcast_bound(spark, monkeypatch):
+    """A bitmap in place of the list: survivors and at most a few others have their content hashed."""
+    import tidemill.llm.exact_dedup as E
+
+    rows = [(i, f"text {i % 700:05d}" if i >= 1300 else f"alone {i:05d}") for i in range(2000)]
+    docs = corpus(spark, [(i, t, "en", "a") for i, t in rows])
+    made = {}
+    monkeypatch.setattr(E, "stored", lambda df, name, f=E.stored: made.setdefault(name, f(df, name)))
+    monkeypatch.setattr(E, "BROADCAST_ROWS", 0)
+    assert E.exact_groups(docs, digest_all=False).where("group_size > 1").count() == 0
+    assert made["content"].where("text_sha256 is not null").count() == 0
+    made.clear()
+    rows += [(3000 + i, f"alone {i:05d}") for i in range(100)]
+    docs = corpus(spark, [(i, t, "en", "a") for i, t in rows])
+    assert E.exact_groups(docs, digest_all=False).where("group_size = 2").count() == 200
+    assert 200 <= made["content"].where("text_sha256 is not null").count() <= 260
+    assert "bitmap" in made
+
+
 def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 

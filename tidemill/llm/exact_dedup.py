@@ -1,9 +1,11 @@
 """Operator 7: exact dedup by progressive refinement, in DataFrame operations only.
 
-Texts are equal when identical after each run of ASCII white space became one space. Rows are grouped by length; only rows of
-a length that occurs again have the hash of their first characters taken; only rows whose length and head occur again have
-their whole content hashed and compared by it. Each level is an aggregation of narrow rows with partial sums before the
-shuffle, so a text that a third of all rows share costs one row a task; no text is ever shuffled.
+Texts are equal when identical after each run of ASCII white space became one space. Rows are grouped by length; rows of a
+length that occurs again are grouped by the hash of their first characters too; only rows whose length and head occur again
+have their whole content hashed and compared by it. One pass over the texts writes length and head (narrow rows), another reads
+the survivors' content: those whose head is in a broadcast list or, where that would be too long, in a bitmap of hashed heads of
+bounded size, whose few false survivors drop out when narrow rows meet the heads. Groups are aggregations with partial sums
+before the shuffle, so a text that a third of all rows share costs one row a task; no text is ever shuffled.
 
 Edge cases: a null text counts as empty, and empty texts are equal to each other; a null doc_id comes after all others when
 the row that stays is chosen; rows that repeat a doc_id are rows of their own, of which one stays; an empty table gives an
@@ -11,42 +13,76 @@ empty result; other columns are not read.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, normal_space, small, stored
+from .common import discard, hinted, normal_space, small, stored
 
 #: Characters whose hash makes the second level.
 HEAD = 256
 #: Rows of a key table up to which it is broadcast (16 bytes a row).
 BROADCAST_ROWS = 500_000
+#: Bits of a bitmap for each head, and in all at most (64 MB); bits of one of its rows.
+BITS_A_HEAD, MOST_BITS, ROW_BITS = 8, 1 << 29, 1 << 15
 
 
 def digest(text_col: str = "text"):
     return F.sha2(normal_space(F.col(text_col)).cast("binary"), 256)
 
 
+def bitmap(heads: DataFrame) -> tuple[DataFrame, int]:
+    """Rows (slot, bits) of a bitmap in which the hash of each head of heads (n2, head2) is set, and its number of bits."""
+    wanted = max(1, heads.count()) * BITS_A_HEAD
+    bits = min(MOST_BITS, max(ROW_BITS, 1 << (wanted - 1).bit_length()))
+    at = place(F.col("n2"), F.col("head2"), bits)
+    return heads.groupBy(slot_of(at).alias("slot")).agg(F.bitmap_construct_agg(at % ROW_BITS).alias("bits")), bits
+
+
+def place(n: Column, head: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(n, head), F.lit(bits))
+
+
+def slot_of(at: Column) -> Column:
+    return F.floor(at / ROW_BITS).cast("bigint")
+
+
+def is_set(bits: Column, at: Column) -> Column:
+    """The bit of a row of the bitmap; false where there is no such row."""
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(at % ROW_BITS / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1, F.lit(False))
+
+
+def surviving(sized: DataFrame, heads: DataFrame) -> DataFrame:
+    """sized with survives: true for every row whose length and head are in heads, and few others."""
+    if small(heads, BROADCAST_ROWS):
+        same = (F.col("n") == F.col("n2")) & (F.col("head") == F.col("head2"))
+        return sized.join(F.broadcast(heads), same, "left").withColumn("survives", F.col("n2").isNotNull()).drop("n2", "head2")
+    rows, bits = bitmap(heads)
+    at = place(F.col("n"), F.col("head"), bits)
+    met = sized.join(F.broadcast(stored(rows, "bitmap")), slot_of(at) == F.col("slot"), "left")  # MOST_BITS at most
+    return met.withColumn("survives", is_set(F.col("bits"), at)).drop("slot", "bits")
+
+
 def refined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
-    """A stored table: row (a number of its own), doc_id, crowded, text_sha256 (null where not needed, unless digest_all)."""
+    """From stored tables: row (a number of its own), doc_id, crowded, text_sha256 (null where not needed, unless digest_all)."""
     clean = normal_space(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), clean.alias("clean"))
-    sized = rows.withColumn("n", F.length("clean"))
-    # Level 1: lengths that occur again.
-    lengths = stored(sized.groupBy("n").count().where("count > 1").select(F.col("n").alias("n1")), "lengths")
-    head = F.xxhash64(F.substring("clean", 1, HEAD))
-    # Level 2: heads of those lengths that occur again. Only narrow rows leave the scan.
-    heads = sized.select("n", head.alias("head")).join(hinted(lengths, BROADCAST_ROWS), F.col("n") == F.col("n1"), "left_semi")
-    heads = stored(heads.groupBy("n", "head").count().where("count > 1").select(F.col("n").alias("n2"), F.col("head").alias("head2")), "heads")
+    sized = docs.select(F.col(id_col).alias("doc_id"), clean.alias("clean")).withColumn("n", F.length("clean")).withColumn("head", F.xxhash64(F.substring("clean", 1, HEAD)))
+    narrow = stored(sized.select("n", "head"), "narrow")
+    # Level 1: lengths that occur again. Level 2: heads of those lengths that occur again.
+    lengths = stored(narrow.groupBy("n").agg(F.count("*").alias("c")).where("c > 1").select(F.col("n").alias("n1")), "lengths")
+    heads = narrow.join(hinted(lengths, BROADCAST_ROWS), F.col("n") == F.col("n1"), "left_semi")
+    heads = stored(heads.groupBy("n", "head").agg(F.count("*").alias("c")).where("c > 1").select(F.col("n").alias("n2"), F.col("head").alias("head2")), "heads")
+    # Level 3: the whole content, of survivors only.
     full = F.sha2(F.col("clean").cast("binary"), 256)
-    keyed = sized.withColumn("head", head).withColumn("row", F.monotonically_increasing_id())
-    same = (F.col("n") == F.col("n2")) & (F.col("head") == F.col("head2"))
-    # Level 3: the whole content, of survivors only. Too many heads for a broadcast: hash at the scan and join narrow rows.
+    met = surviving(sized.withColumn("row", F.monotonically_increasing_id()), heads)
+    met = stored(met.select("row", "doc_id", "n", "head", "survives", (full if digest_all else F.when(F.col("survives"), full)).alias("text_sha256")), "content")
     if small(heads, BROADCAST_ROWS):
-        met = keyed.join(F.broadcast(heads), same, "left").withColumn("crowded", F.col("n2").isNotNull())
-        met = met.withColumn("text_sha256", full if digest_all else F.when(F.col("crowded"), full))
-    else:
-        met = keyed.withColumn("text_sha256", full).select("row", "doc_id", "n", "head", "text_sha256").join(heads, same, "left").withColumn("crowded", F.col("n2").isNotNull())
-    return stored(met.select("row", "doc_id", "crowded", "text_sha256"), "digests")
+        out = met.withColumn("crowded", F.col("survives"))
+    else:  # the bitmap's false survivors drop out
+        out = met.join(heads, (F.col("n") == F.col("n2")) & (F.col("head") == F.col("head2")), "left").withColumn("crowded", F.col("n2").isNotNull())
+    out = out.select("row", "doc_id", "crowded", "text_sha256")
+    discard(narrow, lengths)
+    return out
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = True) -> DataFrame:
