@@ -91,6 +91,30 @@ def test_language_of_odd_rows(spark, odd, none):
     assert kept.count() == odd.count() - 4 and L.keep_known_languages(none).count() == 0
 
 
+def test_every_language_is_learnt(spark):
+    """One language of very many words does not crowd out small ones; texts are told apart by each language's own syllables."""
+    rng = random.Random(2)
+    syllables = {f"l{k:02d}": [a + b for a in "bdfgklmnprst"[k % 12 : k % 12 + 3] or "bd" for b in "aeiou"[k // 12 : k // 12 + 2]] for k in range(24)}
+    word = lambda own: "".join(rng.choice(own) for _ in range(rng.randint(2, 5)))
+    rows = [(i, " ".join(f"{word(syllables['l00'])}{word('abcdefghijklmnopqrstuvwxyz')}" for _ in range(2000)), "l00", "s") for i in range(60)]
+    for k, own in list(syllables.items())[1:]:
+        rows += [(len(rows) + j, " ".join(word(own) for _ in range(40)), k, "s") for j in range(10)]
+    docs = corpus(spark, rows)
+    model = L.train(docs)
+    assert model.languages == sorted(syllables)
+    got = L.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang <> 'l00'").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.7
+
+
+def test_without_labels_nothing_is_dropped(spark, odd):
+    docs = corpus(spark, [(1, "some text", None, "a"), (2, None, None, "a")])
+    assert L.train(docs) is None and L.keep_known_languages(docs).count() == 2
+
+
+def test_long_runs_of_letters_are_learnt_in_stretches():
+    assert L.stretches("a" * 150) == ["a" * 60, "a" * 60, "a" * 30] and L.stretches("abc") == ["abc"]
+
+
 # Mixing --------------------------------------------------------------------------------------------------------------
 
 def words(text):

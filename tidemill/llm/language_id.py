@@ -3,13 +3,15 @@
 Each language has probabilities for the pieces of one fixed public vocabulary. A word's probability is the sum over all its
 segmentations into pieces, found by the forward algorithm; a text's is the product over its words, and the prediction is the
 language of the largest posterior. Piece probabilities are learnt by expectation maximisation over the words of labelled
-documents that are not held out. Learning takes a bounded sample: about ``train_docs`` documents a language, chosen by a hash of
-their id, and of their (language, word) counts the ``train_words`` most frequent; prediction takes whole texts.
-
-Words are runs of letters in lower case. Edge cases: null text or text without a letter is 'und' with score 0, and so is every
-text when there is nothing to learn from; a null doc_id counts as held out; repeated rows give repeated rows; an empty table an
-empty result; lang, source and doc_id never enter a prediction, other columns are not read. Equal posteriors go to the
-language that sorts first.
+documents that are not held out. Learning takes a bounded sample of them: about ``train_docs`` documents a language, chosen by
+a hash of their id, with all their words; prediction takes whole texts. Each language is learnt by itself in a task of its own;
+the driver gets one row of piece probabilities a language.
+
+Words are runs of letters in lower case; for learning, a run of more than ``LONG`` letters counts as stretches of so many.
+Edge cases: null text or text without a letter is 'und' with score 0, and so is every text when there is nothing to learn from
+(``keep_known_languages`` then keeps all rows, as nothing is known against them); a null doc_id counts as held out; repeated rows
+give repeated rows; an empty table an empty result; lang, source and doc_id never enter a prediction, other columns are not
+read. Equal posteriors go to the language that sorts first.
 """
 from __future__ import annotations
 
@@ -17,7 +19,7 @@ import re
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
@@ -25,18 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, give_back, in_worker, trimmed, vocabulary
+from .common import bounded_batches, give_back, hinted, in_worker, stored, trimmed, vocabulary
 from .encoding import texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 #: Word scores a worker keeps; texts learnt from at once; words of more code points go through one by one, in logarithms.
 KEPT, TOGETHER, LONG = 150_000, 128, 60
-#: Words whose lattices the driver holds dense tables for at once.
+#: Words whose lattices stand in dense tables at once.
 FITTED_AT_ONCE = 8192
 #: Added to each expected piece count.
 SMOOTHING = 0.05
 ROUNDS = 3
+#: Languages up to which their table is broadcast.
+BROADCAST_LANGUAGES = 100_000
 #: A factor a code point that keeps products of piece probabilities near 1.
 SCALE = 12.0
 
@@ -163,57 +167,60 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def fit(counts: Iterable[tuple[str, str, int]], priors: dict[str, int], path: str) -> Model | None:
-    """counts: (language, word, n)."""
-    pieces = pieces_of(path)
+def fitted(words: list[str], counts: np.ndarray, pieces: dict[str, int]) -> np.ndarray:
+    """log probabilities of the pieces, the unknown character last, for one language's words."""
     heads = {p[:i] for p in pieces for i in range(1, len(p))}
-    by: dict[str, list[tuple[str, int]]] = {}
-    for language, word, n in counts:
-        if len(word) <= LONG:
-            by.setdefault(language, []).append((word, n))
-    languages, rows = sorted(by), []
-    if not languages:
-        return None
+    parts = ((words[i : i + FITTED_AT_ONCE], counts[i : i + FITTED_AT_ONCE]) for i in range(0, len(words), FITTED_AT_ONCE))
+    nets = [(Lattice(part, pieces, heads), weights) for part, weights in parts]
     lengths = np.array([len(p) for p in pieces] + [1])
-    for language in languages:
-        parts = [by[language][i : i + FITTED_AT_ONCE] for i in range(0, len(by[language]), FITTED_AT_ONCE)]
-        nets = [(Lattice([w for w, _ in part], pieces, heads), np.array([n for _, n in part], np.float64)) for part in parts]
-        p = sum(np.bincount(net.piece, weights[net.word], len(pieces) + 1) for net, weights in nets) + SMOOTHING
-        for _ in range(ROUNDS):
-            p /= p.sum()
-            p = sum(net.expected(p * SCALE**lengths, weights, len(pieces) + 1) for net, weights in nets) + SMOOTHING
-        rows.append(np.log(p / p.sum()))
-    prior = np.array([priors.get(x, 0) + 1.0 for x in languages])
-    return Model(languages, np.array(rows), np.log(prior / prior.sum()), pieces)
+    p = sum(np.bincount(net.piece, weights[net.word], len(pieces) + 1) for net, weights in nets) + SMOOTHING
+    for _ in range(ROUNDS):
+        p = p / p.sum()
+        p = sum(net.expected(p * SCALE**lengths, weights, len(pieces) + 1) for net, weights in nets) + SMOOTHING
+    return np.log(p / p.sum())
+
+
+def stretches(word: str) -> list[str]:
+    return [word] if len(word) <= LONG else [word[i : i + LONG] for i in range(0, len(word), LONG)]
 
 
 def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model", train_docs: int = 800, train_words: int = 200_000) -> Model | None:
-    """From text and lang of labelled documents that are not held out."""
+def train(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model", train_docs: int = 800) -> Model | None:
+    """From text and lang of labelled documents that are not held out, about train_docs of each language."""
     bounded_batches(docs.sparkSession)
+    path = vocabulary(vocabulary_file)
     known = docs.where(F.col("lang").isNotNull() & ~held_out()).select(F.col("lang").cast("string").alias("lang"), "text", "doc_id")
-    priors = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    rate = F.lit(0.0)
-    for language, n in priors.items():
-        rate = F.when(F.col("lang") == language, min(1.0, train_docs / n)).otherwise(rate)
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 24)) < rate * float(1 << 24)).select("lang", "text")
+    sizes = stored(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    rate = F.least(F.lit(1.0), F.lit(float(train_docs)) / F.col("n"))
+    met = known.join(hinted(sizes.withColumnRenamed("lang", "l"), BROADCAST_LANGUAGES), F.col("lang") == F.col("l"))
+    sample = met.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 24)) < rate * float(1 << 24)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: Counter = Counter()
             for language, text in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
                 for w, n in Counter(words_of(text)).items():
-                    seen[language, w] += n
+                    for part in stretches(w):
+                        seen[language, part] += n
             if seen:
                 keys = list(seen)
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([seen[k] for k in keys], pa.int64())], ["lang", "word", "n"])
 
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.sort_by("word")  # sums in one order, whatever the partitions
+        p = fitted(table.column("word").to_pylist(), table.column("n").to_numpy().astype(np.float64), pieces_of(path))
+        return pa.table({"lang": table.column("lang").slice(0, 1), "log_p": pa.array([p.astype("<f8").tobytes()], pa.binary())})
+
     words = sample.mapInArrow(trimmed(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rows = words.orderBy(F.desc("n"), "lang", "word").limit(train_words).toArrow()
-    return fit(zip(*(rows.column(c).to_pylist() for c in ("lang", "word", "n"))), priors, vocabulary(vocabulary_file))
+    rows = words.groupBy("lang").applyInArrow(learn, "lang string, log_p binary").join(sizes, "lang").collect()  # a row a language
+    if not rows:
+        return None
+    rows = sorted(rows, key=lambda r: r["lang"])
+    prior = np.array([r["n"] + 1.0 for r in rows])
+    return Model([r["lang"] for r in rows], np.array([np.frombuffer(r["log_p"], "<f8") for r in rows]), np.log(prior / prior.sum()), pieces_of(path))
 
 
 def identify(docs: DataFrame, model: Model | None, kept: int = 400_000) -> DataFrame:
@@ -245,7 +252,7 @@ def keep_known_languages(docs: DataFrame, least_score: float = 0.5) -> DataFrame
 
     model = train(docs)
     if model is None:
-        return docs.limit(0)
+        return docs
     sent, key = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p, model.log_prior, model.pieces)), zlib.crc32(model.log_p.tobytes())
 
     @pandas_udf("double")
