@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tests.llm.conftest import corpus
 from tidemill.llm.common import vocabulary
 from tidemill.llm.encoding import Encoder
 from tidemill.llm.packing import cut, fullest, pack, patterns
@@ -147,6 +148,23 @@ def test_token_files_round_trip(spark, odd, none):
     assert token_files_round_trip(spark, none).count() == 0
 
 
+def test_one_id_in_several_shards(spark, monkeypatch):
+    """Rows of a hot id, and of a null one, are cut by their text; every row is read back once, in order."""
+    import tidemill.llm.token_files as TF
+
+    monkeypatch.setattr(TF, "SHARD_BYTES", 400)
+    rows = [(i, f"word{i} and more of it", "en", "a") for i in range(60)] + [(30, f"text {i:03d} of one id", "en", "a") for i in range(150)] + [(None, f"none {i:03d}", "en", "a") for i in range(80)]
+    docs = corpus(spark, rows)
+    manifest = write_token_files(docs, TF.new_path(spark, "tokens"))
+    assert sum(m["null_rows"] > 0 for m in manifest) > 1 and sum(m["low"] is not None and m["low"] <= 30 <= m["high"] for m in manifest) > 1
+    t, at, want = Tokenizer.from_file(WORD), 0, Counter()
+    for i, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        want[i, at, len(ids), zlib.crc32(ids.tobytes())] += 1
+        at += len(ids)
+    assert Counter(tuple(r) for r in read_by_key(docs, manifest).collect()) == want
+
+
 def test_unknown_keys_are_not_found(spark, odd, tmp_path):
     manifest = write_token_files(odd, f"file://{tmp_path}/t")
     asked = spark.createDataFrame([(i,) for i in (3, 99, -5, 10**12)], "doc_id long")

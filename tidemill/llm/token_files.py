@@ -1,19 +1,23 @@
 """Operator 3: token ids as binary shards, with a minimal perfect hash from document keys to offsets.
 
-Documents are dealt out by ranges of doc_id and sorted, so shard after shard holds the ids in ascending doc_id order. Each
-shard file carries its raw ids and an index over its keys: a multi-level perfect hash (each level a bit array of keys that
-met no other key there; the rank of a key's bit is its slot), and for each slot a stored 32-bit fingerprint of the key, the
-offset of its ids and their number. A lookup reads a constant expected number of bits, one slot and one stretch of ids, and
-answers None for keys that are not there (a wrong answer needs a 32-bit fingerprint match on top of a full slot).
+Documents are dealt out by ranges of doc_id and sorted, so shard after shard holds the ids in ascending doc_id order; how many
+shards there are follows from the size of the input, at about ``SHARD_BYTES`` of it each. A shard is written as a stream, ids
+first and a footer after them: an index over its keys in the form of a multi-level perfect hash (each level a bit array of keys
+that met no other key there; the rank of a key's bit is its slot), and for each slot a stored 32-bit fingerprint of the key,
+its first record and their number, then the offset of every record. A task holds the keys and counts of its shard, never its
+ids. A lookup reads a constant expected number of bits, one slot and one stretch of ids, and answers None for keys that are not
+there (a wrong answer needs a 32-bit fingerprint match on top of a full slot).
 
 Edge cases: a null text is the empty document (its end id alone); a null doc_id is stored first and reached by its own slot
-outside the hash; rows that repeat a doc_id stand side by side and share a slot that counts them. An empty table makes no
-shard. Other columns are not read.
+outside the hash; rows that repeat a doc_id stand side by side by their text and share a slot that counts them; very many of
+them, or of null ids, are cut into several shards by the beginning of their text, and a lookup asks each of these. An empty
+table makes no shard. Other columns are not read.
 """
 from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_path, trimmed, vocabulary
+from .common import bounded_batches, fanout, new_path, trimmed, vocabulary
 from .encoding import encoder, texts_of
 
-MAGIC = b"TMTOK01\n"
-_HEADER = struct.Struct("<8sqqqqqq")  # magic, bytes an id, ids, records, keys, bytes of bits, levels
+MAGIC = b"TMTOK02\n"
+_TRAILER = struct.Struct("<qqqqqqq8s")  # where the footer begins, bytes an id, ids, records, keys, records of a null key, levels, magic
+#: Bytes of text a shard is made for; characters of a text by which rows of one id may be cut into shards.
+SHARD_BYTES, CUT_CHARS = 256 << 20, 64
 GAMMA = 2  # bits a key at each level
 MAX_LEVELS = 64
 
@@ -82,11 +88,8 @@ def _file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_shard(uri: str, keys: np.ndarray, counts: np.ndarray, null_rows: int, chunks: list[bytes], width: int) -> None:
-    """One shard under a name of its own attempt, then moved into place: a task that runs twice leaves the same file.
-
-    keys: distinct, ascending. counts: ids of each record, null keys first. A key's slot holds its first record.
-    """
+def shard_index(keys: np.ndarray, counts: np.ndarray, null_rows: int, width: int, at: int) -> Iterator[bytes]:
+    """The footer and trailer of a shard whose ids end at byte ``at``. keys: ascending, without the null ones. counts: ids of each record, null keys first. A key's slot holds its first record."""
     first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     runs = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     distinct = keys[runs]
@@ -96,20 +99,39 @@ def write_shard(uri: str, keys: np.ndarray, counts: np.ndarray, null_rows: int,
     slot = table.slots(distinct)
     prints, records, times = np.zeros(len(slot), "<u4"), np.zeros(len(slot), "<i8"), np.zeros(len(slot), "<i8")
     prints[slot], records[slot], times[slot] = fingerprint(distinct), record, repeats
-    bits = [np.packbits(x) for x in table.levels]
-    system, path = _file_system(uri)
-    part = f"{path}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}.tmp"
-    system.create_dir(path.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(part) as out:
-        out.write(_HEADER.pack(MAGIC, width, int(first[-1]), len(counts), len(slot), null_rows, len(bits)))
-        for x in table.levels:
-            out.write(struct.pack("<q", len(x)))
-        for x in bits:
-            out.write(x.tobytes())
-        out.write(prints.tobytes() + records.tobytes() + times.tobytes() + first.astype("<i8").tobytes())
-        for x in chunks:
-            out.write(x)
-    system.move(part, path)
+    yield struct.pack(f"<{len(table.levels)}q", *map(len, table.levels))
+    for x in table.levels:
+        yield np.packbits(x).tobytes()
+    yield from (prints.tobytes(), records.tobytes(), times.tobytes(), first.astype("<i8").tobytes())
+    yield _TRAILER.pack(at, width, int(first[-1]), len(counts), len(slot), null_rows, len(table.levels), MAGIC)
+
+
+class ShardWriter:
+    """A shard under a name of its own attempt, moved into place at the end: a task that runs twice leaves the same file."""
+
+    def __init__(self, uri: str, width: int) -> None:
+        self.system, self.path = _file_system(uri)
+        self.part = f"{self.path}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}.tmp"
+        self.system.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.out, self.width, self.at, self.null_rows = self.system.open_output_stream(self.part), width, 0, 0
+        self.keys, self.counts = [], array("q")
+
+    def add(self, keys: pa.Array, records: list[bytes]) -> None:
+        self.null_rows += keys.null_count
+        self.keys.append(keys.drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
+        self.counts.extend(len(r) // self.width for r in records)
+        raw = b"".join(records)
+        self.out.write(raw)
+        self.at += len(raw)
+
+    def close(self) -> np.ndarray:
+        """The keys of the shard, ascending."""
+        keys = np.concatenate(self.keys) if self.keys else np.zeros(0, np.int64)
+        for x in shard_index(keys, np.frombuffer(self.counts, np.int64), self.null_rows, self.width, self.at):
+            self.out.write(x)
+        self.out.close()
+        self.system.move(self.part, self.path)
+        return keys
 
 
 class Shard:
@@ -118,16 +140,18 @@ class Shard:
     def __init__(self, uri: str) -> None:
         system, path = _file_system(uri)
         self.file = system.open_input_file(path)
-        magic, self.width, self.n_ids, self.n_records, self.n_keys, self.null_rows, n_levels = _HEADER.unpack(self.file.read(_HEADER.size))
+        size = self.file.size()
+        self.file.seek(size - _TRAILER.size)
+        at, self.width, self.n_ids, self.n_records, self.n_keys, self.null_rows, n_levels, magic = _TRAILER.unpack(self.file.read(_TRAILER.size))
         if magic != MAGIC:
             raise ValueError(f"{uri} is not a token file")
-        sizes = [struct.unpack("<q", self.file.read(8))[0] for _ in range(n_levels)]
+        self.file.seek(at)
+        sizes = struct.unpack(f"<{n_levels}q", self.file.read(8 * n_levels))
         self.table = PerfectHash([np.unpackbits(np.frombuffer(self.file.read((s + 7) // 8), np.uint8), count=s).astype(bool) for s in sizes])
         self.prints = np.frombuffer(self.file.read(4 * self.n_keys), "<u4")
         self.records = np.frombuffer(self.file.read(8 * self.n_keys), "<i8")
         self.times = np.frombuffer(self.file.read(8 * self.n_keys), "<i8")
         self.first = np.frombuffer(self.file.read(8 * (self.n_records + 1)), "<i8")
-        self.base = self.file.tell()
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First record and number of records of each key; -1 and 0 for keys that are not in the shard."""
@@ -139,13 +163,20 @@ class Shard:
         return record, times
 
     def ids(self, record: int) -> np.ndarray:
-        self.file.seek(self.base + int(self.first[record]) * self.width)
+        self.file.seek(int(self.first[record]) * self.width)
         return np.frombuffer(self.file.read(int(self.first[record + 1] - self.first[record]) * self.width), f"<u{self.width}").astype("<u4")
 
     def close(self) -> None:
         self.file.close()
 
 
+def shards_for(rows: DataFrame) -> int:
+    """By the planner's estimate of the input's size (files hold texts compressed, to a third or so), or by a count where it has none."""
+    estimate = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = 3 * estimate if estimate < 1 << 55 else rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    return max(fanout(rows.sparkSession), -(-size // SHARD_BYTES))
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", kind: str = "word", end_id: int = 1) -> list[dict]:
     """Encode every whole text, append end_id, write the shards; returns the manifest: a small row for each shard, ascending.
 
@@ -155,56 +186,57 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
     path = vocabulary(tokenizer)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, keys, counts, chunks, nulls = encoder(path, kind), [], [], [], 0
+        enc, out, low, high = encoder(path, kind), None, None, None
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            own = batch.column(0)
-            nulls += own.null_count
-            keys.append(own.drop_null().to_numpy(zero_copy_only=False))
-            for text in texts_of(batch.column(1)):
-                ids = enc.encode(text)
-                counts.append(len(ids) + 1)
-                chunks += [ids.tobytes(), end]
-        if counts:
-            part = TaskContext.get().partitionId()
-            keys = np.concatenate(keys).astype(np.int64)
-            uri = f"{folder}/shard-{part:06d}.tok"
-            write_shard(uri, keys, np.array(counts, np.int64), nulls, chunks, enc.dtype.itemsize)
+            if batch.num_rows:
+                part = TaskContext.get().partitionId()
+                uri = f"{folder}/shard-{part:06d}.tok"
+                out = out or ShardWriter(uri, enc.dtype.itemsize)
+                out.add(batch.column(0), [enc.encode(text).tobytes() + end for text in texts_of(batch.column(1))])
+        if out:
+            keys = out.close()
             low, high = (int(keys[0]), int(keys[-1])) if len(keys) else (None, None)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int64()), (uri, pa.string()), (low, pa.int64()), (high, pa.int64()), (int(sum(counts)), pa.int64()), (len(counts), pa.int64()), (nulls, pa.int64()))], ["part", "uri", "low", "high", "ids", "records", "null_rows"])
+            found = ((part, pa.int64()), (uri, pa.string()), (low, pa.int64()), (high, pa.int64()), (out.at // out.width, pa.int64()), (len(out.counts), pa.int64()), (out.null_rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in found], ["part", "uri", "low", "high", "ids", "records", "null_rows"])
 
-    dealt = docs.select(F.col("doc_id").cast("bigint").alias("k"), F.col("text").alias("t")).repartitionByRange(F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), F.col("t").asc_nulls_first())
+    key, text = F.col("k").asc_nulls_first(), F.col("t").asc_nulls_first()
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("k"), F.col("text").alias("t"))
+    dealt = rows.repartitionByRange(shards_for(rows), key, F.substring("t", 1, CUT_CHARS).asc_nulls_first()).sortWithinPartitions(key, text)
     rows = dealt.mapInArrow(trimmed(shard), "part long, uri string, low long, high long, ids long, records long, null_rows long").collect()
     return [r.asDict() for r in sorted(rows, key=lambda r: r["part"])]
 
 
 def read_by_key(keys: DataFrame, manifest: list[dict]) -> DataFrame:
-    """For each row of keys (doc_id; repeats allowed once per stored row) the ids found through the index.
+    """For each distinct key of keys (doc_id) the rows stored under it, found through the index.
 
-    A key's shard is found by bisecting the shards' bounds; keys meet their shard in one shuffle of the bare keys. Returns
-    doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+    A key's shards are found by bisecting the shards' bounds; keys meet their shard in one shuffle of the bare keys, into as
+    many tasks as there are shards. Returns doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
     """
     shards = [m for m in manifest if m["low"] is not None]
-    lows, bases, total = np.array([m["low"] for m in shards], np.int64), {}, 0
+    lows, highs, bases, total = np.array([m["low"] for m in shards], np.int64), np.array([m["high"] for m in shards], np.int64), {}, 0
     for m in manifest:
         bases[m["uri"]] = total
         total += m["ids"]
     uris = [m["uri"] for m in shards]
-    of_null = next((m["uri"] for m in manifest if m["null_rows"]), None)
+    of_null = [m["uri"] for m in manifest if m["null_rows"]]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k = b.column(0)
-            at = np.searchsorted(lows, k.fill_null(0).to_numpy(zero_copy_only=False), side="right") - 1
-            names = pa.array([of_null if null else uris[max(i, 0)] if uris else None for i, null in zip(at.tolist(), k.is_null().to_pylist())], pa.string())
-            yield pa.RecordBatch.from_arrays([k, names], ["doc_id", "uri"])
+            k = b.column(0).drop_null()
+            x = k.to_numpy(zero_copy_only=False)
+            first, last = np.searchsorted(highs, x, side="left"), np.searchsorted(lows, x, side="right")
+            times = np.maximum(last - first, 0)
+            row = np.repeat(np.arange(len(x)), times)
+            at = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            yield pa.RecordBatch.from_arrays([pa.array(x[row].astype(np.int64)), pa.array([uris[i] for i in at.tolist()], pa.string())], ["doc_id", "uri"])
+            if b.column(0).null_count:
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(of_null), pa.int64()), pa.array(of_null, pa.string())], ["doc_id", "uri"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, Shard] = {}
         for b in batches:
             for uri in dict.fromkeys(b.column(1).to_pylist()):
-                if uri is None:
-                    continue
                 if uri not in open_:
                     for s in open_.values():  # rows come sorted by shard: one is open at a time
                         s.close()
@@ -215,15 +247,17 @@ def read_by_key(keys: DataFrame, manifest: list[dict]) -> DataFrame:
                 wanted = [(None, r) for r in range(s.null_rows)] if k.null_count else []
                 wanted += [(key, r + j) for key, r, n in zip(k.drop_null().to_pylist(), found.tolist(), times.tolist()) if r >= 0 for j in range(n)]
                 wanted.sort(key=lambda x: x[1])
-                crc = [zlib.crc32(s.ids(r).tobytes()) for _, r in wanted]
-                first = [bases[uri] + int(s.first[r]) for _, r in wanted]
-                count = [int(s.first[r + 1] - s.first[r]) for _, r in wanted]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in wanted], pa.int64()), *(pa.array(x, pa.int64()) for x in (first, count, crc))], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                for at in range(0, len(wanted), 10_000):
+                    some = wanted[at : at + 10_000]
+                    crc = [zlib.crc32(s.ids(r).tobytes()) for _, r in some]
+                    first = [bases[uri] + int(s.first[r]) for _, r in some]
+                    count = [int(s.first[r + 1] - s.first[r]) for _, r in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), *(pa.array(x, pa.int64()) for x in (first, count, crc))], ["doc_id", "start", "n_tokens", "ids_crc32"])
         for s in open_.values():
             s.close()
 
     placed = keys.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().mapInArrow(place, "doc_id long, uri string")
-    return placed.repartition("uri").sortWithinPartitions("uri", "doc_id").mapInArrow(fetch, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(max(1, len(manifest)), "uri").sortWithinPartitions("uri", "doc_id").mapInArrow(fetch, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files_round_trip(spark: SparkSession, docs: DataFrame, folder: str | None = None, tokenizer: str = "word_bpe_49k.json", kind: str = "word", end_id: int = 1) -> DataFrame:
