@@ -283,6 +283,27 @@ def test_ownership_tells_examples_from_credentials(spark):
     assert all(got[10 + i]["n_copied"] == 1 and got[10 + i]["n_live"] == 0 for i in range(4))
 
 
+def test_bare_tokens_against_all_pairs_and_in_linear_time():
+    import time
+
+    from tidemill.llm.secrets import LONG_TOKEN, bare_tokens, base_spans
+
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choice(["token=", "ab12cd34ef56ab78", "AKIA", "ABCDEFGH12345678", " ", ".", "0123456789abcdef01234567", "x", "/"]) for _ in range(rng.randint(1, 14)))
+        taken = base_spans(text)
+        want = [m.span() for m in LONG_TOKEN.finditer(text) if not any(s < m.end() and m.start() < e for _, s, e, _ in taken) and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        assert [(a, b) for _, a, b, _ in bare_tokens(text, taken)] == want
+    long = "api_key=abcdef12 Zx81Qw92Er73Ty64Ui55Op " * 30_000
+    began = time.process_time()
+    assert len(bare_tokens(long, base_spans(long))) == 30_000 and time.process_time() - began < 5
+
+
+def test_a_null_owner_is_not_the_empty_one(spark):
+    got = scan_secrets(corpus(spark, [(1, "token = Zx81Qw92Er73", "en", None), (2, "token = Zx81Qw92Er73", "en", ""), (3, "token = Aa11Bb22", "en", None)])).collect()
+    assert {r["doc_id"]: (r["n_live"], r["n_copied"]) for r in got} == {1: (0, 1), 2: (0, 1), 3: (1, 0)}
+
+
 # Chat formatting -----------------------------------------------------------------------------------------------------
 
 SCHEMAS = {"f": {"properties": {"k": {"type": "integer"}, "z": {"type": "string"}}, "required": ["k"], "additionalProperties": False}}

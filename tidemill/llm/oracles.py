@@ -63,3 +63,38 @@ f AS (SELECT *, sum(c) OVER (PARTITION BY s ORDER BY epoch, key RANGE BETWEEN UN
 n AS (SELECT greatest(1, ceil(sum(quota) / 1048576 - 1e-9))::BIGINT AS n FROM q2)
 SELECT doc_id, CASE WHEN s <> chr(0) THEN s END AS source, epoch, c AS n_tokens, least(n - 1, floor(stop * n / quota))::BIGINT AS block, md5('place|' || key) AS place, round(weight, 9) AS weight FROM f, n
 """
+
+
+def spans(kind: str, order: int, pattern: str, group: int, least: int) -> str:
+    """Rows (row, kind, k, a, b, v) of one base kind: positions from the lengths of matches and of what stands between them."""
+    return f"""SELECT row, '{kind}' AS kind, {order} AS k, a::BIGINT AS a, (a + len(m))::BIGINT AS b, v FROM (
+  SELECT row, unnest(list_zip(m, v, list_transform(range(1, len(m) + 1), lambda i: coalesce(list_sum(list_transform(g[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0)))) AS z, z[1] AS m, z[2] AS v, z[3] AS a
+  FROM (SELECT row, regexp_extract_all(t, {pattern}, 0) AS m, regexp_extract_all(t, {pattern}, {group}) AS v, string_split_regex(t, {pattern}) AS g FROM d)
+) WHERE len(v) >= {least}"""
+
+
+def either_case(words: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+ASSIGN = "$$(" + either_case("password|passwd|secret|token|api_?key") + """)["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)$$"""
+
+SECRETS = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t FROM documents),
+base AS MATERIALIZED ({spans("assign", 0, ASSIGN, 2, 6)} UNION ALL {spans("access", 1, "$$AKIA[A-Z0-9]+$$", 0, 20)} UNION ALL {spans("hex", 2, "$$[0-9a-f]{24,}$$", 0, 24)}),
+bare AS MATERIALIZED (
+  SELECT * FROM ({spans("bare", 3, "$$[A-Za-z0-9+/_-]{16,}$$", 0, 16)}) r
+  WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM base WHERE base.row = r.row AND base.a < r.b AND r.a < base.b)
+), found AS MATERIALIZED (SELECT * FROM base UNION ALL SELECT * FROM bare),
+known AS MATERIALIZED (
+  SELECT v, count(DISTINCT source) + max((source IS NULL)::INT) <= 1 AS live FROM found JOIN d USING (row) GROUP BY v HAVING min(k) < 3
+), met AS MATERIALIZED (SELECT f.*, live FROM found f JOIN known USING (v) WHERE k < 3 OR live),
+per AS (
+  SELECT row, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (k < 3) AS base,
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied, count(*) FILTER (k = 3) AS n_added
+  FROM met GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(n_added, 0) AS n_added
+FROM d LEFT JOIN per USING (row)
+"""

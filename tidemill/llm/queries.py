@@ -15,7 +15,7 @@ from .ngram_join import near_duplicates
 from .packing import pack
 from .secrets import scan_secrets
 from .token_counts import count_tokens
-from .oracles import CHAT_FORMAT, EXACT_DEDUP, MIXING, NEAREST, NGRAM_JOIN
+from .oracles import CHAT_FORMAT, EXACT_DEDUP, MIXING, NEAREST, NGRAM_JOIN, SECRETS
 from .token_files import token_files_round_trip
 
 
@@ -73,5 +73,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Token files, packing and token counts need tokenizers, language ID learns, and spans have no place in SQL: tests hold these against brute force."""
-    return {"op1_mixing": MIXING, "op4_nearest": NEAREST, "op5_ngram_join": NGRAM_JOIN, "op7_exact_dedup": EXACT_DEDUP, "op8_chat_format": CHAT_FORMAT}
+    """Token files, packing and token counts need tokenizers, and language ID learns: tests hold these against brute force."""
+    return {"op1_mixing": MIXING, "op4_nearest": NEAREST, "op5_ngram_join": NGRAM_JOIN, "op7_exact_dedup": EXACT_DEDUP, "op8_chat_format": CHAT_FORMAT, "op9_secrets": SECRETS}

@@ -5,9 +5,12 @@ may be a known credential standing alone (bare). The hash of each candidate's va
 many distinct repositories and owners it occurs in, and in how many documents. A value of more than ``owners`` owners or
 ``repositories`` repositories is a widely copied example; the others look like live credentials of their owner. A bare token
 becomes a span when its value is a live-looking credential that a base kind found elsewhere in the corpus. Base spans are never
-taken away. Values leave the scan as hashes only.
+taken away. Values leave the scan as hashes only. A bare token is a run of 16 or more of [A-Za-z0-9+/_-] with a letter and a
+digit; a credential that is shorter, holds other characters or is all letters or all digits gets its base spans alone (words of
+six letters cannot be told from prose), and only there counts for its owners.
 
-Edge cases: null text counts as empty and has no spans; null owner or repository counts as one of its own; rows that repeat a
+Edge cases: null text counts as empty and has no spans; null owner or repository counts as one of its own, other than the empty
+text; rows that repeat a
 doc_id are rows of their own; spans that meet or overlap are all kept; an empty table gives an empty result; other columns are
 not read.
 """
@@ -33,6 +36,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a run of fewer characters is no match
 KINDS = ("assign", "access", "hex", "bare")
 HINTS = ("passw", "secret", "token", "api")
 LONG_TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 CANDIDATES = "array<struct<kind int, start long, end long, value long>>"
 
 
@@ -50,14 +54,15 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def bare_tokens(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Long tokens of letters and digits that touch no base span."""
-    out = []
+    """Long tokens of letters and digits that touch no base span. taken is sorted by start: one walk over both."""
+    out, reach, k = [], 0, 0  # the farthest end of the spans that begin before the token's end
     for m in LONG_TOKEN.finditer(text):
         a, b = m.span()
-        if any(s < b and a < e for _, s, e, _ in taken):
-            continue
+        while k < len(taken) and taken[k][1] < b:
+            reach = max(reach, taken[k][2])
+            k += 1
         v = m[0]
-        if any(c.isdigit() for c in v) and any(c.isalpha() for c in v):
+        if reach <= a and DIGIT.search(v) and LETTER.search(v):
             out.append((3, a, b, v))
     return out
 
@@ -98,7 +103,7 @@ def ownership(found: DataFrame, owners: int, repositories: int) -> DataFrame:
 def scan_secrets(docs: DataFrame, owner_col: str = "source", repository_col: str = "source", owners: int = 1, repositories: int = 1) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live (spans of live-looking values), n_copied (of widely copied ones), n_added."""
     rows = stored(scan(docs, owner_col, repository_col), "candidates")
-    found = rows.where(F.size("candidates") > 0).select("row", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository"), F.explode("candidates").alias("c")).select("row", "owner", "repository", "c.kind", "c.start", "c.end", "c.value")
+    found = rows.where(F.size("candidates") > 0).select("row", "owner", "repository", F.explode("candidates").alias("c")).select("row", "owner", "repository", "c.kind", "c.start", "c.end", "c.value")
     known = stored(ownership(found, owners, repositories).where("based = 1").select("value", "live"), "ownership")
     met = found.select("row", "kind", "start", "end", "value").join(known, "value").where("kind < 3 or live")
     kind = F.element_at(F.array(*(F.lit(k) for k in KINDS)), F.col("kind") + 1)
