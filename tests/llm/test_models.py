@@ -342,7 +342,7 @@ def test_canonical_json(chats):
             body = {k: v for k, v in (("content", text), ("role", role)) if v is not None}
             assert json.loads(rows[conv, turn]["message_json"]) == body
             assert rows[conv, turn]["message_json"].replace("\\u0001", "") == json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False).replace("\\u0001", "")
-    want = {"content": "go", "role": "assistant", "tool_calls": [{"arguments": {"k": 1, "z": "q"}, "id": "a", "name": "f"}, {"arguments": {"k": 2, "z": "s"}, "id": "b", "name": "f"}]}
+    want = {"content": "go", "role": "assistant", "tool_calls": [{"arguments": {"k": 1, "z": "q"}, "id": "a", "name": "f"}, {"arguments": {"k": 2, "z": "s"}, "depends_on": ["a"], "id": "b", "name": "f"}]}
     assert rows[1, 1]["message_json"] == json.dumps(want, sort_keys=True, separators=(",", ":"))
 
 
@@ -360,3 +360,154 @@ def test_statuses(chats):
     assert rows[2, 1]["call_status"] == "linked/bad_json" and rows[2, 2]["call_status"] == "duplicate/type:k"
     assert rows[3, 0]["call_status"] == "cycle/missing:k,cycle/extra_argument"
     assert rows[4, 0]["call_status"] == "unanswered/ok" and rows[4, 1]["call_status"] == "unanswered/type:k"
+
+
+DEEP = {
+    "f": {"properties": {"k": {"type": "integer", "minimum": 0, "maximum": 9}, "z": {"enum": ["a", "b"]}, "list": {"type": "array", "items": {"type": "string"}, "minItems": 1}, "in": {"type": "object", "properties": {"n": {"type": "number"}}, "required": ["n"], "additionalProperties": False}}, "required": ["k"], "additionalProperties": False},
+    "g": {"properties": {"s": {"type": "string", "minLength": 2, "maxLength": 4}}},
+}
+
+
+def brute_verdict(name, text, schemas):
+    try:
+        value = json.loads(text)
+    except (TypeError, ValueError):
+        return "bad_json"
+    if not isinstance(value, dict):
+        return "bad_json"
+    return "unknown_tool" if name not in schemas else next(iter(brute_faults(value, schemas[name], "")), "ok")
+
+
+def brute_faults(v, schema, path):
+    types = {"string": str, "array": list, "object": dict, "boolean": bool}
+    number = isinstance(v, int | float) and not isinstance(v, bool)
+    name = path[1:]
+    if v is None:
+        return
+    t = schema.get("type")
+    if t and not (isinstance(v, types[t]) if t in types else number and (t == "number" or isinstance(v, int))):
+        yield f"type:{name}"
+    if "enum" in schema and v not in schema["enum"]:
+        yield f"enum:{name}"
+    for key, size, says in (("minimum", v if number else None, "range"), ("minLength", len(v) if isinstance(v, str) else None, "length"), ("minItems", len(v) if isinstance(v, list) else None, "length")):
+        if size is not None and (size < schema.get(key, size) or size > schema.get(key.replace("min", "max"), size)):
+            yield f"{says}:{name}"
+    if "items" in schema and isinstance(v, list) and any(next(brute_faults(x, schema["items"], ""), None) for x in v):
+        yield f"items:{name}"
+    for key, rule in schema.get("properties", {}).items():
+        there = isinstance(v, dict) and key in v
+        if key in schema.get("required", ()) and not there:
+            yield f"missing:{(path + '.' + key)[1:]}"
+        if there:
+            yield from brute_faults(v[key], rule, f"{path}.{key}")
+    if schema.get("additionalProperties", True) is False and isinstance(v, dict) and set(v) - set(schema["properties"]):
+        yield f"extra:{name}" if path else "extra_argument"
+
+
+def dump(x):
+    return json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def tidy(args):
+    try:
+        return json.loads(args) if isinstance(args, str) else args
+    except ValueError:
+        return args
+
+
+def brute_chat(rows, schemas):
+    """(conv_id, turn, order_turn, order_slot, order_index, link, n_calls, n_valid, call_status, message) of each row; turns of a conversation differ."""
+    parsed, calls, results = [], {}, {}
+    for conv, turn, role, text in rows:
+        v = tidy(text) if text and text.lstrip().startswith("{") else None
+        v = v if isinstance(v, dict) else None
+        own = v.get("tool_calls") if v and role == "assistant" else None
+        answers = v.get("tool_call_id") if v and role == "tool" else None
+        parsed.append((conv, turn, role, text, v, own if isinstance(own, list) and own else None, answers))
+    for conv, turn, role, text, v, own, answers in sorted(parsed, key=lambda r: r[1]):
+        for i, c in enumerate(own or ()):
+            if c.get("id") is not None:
+                calls.setdefault((conv, c["id"]), (turn, i, c))
+        if answers is not None:
+            results.setdefault((conv, answers), turn)
+    place = {}
+
+    def settle(key, trail):
+        if key in trail:
+            return None
+        if key not in place:
+            turn, _, c = calls[key]
+            found = [settle((key[0], n), trail | {key}) for n in c.get("depends_on") or () if (key[0], n) in calls]
+            late = max((f for f in found if f), default=None)
+            place[key] = None if None in found else (late[0], late[1] + 1) if late and late[0] >= turn else (turn, 0)
+        return place[key]
+
+    for key in calls:  # each by itself, as a circle seen from inside marks more than is behind it
+        place.pop(key, None)
+        settle(key, frozenset())
+    out = []
+    for conv, turn, role, text, v, own, answers in parsed:
+        body = {k: x for k, x in (("content", text), ("role", role)) if x is not None}
+        if own is not None:
+            entries = []
+            for i, c in enumerate(own):
+                key = (conv, c.get("id"))
+                first = key in calls and calls[key][:2] == (turn, i)
+                at = place.get(key) if first else None
+                function = c.get("function") if isinstance(c.get("function"), dict) else {}
+                name, args = c.get("name", function.get("name")), c.get("arguments", function.get("arguments"))
+                status = "no_id" if c.get("id") is None else "duplicate" if not first else "cycle" if at is None else "linked" if key in results else "unanswered"
+                shown = {k: tidy(x) if k == "arguments" else {a: tidy(b) if a == "arguments" else b for a, b in x.items() if b is not None} if k == "function" else x for k, x in c.items() if x is not None}
+                entries.append((at[1] if at else 0, i, shown, f"{status}/{brute_verdict(name, args if isinstance(args, str) or args is None else dump(args), schemas)}", at[0] if at else turn))
+            entries.sort(key=lambda e: e[:2])
+            body = {k: x for k, x in v.items() if x is not None} | {"role": role, "tool_calls": [e[2] for e in entries]}
+            out.append((conv, turn, max(e[4] for e in entries), 0, max(e[0] for e in entries), "call", len(entries), sum(e[3].endswith("/ok") for e in entries), ",".join(e[3] for e in entries), dump(body)))
+        elif answers is not None:
+            key, body = (conv, answers), {k: x for k, x in v.items() if x is not None} | {"role": role}
+            known, first = key in calls, results[conv, answers] == turn
+            at = (place[key] or (calls[key][0], 0)) if known else None
+            linked = known and first
+            out.append((conv, turn, max(turn, at[0]) if linked else turn, int(linked), at[1] * 2**32 + calls[key][1] if linked else 0, "orphan" if not known else "linked" if first else "duplicate", 0, 0, None, dump(body)))
+        else:
+            out.append((conv, turn, turn, 0, 0, "plain", 0, 0, None, dump(body)))
+    return sorted(out, key=str)
+
+
+def random_chats(rng, conversations):
+    rows = []
+    for conv in range(conversations):
+        ids = [f"c{i}" for i in range(rng.randint(1, 9))]
+        for turn in range(rng.randint(1, 12)):
+            kind = rng.random()
+            if kind < 0.45:
+                made = []
+                for _ in range(rng.randint(1, 3)):
+                    args = rng.choice([{"k": rng.randint(-1, 11)}, {"k": 1, "z": rng.choice("abc")}, {"k": 2, "list": rng.choice([[], ["x"], ["x", 1]])}, {"k": 3, "in": rng.choice([{}, {"n": 1.5}, {"n": 1, "o": 2}, 4])}, {}, {"k": None}, {"s": "x" * rng.randint(1, 6)}, {"k": 1, "new": [True, {"b": 1, "a": None}]}])
+                    args = rng.choice([args, json.dumps(args), json.dumps(args, indent=1), "no json"])
+                    name = rng.choice(["f", "g", "h"])
+                    call = {"id": rng.choice([*ids, None]), "depends_on": rng.sample(ids, min(len(ids), rng.choice([0, 0, 1, 2]))) or None}
+                    call |= {"type": "function", "function": {"name": name, "arguments": args, "strict": None}} if rng.random() < 0.5 else {"name": name, "arguments": args, "note": "é"}
+                    made.append(call)
+                rows.append((conv, turn, "assistant", json.dumps({"content": rng.choice([None, "go", ""]), "refusal": rng.choice([None, "no"]), "name": "bob", "tool_calls": made}, ensure_ascii=rng.random() < 0.5)))
+            elif kind < 0.75:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": rng.choice([*ids, "none"]), "content": rng.choice(["r", {"b": 1, "a": [2]}, None]), "is_error": rng.choice([True, None])})))
+            else:
+                rows.append((conv, turn, rng.choice(["user", "assistant", "tool", "system"]), rng.choice(["hi", '{"tool_calls": []}', '{"tool_calls": 3, "tool_call_id": null}', None, '{"a": "tool_calls"'])))
+    return rows
+
+
+def test_chats_against_brute_force(spark):
+    rows = random_chats(random.Random(12), 120)
+    got = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), DEEP).collect()
+    found = sorted(((r["conv_id"], r["turn"], r["order_turn"], r["order_slot"], r["order_index"], r["link"], r["n_calls"], r["n_valid"], r["call_status"], r["message_json"]) for r in got), key=str)
+    want = brute_chat(rows, DEEP)
+    assert [f[:9] for f in found] == [w[:9] for w in want]
+    assert [f[9] for f in found] == [w[9] for w in want]
+
+
+def test_a_long_chain_and_a_large_circle(spark):
+    chain = [(1, 0, "assistant", calls(*({"id": f"a{i}", "name": "f", "arguments": {"k": i}, "depends_on": [f"a{i + 1}"]} for i in range(6))))]
+    circle = [(2, i, "assistant", calls({"id": f"b{i}", "name": "f", "arguments": {"k": i}, "depends_on": [f"b{(i + 1) % 300}"]})) for i in range(300)]
+    got = {(r["conv_id"], r["turn"]): r for r in format_chats(spark.createDataFrame(chain + circle, "conv_id long, turn long, role string, text string"), SCHEMAS).collect()}
+    assert [c["arguments"]["k"] for c in json.loads(got[1, 0]["message_json"])["tool_calls"]] == [5, 4, 3, 2, 1, 0]
+    assert all(got[2, i]["call_status"] == "cycle/ok" and got[2, i]["order_turn"] == i for i in range(300))

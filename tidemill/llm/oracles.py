@@ -17,9 +17,9 @@ WITH e AS (
 SELECT * FROM r WHERE rank <= 10
 """
 
-#: The conversations hold plain messages only; calls and results are tested against a brute-force version.
+#: The conversations at hand hold plain messages only, and this says no more; calls and results are held against a brute-force version in the tests.
 CHAT_FORMAT = """
-SELECT conv_id, turn, turn AS order_turn, 0 AS order_slot, 0 AS order_index, role, 'plain' AS link, 0 AS n_calls, 0 AS n_valid, NULL::VARCHAR AS call_status,
+SELECT conv_id, turn, turn AS order_turn, 0 AS order_slot, 0::BIGINT AS order_index, role, 'plain' AS link, 0 AS n_calls, 0 AS n_valid, NULL::VARCHAR AS call_status,
   '{' || concat_ws(',', '"content":' || to_json(text)::VARCHAR, '"role":' || to_json(role)::VARCHAR) || '}' AS message_json
 FROM conversations
 """
