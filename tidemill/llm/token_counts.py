@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, in_worker, stored, trimmed, vocabulary
 from .encoding import PLAIN, PRE_TOKEN, Encoder, byte_letters, older_half, texts_of
 
-#: Chunks and pre-tokens whose tables a worker keeps (a full cache keeps its older half, which has the common ones), and their letters.
-TABLES, KEPT_LETTERS = 400_000, 64
+#: Chunks and pre-tokens whose tables a worker keeps (a full cache keeps its older half, which has the common ones), and their letters; pairs of tokens kept for long words.
+TABLES, KEPT_LETTERS, KEPT_PAIRS = 400_000, 64, 50_000
 #: Texts whose new chunks are learnt at once.
 TOGETHER = 256
 #: Radix of the hash of letters (modulo 2^64); slots of a worker's table of token pairs; words of one sweep.
@@ -100,9 +100,12 @@ class BpePrefixes:
                 limit, left = ra, self.split[left][1]
             else:
                 limit, right = rb + 1, self.split[right][0]  # of equal merges the left one comes first
-        if len(self.pairs) > 500_000:
+        return found
+
+    def _met(self, a: str, b: str) -> bool:
+        if len(self.pairs) > KEPT_PAIRS:
             self.pairs.clear()
-        self.pairs[a, b] = found
+        found = self.pairs[a, b] = self.apart(a, b)
         return found
 
     def spelt(self, word: str) -> str:
@@ -136,11 +139,11 @@ class BpePrefixes:
                 alone = not k and not base
                 if kind & want & 1:
                     pair = last[k], t
-                    if alone or (pairs[pair] if pair in pairs else self.apart(*pair)):
+                    if alone or (pairs[pair] if pair in pairs else self._met(*pair)):
                         inner, n, want = t, count[k] + 1, want & 2
                 if kind & want & 2:
                     pair = last[k], t + suffix
-                    if alone or (pairs[pair] if pair in pairs else self.apart(*pair)):
+                    if alone or (pairs[pair] if pair in pairs else self._met(*pair)):
                         end, want = count[k] + 1, want & 1
                 if not want:
                     break
