@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, rows_of, stored
 
 #: JSON schema types and what schema_of_variant says of their values.
 TYPES = {"string": r"STRING", "integer": r"BIGINT|DECIMAL\(\d+,0\)", "number": r"BIGINT|DOUBLE|FLOAT|DECIMAL.*", "boolean": r"BOOLEAN", "array": r"ARRAY<.*", "object": r"OBJECT<.*", "null": "VOID"}
@@ -134,7 +134,7 @@ def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
         discard(open_)
         open_ = stored(told.join(new, ["conv_id", "id"], "left_anti"), "open")
         discard(told)
-        if not new.limit(1).count():
+        if not rows_of(new):
             break
         settled = settled.union(new)
     circle = calls.join(open_.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_semi").select("conv_id", "id", F.col("turn").alias("order_turn"), F.lit(0).cast("bigint").alias("level"), F.lit(True).alias("cycle"))
@@ -163,12 +163,12 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict] | None = None) ->
         "conv_id", "turn", "m", F.col("i").cast("bigint").alias("i"), of(call, "$.id", "string").alias("id"), F.coalesce(of(call, "$.name", "string"), of(call, "$.function.name", "string")).alias("name"),
         F.coalesce(of(call, "$.arguments", "string"), of(call, "$.function.arguments", "string")).alias("arguments"), of(call, "$.depends_on", "array<string>").alias("depends_on"), call_json(call).alias("json"),
     )
-    calls = stored(calls, "calls")
+    calls = stored(calls, "calls", dependent=F.count_if(F.size("depends_on") > 0))
     results = stored(answers.select("conv_id", "turn", "m", F.col("answers").alias("id"), message(("content", content), ("role", role), others=members(F.col("v"), ("content", "role"))).alias("json")), "results")
     first_call = calls.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "m", "i")).alias("call"))
     first_result = results.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "m")).alias("result"))
     link = first_call.where("conv_id is not null and id is not null").join(first_result, ["conv_id", "id"], "left")
-    if calls.where("size(depends_on) > 0").limit(1).count():
+    if calls._tidemill_seen.get("dependent", 1):
         own = calls.join(first_call, ["conv_id", "id"]).where("call = struct(turn, m, i)")
         edges = own.select("conv_id", "id", F.explode("depends_on").alias("needs")).distinct()
         order = levels(link.select("conv_id", "id", F.col("call.turn").alias("turn")), edges)

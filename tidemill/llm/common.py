@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as every contract of this package defines it.
@@ -34,15 +34,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder; it outlives any executor."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
+def stored(df: DataFrame, name: str, **measures: Column) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder; it outlives any executor. Its rows, and measures over all of them, are counted as it is written."""
+    spark, path, seen = df.sparkSession, new_path(df.sparkSession, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in measures.items())).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._tidemill_path = path
+    out._tidemill_path, out._tidemill_seen = path, {} if seen._jo.getOrEmpty().isEmpty() else seen.get
     return out
 
 
+def rows_of(table: DataFrame, measure: str = "rows"):
+    """What was counted when the table was stored; its rows are counted now if that is not known (a task that ran twice may have counted twice, which only makes a table look larger)."""
+    seen = getattr(table, "_tidemill_seen", {})
+    return seen[measure] if measure in seen else table.count()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that no later plan reads."""
     for t in tables:
@@ -62,14 +68,17 @@ def fanout(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def small(df: DataFrame, rows: int) -> bool:
-    """True if df has at most so many rows; reads no more than needed to tell."""
+def small(df: DataFrame, rows: int, of: DataFrame | None = None) -> bool:
+    """True if df, or the stored table of which it is a projection, has at most so many rows; reads no more than needed to tell."""
+    known = of if of is not None else df
+    if hasattr(known, "_tidemill_seen"):
+        return rows_of(known) <= rows
     return df.limit(rows + 1).count() <= rows
 
 
-def hinted(df: DataFrame, rows: int) -> DataFrame:
+def hinted(df: DataFrame, rows: int, of: DataFrame | None = None) -> DataFrame:
     """Marked for broadcast only when its row count was checked against the bound; otherwise left to the shuffle join."""
-    return F.broadcast(df) if small(df, rows) else df
+    return F.broadcast(df) if small(df, rows, of) else df
 
 
 #: Rows of an Arrow batch: texts can be long, and a batch stands in a worker's memory whole.

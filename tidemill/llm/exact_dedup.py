@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hinted, normal_space, small, stored
+from .common import discard, hinted, normal_space, rows_of, small, stored
 
 #: Characters whose hash makes the second level.
 HEAD = 256
@@ -32,7 +32,7 @@ def digest(text_col: str = "text"):
 
 def bitmap(heads: DataFrame) -> tuple[DataFrame, int]:
     """Rows (slot, bits) of a bitmap in which the hash of each head of heads (n2, head2) is set, and its number of bits."""
-    wanted = max(1, heads.count()) * BITS_A_HEAD
+    wanted = max(1, rows_of(heads)) * BITS_A_HEAD
     bits = min(MOST_BITS, max(ROW_BITS, 1 << (wanted - 1).bit_length()))
     at = place(F.col("n2"), F.col("head2"), bits)
     return heads.groupBy(slot_of(at).alias("slot")).agg(F.bitmap_construct_agg(at % ROW_BITS).alias("bits")), bits
@@ -105,14 +105,14 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     lost = stored(lost, "lost")
     same = F.col("doc_id").eqNullSafe(F.col("__id"))
     # An id goes outright only if each of its rows, also those whose text no other row has, is a copy that goes.
-    rows = docs.select("doc_id").join(hinted(lost.select("__id"), BROADCAST_ROWS), F.col("doc_id") == F.col("__id")).groupBy("__id").agg(F.count("*").alias("rows"))
-    by_id = stored(lost.join(rows, "__id", "left").select("__id", F.coalesce(F.col("lost") == F.col("rows"), F.lit(False)).alias("all")), "lost-ids")
-    out = docs.join(hinted(by_id.where("all").select("__id"), BROADCAST_ROWS), same, "left_anti")
+    rows = docs.select("doc_id").join(hinted(lost.select("__id"), BROADCAST_ROWS, lost), F.col("doc_id") == F.col("__id")).groupBy("__id").agg(F.count("*").alias("rows"))
+    by_id = stored(lost.join(rows, "__id", "left").select("__id", F.coalesce(F.col("lost") == F.col("rows"), F.lit(False)).alias("all")), "lost-ids", torn=F.count_if(~F.col("all")))
+    out = docs.join(hinted(by_id.where("all").select("__id"), BROADCAST_ROWS, by_id), same, "left_anti")
     torn = by_id.where("not all").select("__id")
-    if torn.limit(1).count() == 0:
+    if not by_id._tidemill_seen.get("torn", 1):
         return out
     # Null ids and repeated ids, some of whose rows go: these are told apart by their text.
-    repeats = hinted(torn, BROADCAST_ROWS)
+    repeats = hinted(torn, BROADCAST_ROWS, by_id)
     pairs = groups.join(repeats, same, "left_semi").groupBy(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha")).agg(F.max("kept").alias("stays"))
     own = out.join(repeats, same, "left_semi").withColumn("__digest", digest())
     own = own.join(pairs.where("not stays"), F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("__digest") == F.col("__sha")), "left_anti")

@@ -195,7 +195,7 @@ def train(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model", train_d
     known = docs.where(F.col("lang").isNotNull() & ~held_out()).select(F.col("lang").cast("string").alias("lang"), "text", "doc_id")
     sizes = stored(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     rate = F.least(F.lit(1.0), F.lit(float(train_docs)) / F.col("n"))
-    met = known.join(hinted(sizes.withColumnRenamed("lang", "l"), BROADCAST_LANGUAGES), F.col("lang") == F.col("l"))
+    met = known.join(hinted(sizes.withColumnRenamed("lang", "l"), BROADCAST_LANGUAGES, sizes), F.col("lang") == F.col("l"))
     sample = met.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 24)) < rate * float(1 << 24)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -100,7 +100,7 @@ def quotas(rows: DataFrame, passes: float | None, repetition: float | None, entr
     table = table.withColumn("whole", F.floor(F.col("quota") / F.col("t") + F.lit(1e-9))).withColumn("rest", F.greatest(F.lit(0), F.floor(F.col("quota") - F.col("whole") * F.col("t") + F.lit(1e-6))).cast("bigint"))
     table = stored(table.select("s", "t", "weight", "quota", "whole", "rest"), "quotas")
     digits = max(1, math.ceil(math.log(max(1, total["n"] / BLOCK_ROWS), 16)))
-    partial = rows.join(hinted(table.where("rest > 0").select("s", "whole", "rest"), BROADCAST_SOURCES), "s")
+    partial = rows.join(hinted(table.where("rest > 0").select("s", "whole", "rest"), BROADCAST_SOURCES, table), "s")
     partial = partial.withColumn("key", order_key(seed, F.col("whole") + 1, F.col("doc_id"))).withColumn("b", F.substring("key", 1, digits))
     blocks = partial.groupBy("s", "b").agg(F.sum("c").alias("c"), F.first("rest").alias("rest"))
     upto = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
@@ -146,9 +146,8 @@ def mix_documents(docs: DataFrame, passes: float | None = None, repetition: floa
     """The rows of docs, with all their columns, as often as the mix reads them. By default every document is read at least once."""
     rows = stored(docs.select("doc_id", source_key().alias("s"), cost().alias("c")), "costs")
     table, _ = quotas(rows, passes, repetition, entropy, seed)
-    table = table.select(F.col("s").alias("__s"), F.col("whole"), F.col("cut"))
     columns = [docs[c] for c in docs.columns]
-    times = table.withColumnsRenamed({"whole": "__whole", "cut": "__cut"})
+    times = table.select(F.col("s").alias("__s"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
     n = F.col("__whole").cast("int") + F.when(order_key(seed, F.col("__whole") + 1, F.col("doc_id")) <= F.col("__cut"), 1).otherwise(0)
-    met = docs.join(hinted(times, BROADCAST_SOURCES), source_key() == F.col("__s"))
+    met = docs.join(hinted(times, BROADCAST_SOURCES, table), source_key() == F.col("__s"))
     return met.select(*columns, F.explode(F.array_repeat(F.lit(1), n)).alias("__copy")).drop("__copy")
