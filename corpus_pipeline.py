@@ -42,7 +42,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
 
-#: Learning, tokenizers and similarity joins are beyond SQL; tests hold each stage against a brute-force version.
+#: Learning, tokenizers and similarity joins are beyond SQL; tests hold the operator of each stage against a brute-force version, and the stages together against the rows that should stay.
 ORACLE_SQL = None
 
 

@@ -240,3 +240,14 @@ def test_experiment_appends_and_gates(spark, signals, tmp_path):
         wf.experiment(signals, log, configs)
     costs = wf.cost_sensitivity(wf.scored(signals, configs[1]).drop("band"), 0.0, 1.0).orderBy("cost_bps").collect()
     assert [c["cost_bps"] for c in costs] == [0.0, 5.0, 10.0] and costs[0]["train_sharpe_pp"] > costs[2]["train_sharpe_pp"]
+
+
+def test_late_rows_are_dropped_as_behind_a_watermark(spark, tmp_path):
+    import time
+
+    rows = [("a", i, float(i % 7)) for i in range(40)]
+    for k, part in enumerate((rows[:20], rows[30:], rows[20:30])):
+        spark.createDataFrame(part, "series_id string, bar_idx long, r double").coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+        time.sleep(1.1)
+    s = spark.readStream.schema("series_id string, bar_idx long, r double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"file://{tmp_path}/in")
+    assert sorted(r["bar_idx"] for r in available_now(ops.stream_changepoints(s, "r")).collect()) == [*range(20), *range(30, 40)]

@@ -125,6 +125,18 @@ def test_segments_of_labels_with_nulls(spark):
     assert got == [(0, "a", 0, 1), (1, None, 2, 3), (2, "b", 4, 4), (3, "a", 5, 5)]
 
 
+def test_as_of_carries_values_over_days(spark):
+    from datetime import datetime, timedelta
+
+    rng, start = np.random.default_rng(3), datetime(2024, 1, 1)
+    at = lambda n: [start + timedelta(hours=float(h)) for h in np.sort(rng.uniform(0, 24 * 12, n)).round(2)]
+    left = [(k, t) for k in "ab" for t in at(60)] + [(None, start + timedelta(days=3))]
+    right = [(k, t, float(i)) for k in "ab" for i, t in enumerate(at(7))]
+    got = sorted(bars.as_of(spark.createDataFrame(left, "k string, t timestamp_ntz"), spark.createDataFrame(right, "k string, u timestamp_ntz, v double"), ["k"], "t", "u", ["v"]).collect(), key=str)
+    want = sorted(((k, t, max(((u, v) for j, u, v in right if j == k and u <= t), default=(None, None))[1]) for k, t in left), key=str)
+    assert sorted((tuple(r) for r in got), key=str) == want
+
+
 def test_as_of_takes_equal_times_and_nothing_before(spark):
     left = spark.createDataFrame([("k", 1), ("k", 5), ("k", 9), ("j", 5)], "k string, t long")
     right = spark.createDataFrame([("k", 5, 50.0), ("k", 7, 70.0)], "k string, u long, v double")

@@ -128,6 +128,26 @@ def test_market(source):
         source.option_chain(datetime(2023, 12, 1, 12, tzinfo=NY))
 
 
+def test_order_of_arrival(spark, source):
+    """Rows with a column of arrival are held to it, also where one stretch meets the next; without it time is the order."""
+    day = lambda h, m=0: datetime(2024, 1, 2, h, m, tzinfo=NY)
+    bars, stretch = source._bars, contracts.STRETCH
+    seconds = F.unix_timestamp("timestamp") - F.lit(int(day(9, 30).timestamp()))
+    for arrival, fine in ((seconds, True), (-seconds, False), (F.when(seconds >= 3600, seconds + stretch).otherwise(seconds), True), (F.when(seconds >= 3600, seconds).otherwise(seconds + 10 * stretch), False)):
+        own = market.TableSource(bars.withColumn("arrival", arrival.cast("bigint")), source._quotes, source._chains, source._events)
+        if fine:
+            assert own.bars(day(9, 30), day(16)).count() == 390
+            assert own.bars(day(9, 30), day(16), "5min").count() == 78
+        else:
+            for freq in ("1min", "5min"):
+                with pytest.raises(contracts.ContractError, match="monotonic"):
+                    own.bars(day(9, 30), day(16), freq)
+    shuffled = market.TableSource(bars.orderBy(F.xxhash64("timestamp")), source._quotes, source._chains, source._events)
+    assert shuffled.bars(day(9, 30), day(16)).count() == 390
+    plan = contracts._ordered(bars, "timestamp", "timestamp", ())._jdf.queryExecution().optimizedPlan().toString()
+    assert "__stretch" in plan
+
+
 def test_longer_horizons_start_the_same(spark, source):
     longer = synthetic.SyntheticIntradaySource(spark, 6)
     a, b = (s._bars.orderBy("timestamp").limit(4 * 390).collect() for s in (source, longer))

@@ -49,18 +49,28 @@ def segments(df: DataFrame, label: str, keys: Sequence[str] = KEYS) -> DataFrame
     return marked.groupBy(*keys, "segment").agg(F.first(label).alias(label), F.min(ORDER).alias("first_bar"), F.max(ORDER).alias("last_bar"), F.count("*").alias("bars"))
 
 
-def as_of(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str, values: Sequence[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str, values: Sequence[str], stretch: str = "day", span: int = 1 << 16) -> DataFrame:
     """Each left row with the values of the last right row at or before its time, null if there is none.
 
-    One shuffle by the keys and one sorted pass (union, last non-null value); no range join. Right rows of one time: the
-    largest values as a struct.
+    One shuffle by the keys and stretches of time and one sorted pass (union, last non-null value); no range join. What a
+    stretch (a unit of time, or a span of times that are numbers) starts with is carried over from the stretches before, of which
+    there is a row a key and stretch, so a key that holds most rows is still spread over tasks. Right rows of one time: the largest values as a struct.
     """
     payload = F.struct(*(F.col(v) for v in values))
     r = right.groupBy(*on, F.col(right_ts).alias("__ts")).agg(F.max(payload).alias("__v"))
     columns = left.columns
     both = left.withColumns({"__ts": F.col(left_ts), "__v": F.lit(None).cast(r.schema["__v"].dataType), "__side": F.lit(1)}).unionByName(r.withColumn("__side", F.lit(0)), allowMissingColumns=True)
-    seen = Window.partitionBy(*on).orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumn("__v", F.last("__v", ignorenulls=True).over(seen)).where("__side = 1")
+    timed = both.schema["__ts"].dataType.typeName().startswith(("timestamp", "date"))
+    both = both.withColumn("__stretch", F.date_trunc(stretch, F.col("__ts")) if timed else F.floor(F.col("__ts") / span))
+    seen = Window.partitionBy(*on, "__stretch").orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*on).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy(*on, "__stretch").agg(F.max_by("__v", F.when(F.col("__side") == 0, F.col("__ts"))).alias("__end"))
+    ends = ends.withColumn("__carried", F.last("__end", ignorenulls=True).over(before)).drop("__end")
+    told = ends.withColumnsRenamed({k: f"__end_{k}" for k in (*on, "__stretch")})
+    same = F.lit(True)
+    for k in (*on, "__stretch"):
+        same = same & F.col(k).eqNullSafe(F.col(f"__end_{k}"))
+    filled = both.withColumn("__v", F.last("__v", ignorenulls=True).over(seen)).where("__side = 1").join(told, same, "left").withColumn("__v", F.coalesce("__v", "__carried"))
     return filled.select(*columns, *(F.col(f"__v.{v}").alias(v) for v in values))
 
 

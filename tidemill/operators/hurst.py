@@ -89,7 +89,7 @@ def bootstrap(df: DataFrame, starts: DataFrame, block: int, returns: str = "log_
     by = Window.partitionBy(*keys).orderBy(order)
     rows = rows.select(*keys, (F.row_number().over(by) - 1).alias("i"), F.col(returns).alias("r"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
     wanted = starts.select("resample", "k", F.posexplode(F.sequence(F.col("start"), F.col("start") + block - 1)).alias("j", "i"))
-    pieced = rows.join(F.broadcast(wanted), "i").withColumn("at", F.col("k") * block + F.col("j")).where("at < n")
+    pieced = rows.join(wanted, "i").withColumn("at", F.col("k") * block + F.col("j")).where("at < n")
     found = dfa(pieced, "r", [*keys, "resample"], "at")
     tail = (1 - confidence) / 2
     return found.groupBy(*keys).agg(F.percentile("hurst", F.lit(tail)).alias("ci_low"), F.percentile("hurst", F.lit(1 - tail)).alias("ci_high"), F.count("*").alias("resamples"))

@@ -181,7 +181,7 @@ def fit(df: DataFrame, returns: str = "log_return", fold_table: DataFrame | None
     if fold_table is None:
         rows = rows.withColumn("fold", F.lit(0))
     else:
-        rows = rows.join(F.broadcast(fold_table.select(*keys, "fold", "train_end")), list(keys)).where("__i < train_end").drop("train_end")
+        rows = rows.join(fold_table.select(*keys, "fold", "train_end"), list(keys)).where("__i < train_end").drop("train_end")
     parts = -(-len(starts) // TOGETHER)
     rows = rows.crossJoin(F.broadcast(spark.range(parts).select(F.col("id").cast("int").alias("part"))))
     names = [*keys, "fold"]
@@ -211,8 +211,8 @@ def decode(df: DataFrame, models: DataFrame, how: str = "filter", returns: str =
     if how not in ("filter", "viterbi"):
         raise ValueError(f"unknown decoding {how!r}")
     rows = df.select(*keys, F.col(ORDER).alias("bar_idx"), F.col(returns).alias("__x")).where(F.col("__x").isNotNull())
-    met = models if fold_table is None else models.join(F.broadcast(fold_table), [*keys, "fold"])
-    rows = rows.join(F.broadcast(met), list(keys))
+    met = models if fold_table is None else models.join(fold_table, [*keys, "fold"])
+    rows = rows.join(met, list(keys))
     if fold_table is not None:
         rows = rows.where("bar_idx < test_end")
     first = "train_end" if fold_table is not None else None

@@ -118,14 +118,19 @@ def select_setting(spark, d) -> DataFrame:
     return rounded(backtest.select_setting(backtest.sweep(scored_view(spark, d), settings(spark))), 6)
 
 
-GATE = f"""WITH RECURSIVE {V.SERIES}, {SIGNALS}, n AS (SELECT series_id, bar_idx, (v_regime + v_flow + v_kernel) / 3 AS s, lead(log_return) OVER ({BY}) AS r FROM v),
-g AS (SELECT *, row_number() OVER ({BY}) AS t FROM n WHERE r IS NOT NULL), sc AS (SELECT series_id, sum(s * r) / sum(s * s) AS scale FROM g WHERE t <= 60 GROUP BY series_id),
+def gate_sql(g: str, told: str = "") -> str:
+    """g: common table expressions up to g (series_id, bar_idx, s, r, t) and sc (series_id, scale)."""
+    return f"""WITH RECURSIVE {g},
 e0 AS (SELECT g.*, scale, abs(r - scale * s) AS err FROM g JOIN sc USING (series_id)), e AS MATERIALIZED (SELECT *, avg(err) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS m FROM e0),
 w AS (SELECT series_id, t, CASE WHEN err > 0 THEN err ELSE 1e-6::DOUBLE END AS width FROM e WHERE t = 1
  UNION ALL SELECT e.series_id, e.t, greatest(w.width + 0.05::DOUBLE * greatest(e.m, 1e-12::DOUBLE) * ((e.err > w.width)::INT - 0.1::DOUBLE), 1e-12::DOUBLE) FROM w JOIN e ON e.series_id = w.series_id AND e.t = w.t + 1),
 i AS (SELECT e.*, CASE WHEN e.t > 60 THEN w.width END AS width FROM e LEFT JOIN w ON w.series_id = e.series_id AND w.t = e.t - 1)
 SELECT series_id, bar_idx, CASE WHEN scale * s - width > 0 THEN 'long' WHEN scale * s + width < 0 THEN 'short' ELSE 'abstain' END AS action, round(scale * s - width, 8) + 0 AS lower, round(scale * s + width, 8) + 0 AS upper,
- width IS NULL OR (r >= scale * s - width AND r <= scale * s + width) AS covered, round(scale, 8) + 0 AS scale FROM i"""
+ width IS NULL OR (r >= scale * s - width AND r <= scale * s + width) AS covered{told} FROM i"""
+
+
+GATE = gate_sql(f"""{V.SERIES}, {SIGNALS}, n AS (SELECT series_id, bar_idx, (v_regime + v_flow + v_kernel) / 3 AS s, lead(log_return) OVER ({BY}) AS r FROM v),
+g AS (SELECT *, row_number() OVER ({BY}) AS t FROM n WHERE r IS NOT NULL), sc AS (SELECT series_id, sum(s * r) / sum(s * s) AS scale FROM g WHERE t <= 60 GROUP BY series_id)""", ", round(scale, 8) + 0 AS scale")
 
 
 @query(QUERIES, GATE)
@@ -150,7 +155,10 @@ def conformal_experiment(spark, d) -> DataFrame:
     return rounded(out, 6)
 
 
-BOCPD = f"""WITH RECURSIVE {V.SERIES}, x AS MATERIALIZED (SELECT series_id, bar_idx, log_return AS x, row_number() OVER ({BY}) AS t FROM series WHERE log_return IS NOT NULL),
+def bocpd_sql(x: str, confidence: bool) -> str:
+    """x: common table expressions up to x (series_id, bar_idx, x, t)."""
+    more = ", round(greatest(0, least(1, map_run / 30.0::DOUBLE)), 6) + 0 AS confidence" if confidence else ""
+    return f"""WITH RECURSIVE {x},
 w(series_id, t, lp, mu, be) AS (SELECT DISTINCT series_id, 0::BIGINT, [0.0::DOUBLE], [0.0::DOUBLE], [1.0::DOUBLE] FROM x
  UNION ALL SELECT series_id, t, list_transform(lp, lambda v: v - rest), mu[1:500], be[1:500] FROM (SELECT *, CASE WHEN cut THEN top2 + ln(list_sum(list_transform(lp, lambda u: exp(u - top2)))) ELSE 0 END AS rest
  FROM (SELECT series_id, t, mu, be, lp0[1:500] AS lp, len(lp0) > 500 AS cut, list_max(lp0[1:500]) AS top2
@@ -161,7 +169,10 @@ w(series_id, t, lp, mu, be) AS (SELECT DISTINCT series_id, 0::BIGINT, [0.0::DOUB
      - 0.5 * ln((i + 1) * pi() * z[3] * (i + 1) / ((i + 1) / 2.0::DOUBLE * i)) - ((i + 1) / 2.0::DOUBLE + 0.5) * ln(1 + (x.x - z[2]) ** 2 / ((i + 1) * z[3] * (i + 1) / ((i + 1) / 2.0::DOUBLE * i)))) AS joint
     FROM w JOIN x ON x.series_id = w.series_id AND x.t = w.t + 1))))))),
 o AS (SELECT series_id, t, list_sum(list_transform(lp[1:6], lambda v: exp(v))) AS change_prob, list_sum(list_transform(lp, lambda v, i: (i - 1) * exp(v))) AS expected_run, (list_position(lp, list_max(lp)) - 1)::INT AS map_run FROM w WHERE t > 0)
-SELECT o.series_id, x.bar_idx, round(change_prob, 6) + 0 AS change_prob, round(expected_run, 6) + 0 AS expected_run, map_run, round(greatest(0, least(1, map_run / 30.0::DOUBLE)), 6) + 0 AS confidence FROM o JOIN x ON x.series_id = o.series_id AND x.t = o.t"""
+SELECT o.series_id, x.bar_idx, round(change_prob, 6) + 0 AS change_prob, round(expected_run, 6) + 0 AS expected_run, map_run{more} FROM o JOIN x ON x.series_id = o.series_id AND x.t = o.t"""
+
+
+BOCPD = bocpd_sql(f"{V.SERIES}, x AS MATERIALIZED (SELECT series_id, bar_idx, log_return AS x, row_number() OVER ({BY}) AS t FROM series WHERE log_return IS NOT NULL)", True)
 
 
 @query(QUERIES, BOCPD)

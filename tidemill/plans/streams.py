@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..streaming import operators as ops
 from ..streaming.run import available_now, table_stream
 from . import views as V
+from .models import bocpd_sql, gate_sql
 from .registry import Queries, query, rounded
 
 QUERIES: Queries = {}
@@ -23,13 +24,17 @@ def stream_bars(spark, d) -> DataFrame:
     return rounded(out.withColumn("bar_ts", F.col("bar_ts").cast("timestamp_ntz")), 6, ["volume"])
 
 
-@query(QUERIES)
+BY = "PARTITION BY event_type ORDER BY event_id"
+
+
+@query(QUERIES, bocpd_sql(f"x AS MATERIALIZED (SELECT event_type AS series_id, event_id AS bar_idx, ln(1 + value) AS x, row_number() OVER ({BY}) AS t FROM events)", False))
 def stream_bocpd(spark, d) -> DataFrame:
     rows = ticks(spark, d).withColumn("bar_idx", F.col("event_id").cast("bigint")).withColumn("z", F.log1p("value"))
     return rounded(available_now(ops.stream_changepoints(rows, "z")), 6)
 
 
-@query(QUERIES)
+@query(QUERIES, gate_sql(f"""g AS (SELECT event_type AS series_id, event_id AS bar_idx, sin(event_id::DOUBLE) AS s, sin(event_id::DOUBLE) + ln(1 + value) / 10 AS r, row_number() OVER ({BY}) AS t FROM events),
+sc AS (SELECT DISTINCT event_type AS series_id, 1.0::DOUBLE AS scale FROM events)"""))
 def stream_gate(spark, d) -> DataFrame:
     rows = ticks(spark, d).withColumn("bar_idx", F.col("event_id").cast("bigint")).withColumn("score", F.sin(F.col("event_id").cast("double"))).withColumn("realised", F.sin(F.col("event_id").cast("double")) + F.log1p("value") / 10)
     out = available_now(ops.stream_gate(rows, "score", "realised", 1.0))

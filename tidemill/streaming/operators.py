@@ -1,5 +1,7 @@
 """Streaming forms: watermarked bars, changepoints and the conformal gate. Rows of a trigger are put in event order before the
-state sees them, so a stream that is cut into triggers at any point gives what the batch operators give."""
+state sees them, so a stream that is cut into triggers at any point gives what the batch operators give. The state keeps the last
+row's place: a row that arrives after one that follows it was taken is late and dropped, as behind a watermark. A trigger's rows
+of one series stand in a worker at once; the source's own limits (files or offsets a trigger) bound them."""
 from __future__ import annotations
 
 import json
@@ -15,6 +17,12 @@ from ..operators.online import Changepoints, Gate
 KEYS = ("series_id",)
 
 
+def in_order(parts: Iterator[pd.DataFrame], order: str, last: int | None) -> pd.DataFrame:
+    """The rows of a trigger by their place, without late ones."""
+    rows = pd.concat([p if last is None else p[p[order] > last] for p in parts])
+    return rows.sort_values(order, kind="stable")
+
+
 def event_time(df: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """Watermarks need a timestamp with a zone; rows later than that are dropped and counted by the engine."""
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
@@ -36,13 +44,15 @@ def stream_changepoints(df: DataFrame, value: str, order: str = "bar_idx", hazar
         model = Changepoints(hazard, most)
         if state.exists:
             model.restore(bytes(state.get[0]))
-        rows = pd.concat(list(parts)).sort_values(order)
+        rows = in_order(parts, order, state.get[1] if state.exists else None)
+        if rows.empty:
+            return
         out = [model.update(float(x), k) for x in rows[value]]
-        state.update((model.state(),))
+        state.update((model.state(), int(rows[order].iloc[-1])))
         yield pd.DataFrame({key: own[0], "bar_idx": rows[order].to_numpy(), "change_prob": [o[0] for o in out], "expected_run": [o[1] for o in out], "map_run": [o[2] for o in out]})
 
     rows = df.where(F.col(value).isNotNull()).select(key, order, F.col(value).cast("double").alias(value))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} string, bar_idx long, change_prob double, expected_run double, map_run int", "posterior binary", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} string, bar_idx long, change_prob double, expected_run double, map_run int", "posterior binary, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_gate(df: DataFrame, score: str, realised: str, scale: float, order: str = "bar_idx", alpha: float = 0.1, warmup: int = 60, key: str = "series_id") -> DataFrame:
@@ -52,15 +62,17 @@ def stream_gate(df: DataFrame, score: str, realised: str, scale: float, order: s
     def step(own: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         gate = Gate(alpha, scale, warmup=warmup)
         if state.exists:
-            gate.t, gate.width, errors = state.get
+            gate.t, gate.width, errors, last = state.get
             gate.errors = json.loads(errors)
-        rows, out = pd.concat(list(parts)).sort_values(order), []
+        rows, out = in_order(parts, order, last if state.exists else None), []
+        if rows.empty:
+            return
         for a, b in zip(rows[score].tolist(), rows[realised].tolist()):
             action, low, high = gate.decide(a)
             out.append((action, low, high, low <= b <= high))
             gate.update(a, b)
-        state.update((gate.t, gate.width, json.dumps(gate.errors)))
+        state.update((gate.t, gate.width, json.dumps(gate.errors), int(rows[order].iloc[-1])))
         yield pd.DataFrame({key: own[0], "bar_idx": rows[order].to_numpy(), **pd.DataFrame(out, columns=["action", "lower", "upper", "covered"])})
 
     rows = df.where(F.col(score).isNotNull() & F.col(realised).isNotNull()).select(key, order, F.col(score).cast("double").alias(score), F.col(realised).cast("double").alias(realised))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} string, bar_idx long, action string, lower double, upper double, covered boolean", "t long, width double, errors string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} string, bar_idx long, action string, lower double, upper double, covered boolean", "t long, width double, errors string, last long", "append", GroupStateTimeout.NoTimeout)

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemill-stream-")
+    """The shared folder of the cluster; a temporary one only where none is set and the master is local, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share: the state of a stream lives there")
+    base = base or "file://" + tempfile.mkdtemp(prefix="tidemill-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
