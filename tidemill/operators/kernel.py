@@ -5,12 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from ..functions.frames import KEYS, ORDER, ordered, trailing, whole
+from ..functions.frames import KEYS, ORDER, ordered, spread, trailing, whole
 
 REACH = 9
+STRETCH = 4096
 #: The bandwidths tried.
 BANDWIDTHS = (2, 3, 5, 8, 12, 18, 27, 40, 60, 90, 135)
 
@@ -44,8 +48,8 @@ def causal_deviation(df: DataFrame, bandwidth: float, value: str = "close", keys
     return df.withColumn("__sd", sd).withColumn(out, F.when(F.col("__sd") > 0, F.col("__residual") / F.col("__sd"))).drop("__estimate", "__residual", "__sd")
 
 
-def _both_sides(df: DataFrame, bandwidth: float, value: str, keys: Sequence[str], centre: bool) -> tuple[DataFrame, Column, Column]:
-    """Weighted sum and weight sum over the rows within reach on both sides, with or without the row itself."""
+def _both_sides(df: DataFrame, bandwidth: float, value: str, keys: Sequence[str]) -> tuple[DataFrame, Column, Column]:
+    """Weighted sum and weight sum over the rows within reach on both sides and the row itself."""
     own = weights(bandwidth)
     reach = len(own) - 1
     forward, backward = F.array(*(F.lit(x) for x in own[1:])), F.array(*(F.lit(x) for x in reversed(own[1:])))
@@ -54,11 +58,11 @@ def _both_sides(df: DataFrame, bandwidth: float, value: str, keys: Sequence[str]
     wb, wa = F.slice(backward, reach - F.size("__before") + 1, F.size("__before")), F.slice(forward, F.lit(1), F.size("__after"))
     top = _dot(F.col("__before"), wb) + _dot(F.col("__after"), wa)
     low = _total(wb) + _total(wa)
-    return df, (top + own[0] * F.col(value) if centre else top), (low + own[0] if centre else low)
+    return df, top + own[0] * F.col(value), low + own[0]
 
 
 def two_sided_estimate(df: DataFrame, bandwidth: float, value: str = "close", keys: Sequence[str] = KEYS, out: str = "estimate") -> DataFrame:
-    df, top, low = _both_sides(df, bandwidth, value, keys, True)
+    df, top, low = _both_sides(df, bandwidth, value, keys)
     return df.withColumn(out, top / low).drop("__before", "__after")
 
 
@@ -70,16 +74,33 @@ def two_sided_deviation(df: DataFrame, estimate: str = "estimate", value: str =
 
 
 def loocv(df: DataFrame, bandwidths: Sequence[float] = BANDWIDTHS, value: str = "close", keys: Sequence[str] = KEYS) -> DataFrame:
-    """Leave-one-out error of every bandwidth: keys, position, bandwidth, mse. One sorted pass a bandwidth over bounded frames."""
-    errors = []
-    for h in bandwidths:
-        own, top, low = _both_sides(df.select(*keys, ORDER, value), h, value, keys, False)
-        miss = F.col(value) - top / F.when(low > 1e-300, low)
-        errors.append(own.select(*keys, F.lit(float(h)).alias("bandwidth"), (miss * miss).alias("e")))
-    out = errors[0]
-    for e in errors[1:]:
-        out = out.unionByName(e)
-    return out.groupBy(*keys, "bandwidth").agg(F.avg("e").alias("mse"))
+    """Leave-one-out error of every bandwidth: keys, bandwidth, mse. Rows without a value do not count.
+
+    Stretches of STRETCH rows, with as many neighbours as the widest kernel reaches, go to numpy once for all bandwidths: a long
+    series is many groups, and only sums of errors meet again. A row with no weight around it has no error; null without any.
+    """
+    reach = math.ceil(REACH * max(bandwidths))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__y"), (F.row_number().over(ordered(keys)) - 1).cast("bigint").alias("__i"))
+    stretch = lambda i: F.floor(i / STRETCH)
+    rows = rows.withColumn("__s", F.explode(F.sequence(stretch(F.greatest(F.lit(0), F.col("__i") - reach)), stretch(F.col("__i") + reach))))
+    schema = StructType([*(rows.schema[k] for k in keys), StructField("bandwidth", DoubleType()), StructField("e", DoubleType()), StructField("n", LongType())])
+
+    def errors(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("__i")
+        y, own = part["__y"].to_numpy(), (part["__i"] // STRETCH == part["__s"]).to_numpy()
+        out = []
+        for h in bandwidths if own.any() else ():
+            w = np.array(weights(h))
+            around = np.concatenate([w[:0:-1], [0.0], w[1:]])
+            top, low = (np.convolve(x, around)[len(w) - 1 : len(w) - 1 + len(y)][own] for x in (y, np.ones(len(y))))
+            some = low > 1e-300
+            miss = y[own][some] - top[some] / low[some]
+            out.append([*(part[k].iloc[0] for k in keys), float(h), float(miss @ miss), int(some.sum())])
+        return pd.DataFrame(out, columns=schema.names)
+
+    # dealt as bounded groups: adaptive execution would give them all to one task
+    found = spread(rows, *keys, "__s").groupBy(*keys, "__s").applyInPandas(errors, schema)
+    return found.groupBy(*keys, "bandwidth").agg((F.sum("e") / F.when(F.sum("n") > 0, F.sum("n"))).alias("mse"))
 
 
 def best_bandwidth(scores: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.frames import spread
 from ..operators import backtest, bars, consensus, flow, hurst, kernel, online, regimes, reversion, stats, surprise
 from . import views as V
 from .registry import Queries, query, rounded
@@ -119,55 +118,33 @@ def hurst_dfa(spark, d) -> DataFrame:
 
 
 @query(QUERIES, f"""WITH {V.SERIES}, r0 AS (SELECT series_id, bar_idx, log_return AS r, max(bar_idx) OVER (PARTITION BY series_id) AS last, min(bar_idx) OVER (PARTITION BY series_id) AS first FROM series WHERE log_return IS NOT NULL),
-rr AS (SELECT r0.series_id, e.end_bar, r0.bar_idx, r FROM r0 JOIN (SELECT series_id, unnest(range(first + 251, last + 1, 100)) AS end_bar FROM (SELECT DISTINCT series_id, first, last FROM r0)) e ON e.series_id = r0.series_id AND r0.bar_idx BETWEEN e.end_bar - 251 AND e.end_bar),
+rr AS (SELECT r0.series_id, e.end_bar, r0.bar_idx, r FROM r0 JOIN (SELECT series_id, unnest(range(first + 251, last + 1)) AS end_bar FROM (SELECT DISTINCT series_id, first, last FROM r0)) e ON e.series_id = r0.series_id AND r0.bar_idx BETWEEN e.end_bar - 251 AND e.end_bar),
 {dfa_sql('series_id, end_bar', 'bar_idx')} SELECT series_id, end_bar, round(hurst, 6) + 0 AS hurst FROM hu""")
 def hurst_rolling(spark, d) -> DataFrame:
-    return rounded(hurst.rolling_dfa(V.series(spark, d), window=252, step=100), 6)
-
-
-@query(QUERIES)
-def hurst_rolling_whole(spark, d) -> DataFrame:
-    """Every full window; hurst_rolling keeps the stride of 100 of its SQL."""
     return rounded(hurst.rolling_exponent(V.series(spark, d)), 6)
 
 
-@query(QUERIES, f"""WITH {V.SERIES}, r0 AS (SELECT series_id, row_number() OVER ({BY}) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n, log_return AS r FROM series WHERE log_return IS NOT NULL),
-st AS (SELECT rs AS resample, k, (rs * 7919 + k * 104729) % 500 AS start FROM range(20) a(rs), range(100) b(k)),
-rr AS (SELECT series_id, resample, k * 25 + j AS pos, r FROM st, range(25) c(j) JOIN r0 ON r0.i = st.start + c.j WHERE k * 25 + j < n),
-{dfa_sql('series_id, resample', 'pos')} SELECT series_id, round(quantile_cont(hurst, 0.025), 6) + 0 AS ci_low, round(quantile_cont(hurst, 0.975), 6) + 0 AS ci_high, count(*) AS resamples FROM hu GROUP BY series_id""")
-def hurst_block_bootstrap(spark, d) -> DataFrame:
-    starts = spark.range(20).select(F.col("id").cast("int").alias("resample")).crossJoin(spark.range(100).select(F.col("id").cast("int").alias("k"))).withColumn("start", ((F.col("resample") * 7919 + F.col("k") * 104729) % 500).cast("bigint"))
-    return rounded(hurst.bootstrap(V.series(spark, d), starts, 25).select("series_id", "ci_low", "ci_high", "resamples"), 6)
-
-
-def whole_interval(spark, d) -> DataFrame:
-    """series_id, hurst, ci_low, ci_high: blocks from the whole length of each series, the operator's block and resamples. numpy's draws are beyond SQL."""
-    rows = V.series(spark, d).where("log_return is not null").groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("bar_idx", "log_return"))).alias("rows"))
-    return hurst.with_interval(spread(rows.select("series_id", F.col("rows.log_return").alias("w")), "series_id"), "w", hurst.RESAMPLES).drop("w")
+#: iv: the exponent of each whole series (resample -1 of hu) and the percentiles of its resamples.
+INTERVAL = f"""r0 AS (SELECT series_id, row_number() OVER ({BY}) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n, log_return AS r FROM series WHERE log_return IS NOT NULL),
+bl AS (SELECT DISTINCT series_id, n, least(n, greatest(10, round(2 * pow(n, 1 / 3.0::DOUBLE))::BIGINT)) AS block FROM r0),
+bk AS (SELECT *, unnest(range((n + block - 1) // block)) AS k FROM bl),
+st AS (SELECT *, unnest(range(block)) AS j FROM (SELECT bk.*, rs AS resample, ('0x' || substr(md5(rs || ':' || k), 1, 8))::BIGINT % (n - block + 1) AS start FROM bk, range({hurst.RESAMPLES}) a(rs))),
+rr AS (SELECT st.series_id, resample, k * block + j AS pos, r FROM st JOIN r0 ON r0.series_id = st.series_id AND r0.i = st.start + st.j WHERE k * block + j < st.n UNION ALL SELECT series_id, -1, i, r FROM r0),
+{dfa_sql('series_id, resample', 'pos')},
+iv AS (SELECT series_id, max(hurst) FILTER (resample < 0) AS hurst, quantile_cont(hurst, 0.025) FILTER (resample >= 0) AS ci_low, quantile_cont(hurst, 0.975) FILTER (resample >= 0) AS ci_high, count(*) FILTER (resample >= 0) AS resamples FROM hu GROUP BY series_id)"""
 
 
-@query(QUERIES)
-def hurst_block_bootstrap_whole(spark, d) -> DataFrame:
-    """The bootstrap over whole series; hurst_block_bootstrap keeps the first 524 rows that its SQL draws from."""
-    return rounded(whole_interval(spark, d).select("series_id", "ci_low", "ci_high", F.lit(hurst.RESAMPLES).cast("bigint").alias("resamples")), 6)
+@query(QUERIES, f"WITH {V.SERIES}, {INTERVAL} SELECT series_id, round(hurst, 6) + 0 AS hurst, round(ci_low, 6) + 0 AS ci_low, round(ci_high, 6) + 0 AS ci_high, resamples FROM iv")
+def hurst_block_bootstrap(spark, d) -> DataFrame:
+    return rounded(hurst.series_interval(V.series(spark, d)), 6)
 
 
-@query(QUERIES, f"""WITH {V.SERIES}, {SIGNALS}, {RETURNS}, {dfa_sql('series_id', 'bar_idx')}, h AS (SELECT series_id, round(hurst, 4) AS hurst FROM hu), b AS (SELECT series_id, 0.15::DOUBLE * CASE WHEN hurst - 0.01 <= 0.5 AND hurst + 0.01 >= 0.5 THEN 2 ELSE 2 - least(abs(hurst - 0.5) / 0.5, 1) * 1.5 END AS band FROM h),
+@query(QUERIES, f"""WITH {V.SERIES}, {SIGNALS}, {INTERVAL}, b AS (SELECT series_id, round(0.15::DOUBLE * CASE WHEN ci_low <= 0.5 AND ci_high >= 0.5 THEN 2 ELSE 2 - least(abs(hurst - 0.5) / 0.5, 1) * 1.5 END, 6) + 0 AS band FROM iv),
 s AS (SELECT v.series_id, bar_idx, band, round((v_regime + v_flow + v_kernel) / 3, 6) + 0 AS score FROM v JOIN b USING (series_id))
-SELECT series_id, bar_idx, score, round(band, 6) + 0 AS band, CASE WHEN score > round(band, 6) THEN 'bullish' WHEN score < -round(band, 6) THEN 'bearish' ELSE 'neutral' END AS label FROM s""")
+SELECT series_id, bar_idx, score, band, CASE WHEN score > band THEN 'bullish' WHEN score < -band THEN 'bearish' ELSE 'neutral' END AS label FROM s""")
 def consensus_hurst_band(spark, d) -> DataFrame:
-    h = hurst.dfa(V.series(spark, d)).select("series_id", F.round("hurst", 4).alias("hurst"))
-    h = h.select("series_id", F.round(S.NEUTRAL_BAND * S.hurst_multiplier(F.col("hurst"), F.col("hurst") - 0.01, F.col("hurst") + 0.01), 6).alias("band"))
-    df, votes = voted(spark, d)
-    df = rounded(consensus.consensus(df.join(h, "series_id"), votes, band=F.col("band")), 6, ["score"])
-    return df.select("series_id", "bar_idx", "score", "band", S.band_label(F.col("score"), F.col("band")).alias("label"))
-
-
-@query(QUERIES)
-def consensus_hurst_interval(spark, d) -> DataFrame:
-    """The band from the bootstrapped interval; consensus_hurst_band keeps the interval of 0.01 each way of its SQL."""
     multiplier = F.when(F.col("hurst").isNull(), 2.0).otherwise(S.hurst_multiplier(F.col("hurst"), F.col("ci_low"), F.col("ci_high")))
-    h = whole_interval(spark, d).select("series_id", F.round(S.NEUTRAL_BAND * multiplier, 6).alias("band"))
+    h = hurst.series_interval(V.series(spark, d)).select("series_id", F.round(S.NEUTRAL_BAND * multiplier, 6).alias("band"))
     df, votes = voted(spark, d)
     df = rounded(consensus.consensus(df.join(h, "series_id"), votes, band=F.col("band")), 6, ["score"])
     return df.select("series_id", "bar_idx", "score", "band", S.band_label(F.col("score"), F.col("band")).alias("label"))
@@ -219,25 +196,11 @@ def kernel_two_sided(spark, d) -> DataFrame:
     return rounded(rounded(df.select("series_id", "bar_idx", "estimate", "signal"), 4, ["estimate"]), 6, ["signal"])
 
 
-LOOCV_GRID = (2, 3, 5, 8, 12, 18)
-
-
-def loocv_sql(grid) -> str:
-    return f"""WITH {V.SERIES}, h AS (SELECT unnest([{", ".join(f"{h}.0::DOUBLE" for h in grid)}]) AS h),
+@query(QUERIES, f"""WITH {V.SERIES}, h AS (SELECT unnest([{", ".join(f"{h}.0::DOUBLE" for h in kernel.BANDWIDTHS)}]) AS h),
 e AS (SELECT a.series_id, a.bar_idx, h.h, any_value(a.close) AS close, sum(b.close * exp(-0.5::DOUBLE * pow((a.bar_idx - b.bar_idx) / h.h, 2))) / sum(exp(-0.5::DOUBLE * pow((a.bar_idx - b.bar_idx) / h.h, 2))) AS estimate
 FROM series a, h JOIN series b ON a.series_id = b.series_id AND b.bar_idx BETWEEN a.bar_idx - (9 * h.h)::INT AND a.bar_idx + (9 * h.h)::INT AND a.bar_idx <> b.bar_idx GROUP BY a.series_id, a.bar_idx, h.h)
-SELECT series_id, h AS bandwidth, round(avg((close - estimate) ** 2) / 1e6, 3) + 0 AS mse FROM e GROUP BY series_id, h"""
-
-
-@query(QUERIES, loocv_sql(LOOCV_GRID))
+SELECT series_id, h AS bandwidth, round(avg((close - estimate) ** 2) / 1e6, 3) + 0 AS mse FROM e GROUP BY series_id, h""")
 def kernel_loocv(spark, d) -> DataFrame:
-    df = kernel.loocv(V.series(spark, d), LOOCV_GRID)
-    return rounded(df.withColumn("mse", F.col("mse") / 1e6), 3, ["mse"])
-
-
-@query(QUERIES, loocv_sql(kernel.BANDWIDTHS))
-def kernel_loocv_whole(spark, d) -> DataFrame:
-    """Every bandwidth of the operator; kernel_loocv keeps the six of its SQL."""
     df = kernel.loocv(V.series(spark, d))
     return rounded(df.withColumn("mse", F.col("mse") / 1e6), 3, ["mse"])
 
