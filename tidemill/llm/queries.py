@@ -5,17 +5,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroids import cluster
 from .chat import format_chats
 from .common import table
 from .exact_dedup import exact_groups
+from .filter_audit import audit_filters
 from .language_id import identify, train
 from .mixing import mix
 from .nearest import nearest
 from .ngram_join import near_duplicates
 from .packing import pack
+from .pieces import round_trip
 from .secrets import scan_secrets
 from .token_counts import count_tokens
-from .oracles import CHAT_FORMAT, EXACT_DEDUP, MIXING, NEAREST, NGRAM_JOIN, SECRETS
+from .oracles import CHAT_FORMAT, EXACT_DEDUP, FILTER_AUDIT, MIXING, NEAREST, NGRAM_JOIN, SECRETS, centroids
 from .token_files import token_files_round_trip
 
 
@@ -67,11 +70,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_mixing, op2_language_id, op3_token_files, op4_nearest, op5_ngram_join, op6_packing, op7_exact_dedup, op8_chat_format, op9_secrets, op10_token_counts)
+    every = (op1_mixing, op2_language_id, op3_token_files, op4_nearest, op5_ngram_join, op6_packing, op7_exact_dedup, op8_chat_format, op9_secrets, op10_token_counts, op11_sentencepiece, op12_centroids, op13_filter_audit)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Token files, packing and token counts need tokenizers, and language ID learns: tests hold these against brute force."""
-    return {"op1_mixing": MIXING, "op4_nearest": NEAREST, "op5_ngram_join": NGRAM_JOIN, "op7_exact_dedup": EXACT_DEDUP, "op8_chat_format": CHAT_FORMAT, "op9_secrets": SECRETS}
+    """Token files, packing, token counts and SentencePiece need tokenizers, and language ID learns: tests hold these against brute force."""
+    return {"op1_mixing": MIXING, "op4_nearest": NEAREST, "op5_ngram_join": NGRAM_JOIN, "op7_exact_dedup": EXACT_DEDUP, "op8_chat_format": CHAT_FORMAT, "op9_secrets": SECRETS, "op12_centroids": centroids(), "op13_filter_audit": FILTER_AUDIT}
