@@ -5,6 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from tests import sequential
 from tests.causality import same_before
 from tidemill.functions.frames import trailing, with_bar_index
 from tidemill.operators import backtest, bars, consensus, flow, hurst, kernel, online, options, regimes, reversion, stats, surprise
@@ -359,10 +360,10 @@ def test_recursions_against_enumeration():
     x, pi, a = np.array([0.2, 4.8, 5.3, -0.5, 2.5]), np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.4, 0.6]])
     logb = regimes.log_emissions(x, np.array([0.0, 5.0]), np.array([1.0, 1.5]) ** 2, np.array([np.inf, np.inf]))
     every = paths(pi, a, logb)
-    alpha, scale, ll = regimes.forward(pi, a, logb)
+    alpha, scale, ll = sequential.forward(pi, a, logb)
     assert ll == pytest.approx(math.log(sum(map(math.exp, every.values()))))
-    assert tuple(regimes.viterbi(pi, a, logb)) == max(every, key=every.get)
-    beta = regimes.backward(a, logb, scale)
+    assert tuple(sequential.viterbi(pi, a, logb)) == max(every, key=every.get)
+    beta = sequential.backward(a, logb, scale)
     gamma = alpha * beta
     gamma /= gamma.sum(axis=1, keepdims=True)
     for t in range(5):

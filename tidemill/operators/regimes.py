@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import KEYS, ORDER, spread
+from . import blockscan
+from .blockscan import Blocks, Sums, scaled
 
 STATES, STARTS, NU_START, ROUNDS, TOLERANCE, NU_LEAST, NU_MOST, VAR_LEAST, SPLITS = 3, 15, 8.0, 100, 1e-4, 2.05, 200.0, 1e-10, 8
-#: Starts of one group.
-TOGETHER = 16
+#: Starts of one group; rows from which a series is fitted and decoded in blocks over many tasks.
+TOGETHER, LONG = 16, 1 << 18
 MODEL = "pi array<double>, a array<double>, mu array<double>, var array<double>, nu array<double>, score double"
 
 
@@ -32,8 +34,8 @@ def digamma(x: np.ndarray) -> np.ndarray:
 
 
 def log_emissions(x: np.ndarray, mu: np.ndarray, var: np.ndarray, nu: np.ndarray) -> np.ndarray:
-    """(rows, ..., states) for parameters (..., states); an infinite nu is a normal distribution."""
-    x = x.reshape(-1, *[1] * np.ndim(mu))
+    """(*x, *parameters) for parameters (..., states); an infinite nu is a normal distribution."""
+    x = x.reshape(*x.shape, *[1] * np.ndim(mu))
     z = (x - mu) ** 2 / var
     normal = ~np.isfinite(nu)
     v = np.where(normal, 1.0, nu)
@@ -42,102 +44,109 @@ def log_emissions(x: np.ndarray, mu: np.ndarray, var: np.ndarray, nu: np.ndarray
     return np.where(normal, -0.5 * (np.log(2 * np.pi * var) + z), t)
 
 
-def forward_many(pi: np.ndarray, a: np.ndarray, logb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Filtered probabilities (rows, models, states), their scales (rows, models) and log likelihoods (models): a step costs the same for one model as for many."""
-    top = logb.max(axis=2)
-    b = np.exp(logb - top[:, :, None])
-    alpha, scale = np.empty_like(b), np.empty(b.shape[:2])
-    now = pi * b[0]
-    for t in range(len(b)):
-        if t:
-            now = (now[:, None, :] @ a)[:, 0] * b[t]
-        total = np.maximum(now.sum(axis=1), 1e-300)
-        now = now / total[:, None]
-        alpha[t], scale[t] = now, total
-    return alpha, scale, np.log(scale).sum(axis=0) + top.sum(axis=0)
-
-
-def backward_many(a: np.ndarray, logb: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    c = np.exp(logb - logb.max(axis=2, keepdims=True)) / scale[:, :, None]
-    beta, across = np.ones_like(c), a.transpose(0, 2, 1)
-    now = beta[-1]
-    for t in range(len(c) - 2, -1, -1):
-        now = ((c[t + 1] * now)[:, None, :] @ across)[:, 0]
-        beta[t] = now
-    return beta
-
-
-def forward(pi: np.ndarray, a: np.ndarray, logb: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """The same of one model: (rows, states), (rows), log likelihood."""
-    alpha, scale, score = forward_many(pi[None], a[None], logb[:, None])
-    return alpha[:, 0], scale[:, 0], float(score[0])
-
-
-def backward(a: np.ndarray, logb: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    return backward_many(a[None], logb[:, None], scale[:, None])[:, 0]
-
-
-def viterbi(pi: np.ndarray, a: np.ndarray, logb: np.ndarray) -> np.ndarray:
-    la, best = np.log(a + 1e-300), np.log(pi + 1e-300) + logb[0]
-    back = np.zeros(logb.shape, int)
-    for t in range(1, len(logb)):
-        paths = best[:, None] + la
-        back[t] = paths.argmax(axis=0)
-        best = paths.max(axis=0) + logb[t]
-    out = np.empty(len(logb), int)
-    out[-1] = best.argmax()
-    for t in range(len(logb) - 2, -1, -1):
-        out[t] = back[t + 1, out[t + 1]]
-    return out
-
-
-def solve_nu(term: float) -> float:
-    """Root of 1 + log(nu/2) - digamma(nu/2) + term, which falls in nu, by bisection within the bounds."""
-    g = lambda v: 1 + math.log(v / 2) - float(digamma(np.array([v / 2]))[0]) + term
-    low, high = NU_LEAST, NU_MOST
-    if g(low) <= 0:
-        return low
-    if g(high) >= 0:
-        return high
+def solve_nu(term: np.ndarray | float) -> np.ndarray:
+    """Roots of 1 + log(nu/2) - digamma(nu/2) + term, which falls in nu, by bisection within the bounds."""
+    term = np.asarray(term, np.float64)
+    g = lambda v: 1 + np.log(v / 2) - digamma(v / 2) + term
+    low, high = np.full(term.shape, NU_LEAST), np.full(term.shape, NU_MOST)
+    below, above = g(low) <= 0, g(high) >= 0
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if g(mid) > 0 else (low, mid)
-    return (low + high) / 2
+        up = g(mid) > 0
+        low, high = np.where(up, mid, low), np.where(up, high, mid)
+    return np.where(below, NU_LEAST, np.where(above, NU_MOST, (low + high) / 2))
+
+
+def e_step(at: Blocks, a: np.ndarray, mu: np.ndarray, var: np.ndarray, nu: np.ndarray, b: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> Sums:
+    """Sums of blocks whose carries are known."""
+    x = at.x[:, :, None, None]
+    alpha = blockscan.filtered(ahead, a, b, at)
+    beta = blockscan.following(behind, a, b, at)
+    z = (x - mu) ** 2 / var
+    normal = ~np.isfinite(nu)
+    v = np.where(normal, 1.0, nu)
+    u = np.where(normal, 1.0, (v + 1) / (v + z))
+    term = digamma((v + 1) / 2) - np.log((v + z) / 2) - u
+    return blockscan.expected(alpha, beta, ahead, a, b, at, z, u, term, x - mu)
+
+
+def m_step(s: Sums, mu: np.ndarray, nu: np.ndarray) -> tuple[np.ndarray, ...]:
+    """pi, a, mu, var, nu of the sums; a normal state stays one."""
+    var = np.maximum((s.w2 - s.w1 * s.w1 / s.w0) / s.weight, VAR_LEAST)
+    new_nu = np.where(np.isfinite(nu), solve_nu(s.term / s.weight), nu)
+    return s.start, s.moves / np.maximum(s.moves.sum(axis=2, keepdims=True), 1e-300), mu + s.w1 / s.w0, var, new_nu
+
+
+class Models:
+    """Parameters of many starts of one series while they are fitted; starts that have converged stand still."""
+
+    def __init__(self, mu: np.ndarray, var: float, student: bool) -> None:
+        n = len(mu)
+        self.mu, self.var, self.nu = np.sort(mu, axis=1), np.full((n, STATES), max(var, VAR_LEAST)), np.full((n, STATES), NU_START if student else np.inf)
+        self.pi, self.a, self.before = np.full((n, STATES), 1 / STATES), np.full((n, STATES, STATES), 1 / STATES), np.full(n, -np.inf)
+        self.at, self.step = np.arange(n), 0
+
+    def now(self) -> tuple[np.ndarray, ...]:
+        """pi, a, mu, var, nu of those that still move."""
+        return tuple(z[self.at] for z in (self.pi, self.a, self.mu, self.var, self.nu))
+
+    def move(self, sums: Sums, score: np.ndarray) -> None:
+        at = self.at
+        self.pi[at], self.a[at], self.mu[at], self.var[at], self.nu[at] = m_step(sums, self.mu[at], self.nu[at])
+        still = ~np.isfinite(score) | ((self.step > 0) & (np.abs(score - self.before[at]) < TOLERANCE * np.abs(self.before[at])))
+        self.before[at], self.at = score, at[~still]
+        self.step += 1
+
+    def rest(self, score: np.ndarray) -> list[tuple]:
+        return [(self.pi[i], self.a[i], self.mu[i], self.var[i], self.nu[i], float(score[i])) for i in range(len(score))]
 
 
 def fit_many(x: np.ndarray, seeds: Sequence[int], student: bool = True, rounds: int = ROUNDS, trace: list | None = None) -> list[tuple]:
-    """(pi, a, mu, var, nu, log likelihood) from each random start; starts that have converged stand still."""
-    n = len(seeds)
-    mu = np.stack([np.sort(x[np.random.default_rng(s).choice(len(x), size=STATES, replace=False)]) for s in seeds])
-    var, nu = np.full((n, STATES), max(np.var(x), VAR_LEAST)), np.full((n, STATES), NU_START if student else np.inf)
-    pi, a, before, at = np.full((n, STATES), 1 / STATES), np.full((n, STATES, STATES), 1 / STATES), np.full(n, -np.inf), np.arange(n)
-    y = x[:, None, None]
-    for step in range(rounds):
-        logb = log_emissions(x, mu[at], var[at], nu[at])
-        alpha, scale, score = forward_many(pi[at], a[at], logb)
+    """(pi, a, mu, var, nu, log likelihood) from each random start."""
+    at = Blocks.cut(x)
+    models = Models(np.stack([x[np.random.default_rng(s).choice(len(x), size=STATES, replace=False)] for s in seeds]), np.var(x), student)
+
+    def scan(pi: np.ndarray, a: np.ndarray, mu: np.ndarray, var: np.ndarray, nu: np.ndarray) -> tuple:
+        b, top = scaled(log_emissions(at.x, mu, var, nu))
+        ahead, behind, score = blockscan.carries(pi, *blockscan.products(a, b, at))
+        return b, ahead, behind, score + (top * at.valid[:, :, None]).sum(axis=(0, 1))
+
+    for _ in range(rounds):
+        pi, a, mu, var, nu = models.now()
+        b, ahead, behind, score = scan(pi, a, mu, var, nu)
         if trace is not None:
             trace.append(float(score[0]))
-        beta = backward_many(a[at], logb, scale)
-        gamma = alpha * beta
-        gamma /= gamma.sum(axis=2, keepdims=True)
-        c = np.exp(logb - logb.max(axis=2, keepdims=True)) / scale[:, :, None] * beta
-        xi = a[at] * np.einsum("tsi,tsj->sij", alpha[:-1], c[1:])
-        z = (y - mu[at]) ** 2 / var[at]
-        u = (nu[at] + 1) / (nu[at] + z) if student else np.ones_like(z)
-        weight, wu = gamma.sum(axis=0), gamma * u
-        new_mu = (wu * y).sum(axis=0) / wu.sum(axis=0)
-        if student:
-            log_u = digamma((nu[at] + 1) / 2) - np.log((nu[at] + z) / 2)
-            term = (gamma * (log_u - u)).sum(axis=0) / weight
-            nu[at] = np.vectorize(solve_nu, otypes=[np.float64])(term)
-        var[at] = np.maximum((wu * (y - new_mu) ** 2).sum(axis=0) / weight, VAR_LEAST)
-        mu[at], pi[at], a[at] = new_mu, gamma[0], xi / np.maximum(xi.sum(axis=2, keepdims=True), 1e-300)
-        still = ~np.isfinite(score) | ((step > 0) & (np.abs(score - before[at]) < TOLERANCE * np.abs(before[at])))
-        before[at], at = score, at[~still]
-        if not len(at):
+        models.move(e_step(at, a, mu, var, nu, b, ahead, behind), score)
+        if not len(models.at):
             break
-    final = forward_many(pi, a, log_emissions(x, mu, var, nu))[2]
-    return [(pi[i], a[i], mu[i], var[i], nu[i], float(final[i])) for i in range(n)]
+    return models.rest(scan(models.pi, models.a, models.mu, models.var, models.nu)[3])
+
+
+def filter_states(x: np.ndarray, pi: np.ndarray, a: np.ndarray, mu: np.ndarray, var: np.ndarray, nu: np.ndarray) -> np.ndarray:
+    """Filtered probabilities of one model, row by row."""
+    at = Blocks.cut(x)
+    b = scaled(log_emissions(at.x, *(z[None] for z in (mu, var, nu))))[0]
+    ahead = blockscan.carries(pi[None], *blockscan.products(a[None], b, at))[0]
+    return at.flat(blockscan.filtered(ahead, a[None], b, at))[:, 0]
+
+
+def best_path(x: np.ndarray, pi: np.ndarray, a: np.ndarray, mu: np.ndarray, var: np.ndarray, nu: np.ndarray) -> np.ndarray:
+    """States of the likeliest path of one model."""
+    at, la = Blocks.cut(x), np.log(a + 1e-300)[None]
+    logb = log_emissions(at.x, *(z[None] for z in (mu, var, nu)))
+    before = blockscan.best_before(np.log(pi + 1e-300)[None], blockscan.best_products(la, logb, at))
+    back, end = blockscan.steps_back(before, la, logb, at)
+    last = best_last(blockscan.entered(back)[:, 0], end[-1, 0])
+    return at.flat(blockscan.traced(back, last[:, None]))[:, 0].astype(int)
+
+
+def best_last(into: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The best path's state at each block's end. into (blocks, states): the state before a block for each at its end; end: scores at the last end."""
+    last = np.empty(len(into), np.int64)
+    last[-1] = end.argmax()
+    for k in range(len(last) - 1, 0, -1):
+        last[k - 1] = into[k, last[k]]
+    return last
 
 
 def fit_once(x: np.ndarray, seed: int, student: bool = True, rounds: int = ROUNDS, trace: list | None = None) -> tuple:
@@ -169,11 +178,21 @@ def folds(df: DataFrame, splits: int = SPLITS, least_block: int = 1, keys: Seque
     return fold.select(*keys, "fold", (F.col("block") * F.col("fold")).alias("train_end"), F.when(F.col("fold") == splits, n).otherwise(F.col("block") * (F.col("fold") + 1)).alias("test_end"))
 
 
-def fit(df: DataFrame, returns: str = "log_return", fold_table: DataFrame | None = None, starts: Sequence[int] | None = None, student: bool = True, rounds: int = ROUNDS, keys: Sequence[str] = KEYS) -> DataFrame:
+def split_long(rows: DataFrame, names: Sequence[str], long: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the groups below so many rows, and those of the others if there are any (they are few: each has many rows)."""
+    far = [tuple(r[c] for c in names) for r in rows.groupBy(*names).count().where(F.col("count") >= long).collect()]
+    if not far:
+        return rows, None
+    table = F.broadcast(rows.sparkSession.createDataFrame(far, rows.select(*names).schema)) if len(far) <= 10_000 else rows.sparkSession.createDataFrame(far, rows.select(*names).schema)
+    return rows.join(table, list(names), "left_anti"), rows.join(table, list(names), "left_semi")
+
+
+def fit(df: DataFrame, returns: str = "log_return", fold_table: DataFrame | None = None, starts: Sequence[int] | None = None, student: bool = True, rounds: int = ROUNDS, keys: Sequence[str] = KEYS, long: int = LONG) -> DataFrame:
     """keys, fold, and the parameters of the best start (the first among equals). Without folds every row is training (fold 0).
 
-    A group is a series, a fold and up to TOGETHER starts, whose recursions run side by side in one pass over the rows; groups
-    spread over the cluster. A start that fails drops out, a fold without any good one raises.
+    A group is a series, a fold and up to TOGETHER starts, whose recursions run side by side over blocks of its rows; groups
+    spread over the cluster. A series of ``long`` rows or more is fitted over tasks that hold blocks of it instead, from the
+    same starts to the same parameters. A start that fails drops out, a fold without any good one raises.
     """
     starts = list(seeds_of() if starts is None else starts)
     spark = df.sparkSession
@@ -182,9 +201,11 @@ def fit(df: DataFrame, returns: str = "log_return", fold_table: DataFrame | None
         rows = rows.withColumn("fold", F.lit(0))
     else:
         rows = rows.join(fold_table.select(*keys, "fold", "train_end"), list(keys)).where("__i < train_end").drop("train_end")
-    parts = -(-len(starts) // TOGETHER)
-    rows = rows.crossJoin(F.broadcast(spark.range(parts).select(F.col("id").cast("int").alias("part"))))
     names = [*keys, "fold"]
+    every = rows
+    rows, far = split_long(rows, names, long)
+    parts = -(-len(starts) // TOGETHER)
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     columns = [*names, "start", "pi", "a", "mu", "var", "nu", "score"]
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -196,40 +217,56 @@ def fit(df: DataFrame, returns: str = "log_return", fold_table: DataFrame | None
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*names).schema)
     fitted = spread(rows, *names, "part").groupBy(*names, "part").applyInPandas(one, f"{kinds}, start int, {MODEL}")
+    if far is not None:
+        from .long_regimes import fit_blocks
+
+        fitted = fitted.select(*names, *columns[len(names) :]).unionByName(fit_blocks(far, names, starts, student, rounds))
     best = F.max_by(F.struct("start", "pi", "a", "mu", "var", "nu", "score"), F.struct("score", -F.col("start")))
-    wanted = rows.select(*names).distinct()
+    wanted = every.select(*names).distinct()
     models = wanted.join(fitted.groupBy(*names).agg(best.alias("m")), names, "left")
     failed = F.raise_error(F.lit("no start of the regime model gave a finite likelihood")).cast("boolean")
     return models.where(F.when(F.col("m").isNull(), failed).otherwise(True)).select(*names, "m.*")
 
 
-def decode(df: DataFrame, models: DataFrame, how: str = "filter", returns: str = "log_return", fold_table: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+def decode(df: DataFrame, models: DataFrame, how: str = "filter", returns: str = "log_return", fold_table: DataFrame | None = None, keys: Sequence[str] = KEYS, long: int = LONG) -> DataFrame:
     """keys, fold, bar_idx, state, regime. 'filter' is causal (argmax of the forward probabilities), 'viterbi' looks at the whole path.
 
-    With folds each model decodes from the first row to its test block's end and gives its test block only.
+    With folds each model decodes from the first row to its test block's end and gives its test block only. Series of ``long``
+    rows or more are decoded in blocks over many tasks.
     """
     if how not in ("filter", "viterbi"):
         raise ValueError(f"unknown decoding {how!r}")
     rows = df.select(*keys, F.col(ORDER).alias("bar_idx"), F.col(returns).alias("__x")).where(F.col("__x").isNotNull())
     met = models if fold_table is None else models.join(fold_table, [*keys, "fold"])
-    rows = rows.join(met, list(keys))
-    if fold_table is not None:
-        rows = rows.where("bar_idx < test_end")
     first = "train_end" if fold_table is not None else None
     names = [*keys, "fold"]
+    whole = rows.join(met.select(*names, *(["train_end", "test_end"] if first else [])), list(keys))
+    if first:
+        whole = whole.where("bar_idx < test_end")
+    whole, far = split_long(whole, names, long)
+    rows = whole.drop("train_end", "test_end").join(met.drop("score", "start"), names)
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("bar_idx")
         m = part.iloc[0]
         pi, a, mu, var, nu = (np.array(m[c], np.float64) for c in ("pi", "a", "mu", "var", "nu"))
-        logb = log_emissions(part["__x"].to_numpy(np.float64), mu, var, nu)
-        states = forward(pi, a.reshape(STATES, STATES), logb)[0].argmax(axis=1) if how == "filter" else viterbi(pi, a.reshape(STATES, STATES), logb)
+        x, a = part["__x"].to_numpy(np.float64), a.reshape(STATES, STATES)
+        states = filter_states(x, pi, a, mu, var, nu).argmax(axis=1) if how == "filter" else best_path(x, pi, a, mu, var, nu)
         names_of = np.array(state_labels(mu, var, nu))
         out = pd.DataFrame({**{c: part[c] for c in names}, "bar_idx": part["bar_idx"], "state": states.astype("int32"), "regime": names_of[states]})
         return out[part[first] <= part["bar_idx"]] if first else out
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*names).schema)
-    return spread(rows, *names).groupBy(*names).applyInPandas(one, f"{kinds}, bar_idx long, state int, regime string")
+    out = spread(rows, *names).groupBy(*names).applyInPandas(one, f"{kinds}, bar_idx long, state int, regime string")
+    if far is not None:
+        from .long_regimes import decode_blocks
+
+        own = met.join(far.select(*names).distinct(), names, "left_semi")
+        found = decode_blocks(far.select(*names, F.col("bar_idx").alias("__i"), "__x"), own, names, how)
+        if first:
+            found = found.join(own.select(*names, "train_end"), names).where("train_end <= bar_idx").drop("train_end")
+        out = out.unionByName(found)
+    return out
 
 
 def walk_forward_regimes(df: DataFrame, splits: int = SPLITS, returns: str = "log_return", starts: Sequence[int] | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
