@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tidemill.operators import hurst, online
-from tidemill.plans import catalogue, models, views
+from tidemill.plans import catalogue, views
 from tidemill.plans import walk_forward as wf
 from tidemill.streaming import operators as ops
 from tidemill.streaming.run import available_now
@@ -97,23 +97,16 @@ def test_band_follows_the_bootstrapped_interval(spark, data):
         assert r["label"] == ("bullish" if r["score"] > r["band"] else "bearish" if r["score"] < -r["band"] else "neutral")
 
 
-def test_model_queries_run_whole(spark, data, monkeypatch):
-    """All orders, default splits, starts, bandwidths, permutations and sessions. The fits are replaced by the view's own labels."""
-    seen, folded, real = [], [], wf.fold_kernel
-
-    def labels(df, splits=8, returns="log_return", starts=None, keys=("series_id",)):
-        seen.append((df.count(), splits, starts))
-        return views.series(spark, data, whole=True).select("series_id", "bar_idx", F.coalesce("regime", F.lit("sideways")).alias("regime"))
-
-    monkeypatch.setattr(wf.regimes, "walk_forward_regimes", labels)
-    monkeypatch.setattr(wf, "fold_kernel", lambda df, folds, h, *a: folded.append((tuple(h), folds.count())) or real(df, folds, (2,)))
+def test_model_queries_run_whole(spark, data):
+    """All orders, default splits, starts, bandwidths, permutations and sessions; nothing is replaced."""
     n = views.series(spark, data, whole=True).count()
     edge = catalogue.queries()["regime_edge_permutation"](spark, data).collect()
     assert [r["series_id"] for r in edge] == ["ALL"]
-    assert any(abs(edge[0][p] * 501 - round(edge[0][p] * 501)) < 1e-3 for p in ("trend_p", "reversion_p"))
+    assert all(abs(edge[0][p] * 501 - round(edge[0][p] * 501)) < 1e-3 for p in ("trend_p", "reversion_p") if edge[0][p] is not None)
     rows = catalogue.queries()["run_config_metrics"](spark, data).collect()
-    assert len(rows) == 7 and {r["n_decisions"] for r in rows} == {n - n // 9 - 1}
-    assert seen == [(n, 5, None), (n, 8, None)] and folded == [((2, 3, 5, 8, 12, 18, 27, 40, 60, 90, 135), 8)]
+    assert [r["name"] for r in sorted(rows, key=lambda r: r["trial_id"])] == list(wf.TRIALS) and {r["n_decisions"] for r in rows} == {n - n // 9 - 1}
+    best = max((r for r in rows if r["name"] != "baseline_pre5a"), key=lambda r: r["train_sharpe_pp"])
+    assert [r["train_sharpe_pp"] for r in rows if r["reported"]] == [best["train_sharpe_pp"]]
     assert catalogue.queries()["synthetic_intraday"](spark, data).count() == 60 * 26
 
 
@@ -135,9 +128,54 @@ def test_config_checks():
             wf.Config("c", **bad)
 
 
+def market_signals(spark, n, splits):
+    """A synthetic market with two starts and three bandwidths."""
+    from tidemill.operators import options, regimes
+    from tidemill.sources import synthetic
+
+    df = synthetic.daily_bars(spark, n).withColumn("ts", F.col("date").cast("timestamp_ntz"))
+    events = spark.createDataFrame([("2020-10-02", "NFP", 1.8), ("2020-11-12", "CPI", 0.9), ("2021-01-27", "FOMC", -0.6), ("2021-02-25", "GDP", 1.2)], "day string, event_type string, surprise double")
+    events = events.select(F.col("day").cast("timestamp_ntz").alias("event_ts"), "event_type", "surprise")
+    return wf.build_signals(df, events, wf.flow_panel(df, synthetic.flow_noise(spark, n)), options.chain_noise(spark), splits, regimes.seeds_of(2), (3, 8, 18))
+
+
 @pytest.fixture(scope="module")
 def signals(spark):
-    return models.market_signals(spark, 240, 3).persist()
+    return market_signals(spark, 240, 3).persist()
+
+
+def test_all_trials_in_one_pass_score_as_each_alone(signals):
+    configs = [
+        wf.Config("a", wss_mode="off", hurst=False), wf.Config("b", base_band=0.1), wf.Config("c", weights="dynamic", recal_window=30, recal_every=7), wf.Config("d", weights="dynamic", wss_mode="vote"),
+        wf.Config("e", regime_mode="subsignal", kernel_reading="momentum", wss_mode="vote"),
+    ]
+    got = wf.scored_trials(signals, configs).toPandas()
+    assert len(got) == 5 * 179
+    for i, c in enumerate(configs):
+        alone = wf.scored(signals, c).orderBy("bar_idx").toPandas()
+        mine = got[got.setting == i].sort_values("bar_idx")
+        assert np.allclose(mine[["score", "agreement", "band"]], alone[["score", "agreement", "band"]])
+    # By hand: the votes of trial c under the hit rates of the last 30 bars, taken up every seventh bar.
+    s = signals.orderBy("bar_idx").toPandas()
+    weight = np.ones(3)
+    mine = got[got.setting == 2].sort_values("bar_idx")
+    own = wf.consensus.votes_of(F.col("regime"), F.col("order_flow"), F.col("kernel_dev"))
+    v = signals.orderBy("bar_idx").select(*(x.alias(k) for k, x in own.items())).toPandas().to_numpy()
+    for t in range(len(v)):
+        if t >= 20 and t % 7 == 0:
+            past = slice(max(0, t - 30), t)
+            hits = (np.sign(v[past]) != 0) & (np.sign(v[past]) == np.sign(s.next_return.to_numpy()[past])[:, None])
+            weight = np.maximum(hits.mean(axis=0) - 0.5, 0) + 0.01
+        assert mine.score.iloc[t] == pytest.approx((weight * v[t]).sum() / weight.sum(), abs=1e-9)
+
+
+def test_only_chosen_bandwidths_run_over_the_rows(spark, monkeypatch):
+    df = spark.createDataFrame([("A", i, float(100 + 10 * np.sin(i / 5) + i % 3)) for i in range(200)], "series_id string, bar_idx long, close double")
+    run, real = [], wf.kernel.causal_deviation
+    monkeypatch.setattr(wf.kernel, "causal_deviation", lambda d, h, *a: run.append(h) or real(d, h, *a))
+    table = wf.regimes.folds(df, 3)
+    got = wf.fold_kernel(df, table, (2, 3, 40)).toPandas()
+    assert sorted(run) == sorted(set(got.bandwidth)) and 40 not in run and len(got) == 150
 
 
 def test_signals(signals):
@@ -166,7 +204,7 @@ def test_signals_are_causal(spark, signals):
     move = F.when(F.col("bar_idx") == 200, float(np.log(50))).when(F.col("bar_idx") == 201, -float(np.log(50))).otherwise(0.0)
     spiked = df.withColumn("close", F.col("close") * jump).withColumn("log_return", F.col("log_return") + move)
     events = spark.createDataFrame([("2020-10-02", "NFP", 1.8)], "day string, event_type string, surprise double").select(F.col("day").cast("timestamp_ntz").alias("event_ts"), "event_type", "surprise")
-    run = lambda d: wf.build_signals(d, events, synthetic.flow_noise(spark, 240), options.chain_noise(spark), 3, regimes.seeds_of(1), (3, 8)).orderBy("bar_idx").toPandas()
+    run = lambda d: wf.build_signals(d, events, wf.flow_panel(d, synthetic.flow_noise(spark, 240)), options.chain_noise(spark), 3, regimes.seeds_of(1), (3, 8)).orderBy("bar_idx").toPandas()
     a, b = run(df), run(spiked)
     columns = ["order_flow", "kernel_dev", "gex", "hurst_multiplier", "ax_subsignal", "wss"]
     early = a.bar_idx < 180  # the last test block's own training stops there
@@ -181,7 +219,7 @@ def test_regime_edge(spark):
     from tidemill.sources import synthetic
 
     got = wf.regime_edge(synthetic.daily_bars(spark, 300), 2, 50, regimes.seeds_of(1)).first()
-    assert got["n_trend"] + got["n_reversion"] <= 199 and (np.isnan(got["trend_p"]) or 0 < got["trend_p"] <= 1)
+    assert got["n_trend"] + got["n_reversion"] <= 199 and (got["trend_p"] is None or 0 < got["trend_p"] <= 1)
 
 
 def test_streams_cut_into_triggers_equal_batches(spark, tmp_path, data):

@@ -29,9 +29,10 @@ def trailing(n: int, keys: Sequence[str] = KEYS, order: str = ORDER) -> WindowSp
 
 
 def with_bar_index(df: DataFrame, ts: str, keys: Sequence[str] = KEYS, tie: str | None = None) -> DataFrame:
-    """bar_idx from 0 in the order of ts within each series; ties by another column if one is given."""
-    by = Window.partitionBy(*keys).orderBy(*([ts, tie] if tie else [ts]))
-    return df.withColumn(ORDER, (F.row_number().over(by) - 1).cast("bigint"))
+    """bar_idx from 0 in the order of ts within each series; ties by another column if one is given. A task numbers a month."""
+    from .prefix import numbered
+
+    return numbered(df, ts, keys, tie, ORDER)
 
 
 def spread(df: DataFrame, *columns: str, least: int = 64) -> DataFrame:
@@ -40,6 +41,24 @@ def spread(df: DataFrame, *columns: str, least: int = 64) -> DataFrame:
     return df.repartition(max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))), *columns)
 
 
+#: Rows up to which a table of choices is held by the driver, and broadcast.
+SMALL = 100_000
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A small table worked out once: later plans read its rows instead of computing them again. A larger one is kept by the executors."""
+    rows = df.limit(SMALL + 1).collect()
+    if len(rows) > SMALL:
+        return df.persist()
+    out = df.sparkSession.createDataFrame(rows, df.schema)
+    out._tidemill_small = True
+    return out
+
+
+def small(df: DataFrame) -> bool:
+    return getattr(df, "_tidemill_small", False)
+
+
 def nan_as_null(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.when(~F.isnan(c), c)

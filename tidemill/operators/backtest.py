@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEYS, ORDER, expanding, ordered, spread
+from ..functions.frames import KEYS, ORDER, ordered, spread
+from ..functions.prefix import running
 from .stats import YEAR, sharpe
 
 ALPHA, WINDOW, COST, TRAIN = 0.05, 252, 0.0002, 0.6
@@ -94,7 +95,7 @@ def fixed_backtest(df: DataFrame, position: str, next_return: str, cost: float =
     before = F.lag(position, 1, 0.0).over(ordered(keys))
     df = df.withColumn("turnover", F.abs(F.col(position) - before)).withColumn("is_trade", F.signum(position) != F.signum(before))
     df = df.withColumn("net_return", F.col(position) * F.col(next_return) - cost * F.col("turnover"))
-    return df.withColumn("equity", F.exp(F.sum(F.log1p("net_return")).over(expanding(keys))))
+    return running(df, {"__log": ("sum", F.log1p("net_return"))}, keys, ORDER).withColumn("equity", F.exp("__log")).drop("__log")
 
 
 def split_at(n: Column, share: float = TRAIN) -> Column:

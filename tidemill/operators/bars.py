@@ -6,7 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEYS, ORDER, expanding, ordered
+from ..functions.frames import KEYS, ORDER, ordered
+from ..functions.prefix import running
 
 
 def log_returns(df: DataFrame, price: str = "close", keys: Sequence[str] = KEYS, out: str = "log_return") -> DataFrame:
@@ -16,7 +17,8 @@ def log_returns(df: DataFrame, price: str = "close", keys: Sequence[str] = KEYS,
 
 
 def price_path(df: DataFrame, start: float, returns: str = "log_return", keys: Sequence[str] = KEYS, out: str = "price") -> DataFrame:
-    return df.withColumn(out, start * F.exp(F.sum(F.coalesce(F.col(returns), F.lit(0.0))).over(expanding(keys))))
+    total = running(df, {"__total": ("sum", F.coalesce(F.col(returns), F.lit(0.0)))}, keys, ORDER)
+    return total.withColumn(out, start * F.exp("__total")).drop("__total")
 
 
 def next_return(returns: str = "log_return", keys: Sequence[str] = KEYS) -> Column:
@@ -45,7 +47,7 @@ def resample_bars(df: DataFrame, width: str, ts: str = "ts", sums: Sequence[str]
 def segments(df: DataFrame, label: str, keys: Sequence[str] = KEYS) -> DataFrame:
     """Runs of one label: segment (from 0), label, first and last bar, bars."""
     changed = F.when(F.col(label).eqNullSafe(F.lag(label).over(ordered(keys))) & F.lag(ORDER).over(ordered(keys)).isNotNull(), 0).otherwise(1)
-    marked = df.select(*keys, ORDER, label, changed.alias("new")).withColumn("segment", F.sum("new").over(expanding(keys)) - 1)
+    marked = running(df.select(*keys, ORDER, label, changed.alias("new")), {"__met": ("sum", F.col("new"))}, keys, ORDER).withColumn("segment", F.col("__met") - 1)
     return marked.groupBy(*keys, "segment").agg(F.first(label).alias(label), F.min(ORDER).alias("first_bar"), F.max(ORDER).alias("last_bar"), F.count("*").alias("bars"))
 
 

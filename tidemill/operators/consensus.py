@@ -61,7 +61,7 @@ def dynamic_weights(df: DataFrame, votes: Sequence[str], outcome: str, window: i
     return df.withColumns({f"weight_{v}": F.when(r.isNotNull(), F.greatest(r - CHANCE, F.lit(0.0)) + floor) for v, r in rates.items()})
 
 
-def held(df: DataFrame, columns: Sequence[str], every: int = EVERY, least: int = LEAST, start: float | None = 1.0, keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:
+def held(df: DataFrame, columns: Sequence[str], every: int | Column = EVERY, least: int = LEAST, start: float | None = 1.0, keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:
     """Columns taken only on every ``every``-th row from ``least`` on and held between; ``start`` before."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     fresh = (F.col(order) >= least) & (F.col(order) % every == 0)

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEYS, expanding, trailing, whole
+from ..functions.frames import KEYS, ORDER, trailing, whole
+from ..functions.prefix import running
 from ..functions.scalars import imbalance
 
 WINDOWS = (3, 5, 10)
@@ -19,9 +20,10 @@ BASE_VOLUME, BASE_DEPTH, VOLUME_SENSITIVITY, DEPTH_SENSITIVITY, FLOW_SENSITIVITY
 LEAST_ROWS = 60
 
 
-def features(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """volume_delta and obi of buy, sell, bid_depth, ask_depth, and their trailing means."""
-    out = df.withColumn("volume_delta", F.col("buy") - F.col("sell")).withColumn("obi", imbalance(F.col("bid_depth"), F.col("ask_depth")))
+def features(df: DataFrame, keys: Sequence[str] = KEYS, fill: float | None = None) -> DataFrame:
+    """volume_delta and obi of buy, sell, bid_depth, ask_depth, and their trailing means; fill: the obi of bars without any depth."""
+    obi = imbalance(F.col("bid_depth"), F.col("ask_depth"))
+    out = df.withColumn("volume_delta", F.col("buy") - F.col("sell")).withColumn("obi", obi if fill is None else F.coalesce(obi, F.lit(fill)))
     return out.withColumns({f"{n}_ma{w}": F.avg(n).over(trailing(w, keys)) for w in WINDOWS for n in ("volume_delta", "obi")})
 
 
@@ -50,14 +52,18 @@ def synthetic_flow(df: DataFrame, causal: bool = False, keys: Sequence[str] = KE
 
 
 def expanding_moments(df: DataFrame, columns: Sequence[str] = FEATURES, keys: Sequence[str] = KEYS) -> DataFrame:
-    """n, mean_<i>, cov_<i>_<j> of all rows so far: one sorted pass with running sums, each column less its first value against cancellation."""
-    w = expanding(keys)
-    from_first = {f"__x{i}": F.col(c) - F.first(c).over(w) for i, c in enumerate(columns)}
-    df = df.withColumns(from_first)
-    x = [F.col(f"__x{i}") for i in range(len(columns))]
-    out = df.withColumn("n", F.count("*").over(w)).withColumns({f"mean_{i}": F.avg(c).over(w) for i, c in enumerate(x)})
-    out = out.withColumns({f"cov_{i}_{j}": F.avg(x[i] * x[j]).over(w) for i, j in combinations_with_replacement(range(len(x)), 2)})
-    return out.withColumns({f"cov_{i}_{j}": F.col(f"cov_{i}_{j}") - F.col(f"mean_{i}") * F.col(f"mean_{j}") for i, j in combinations_with_replacement(range(len(x)), 2)})
+    """n, mean_<i>, cov_<i>_<j> of all rows so far, from running sums over blocks: each column less its first value against cancellation."""
+    df = running(df, {f"__first{i}": ("first", F.col(c)) for i, c in enumerate(columns)}, keys, ORDER)
+    x = {i: F.col(f"__x{i}") for i in range(len(columns))}
+    pairs = list(combinations_with_replacement(range(len(columns)), 2))
+    df = df.withColumns({f"__x{i}": F.col(c) - F.col(f"__first{i}") for i, c in enumerate(columns)}).drop(*(f"__first{i}" for i in x))
+    sums = {"n": ("sum", F.lit(1).cast("bigint"))} | {f"__s{i}": ("sum", x[i]) for i in x}
+    sums |= {f"__s{i}_{j}": ("sum", x[i] * x[j]) for i, j in pairs} | {f"__n{i}_{j}": ("sum", (x[i] * x[j]).isNotNull().cast("bigint")) for i, j in pairs}
+    out = running(df, sums, keys, ORDER)
+    some = lambda n: F.when(F.col(n) > 0, F.col(n))
+    out = out.withColumns({f"mean_{i}": F.col(f"__s{i}") / some(f"__n{i}_{i}") for i in x})
+    out = out.withColumns({f"cov_{i}_{j}": F.col(f"__s{i}_{j}") / some(f"__n{i}_{j}") - F.col(f"mean_{i}") * F.col(f"mean_{j}") for i, j in pairs})
+    return out.drop(*(c for c in sums if c != "n"))
 
 
 def top_vectors(corr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEYS, ORDER, spread
+from ..functions.frames import KEYS, ORDER, settled, small, spread
 from . import blockscan
 from .blockscan import Blocks, Sums, scaled
 
@@ -178,12 +178,13 @@ def folds(df: DataFrame, splits: int = SPLITS, least_block: int = 1, keys: Seque
     return fold.select(*keys, "fold", (F.col("block") * F.col("fold")).alias("train_end"), F.when(F.col("fold") == splits, n).otherwise(F.col("block") * (F.col("fold") + 1)).alias("test_end"))
 
 
-def split_long(rows: DataFrame, names: Sequence[str], long: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of the groups below so many rows, and those of the others if there are any (they are few: each has many rows)."""
-    far = [tuple(r[c] for c in names) for r in rows.groupBy(*names).count().where(F.col("count") >= long).collect()]
+def split_long(rows: DataFrame, sizes: DataFrame, names: Sequence[str], long: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the groups below so many rows, and those of the others if there are any (they are few: each has many rows). sizes: names, n."""
+    far = [tuple(r[c] for c in names) for r in sizes.where(F.col("n") >= long).select(*names).collect()]
     if not far:
         return rows, None
-    table = F.broadcast(rows.sparkSession.createDataFrame(far, rows.select(*names).schema)) if len(far) <= 10_000 else rows.sparkSession.createDataFrame(far, rows.select(*names).schema)
+    table = settled(rows.sparkSession.createDataFrame(far, rows.select(*names).schema))
+    table = F.broadcast(table) if small(table) else table
     return rows.join(table, list(names), "left_anti"), rows.join(table, list(names), "left_semi")
 
 
@@ -203,7 +204,8 @@ def fit(df: DataFrame, returns: str = "log_return", fold_table: DataFrame | None
         rows = rows.join(fold_table.select(*keys, "fold", "train_end"), list(keys)).where("__i < train_end").drop("train_end")
     names = [*keys, "fold"]
     every = rows
-    rows, far = split_long(rows, names, long)
+    sizes = rows.groupBy(*names).agg(F.count("*").alias("n")) if fold_table is None else fold_table.select(*names, F.col("train_end").alias("n"))
+    rows, far = split_long(rows, sizes, names, long)
     parts = -(-len(starts) // TOGETHER)
     rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     columns = [*names, "start", "pi", "a", "mu", "var", "nu", "score"]
@@ -231,8 +233,8 @@ def fit(df: DataFrame, returns: str = "log_return", fold_table: DataFrame | None
 def decode(df: DataFrame, models: DataFrame, how: str = "filter", returns: str = "log_return", fold_table: DataFrame | None = None, keys: Sequence[str] = KEYS, long: int = LONG) -> DataFrame:
     """keys, fold, bar_idx, state, regime. 'filter' is causal (argmax of the forward probabilities), 'viterbi' looks at the whole path.
 
-    With folds each model decodes from the first row to its test block's end and gives its test block only. Series of ``long``
-    rows or more are decoded in blocks over many tasks.
+    models: one for each of keys and fold; fold 0 without folds. With folds each model decodes from the first row to its test
+    block's end and gives its test block only. Series of ``long`` rows or more are decoded in blocks over many tasks.
     """
     if how not in ("filter", "viterbi"):
         raise ValueError(f"unknown decoding {how!r}")
@@ -240,11 +242,15 @@ def decode(df: DataFrame, models: DataFrame, how: str = "filter", returns: str =
     met = models if fold_table is None else models.join(fold_table, [*keys, "fold"])
     first = "train_end" if fold_table is not None else None
     names = [*keys, "fold"]
-    whole = rows.join(met.select(*names, *(["train_end", "test_end"] if first else [])), list(keys))
+    # How long a series is does not depend on its model: nothing is fitted to tell.
     if first:
-        whole = whole.where("bar_idx < test_end")
-    whole, far = split_long(whole, names, long)
-    rows = whole.drop("train_end", "test_end").join(met.drop("score", "start"), names)
+        whole = rows.join(fold_table.select(*names, "test_end"), list(keys)).where("bar_idx < test_end").drop("test_end")
+        sizes = fold_table.select(*names, F.col("test_end").alias("n"))
+    else:
+        every = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+        whole, sizes = rows.withColumn("fold", F.lit(0)), every.withColumn("fold", F.lit(0))
+    whole, far = split_long(whole, sizes, names, long)
+    rows = whole.join(met.drop("score", "start"), names)
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("bar_idx")

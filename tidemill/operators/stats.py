@@ -8,7 +8,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEYS, expanding, ordered, trailing
+from ..functions.frames import KEYS, ORDER, ordered, trailing
+from ..functions.prefix import running
 from ..functions.scalars import normal_cdf
 
 YEAR, WEEK = 252, 5
@@ -17,17 +18,19 @@ PRIOR_ABS, PRIOR_STD, ENOUGH = 0.008, 0.01, 20
 EULER_FREE_95 = 1.645
 
 
-def expanding_scales(df: DataFrame, returns: str = "log_return", keys: Sequence[str] = KEYS) -> DataFrame:
+def expanding_scales(df: DataFrame, returns: str = "log_return", keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:
     """typical_abs (mean of the absolute) and scale (population standard deviation) of all returns so far."""
-    w, r = expanding(keys), F.col(returns)
-    n, mean = F.count(r).over(w), F.avg(r).over(w)
-    variance = F.greatest(F.avg(r * r).over(w) - mean * mean, F.lit(0.0))
-    return df.withColumn("typical_abs", F.when(n >= ENOUGH, F.avg(F.abs(r)).over(w)).otherwise(PRIOR_ABS)).withColumn("scale", F.when(n >= ENOUGH, F.sqrt(variance)).otherwise(PRIOR_STD))
+    r = F.col(returns)
+    sums = {"__n": ("sum", F.when(r.isNotNull(), 1)), "__r": ("sum", r), "__rr": ("sum", r * r), "__abs": ("sum", F.abs(r))}
+    n, mean = F.col("__n"), F.col("__r") / F.col("__n")
+    variance = F.greatest(F.col("__rr") / n - mean * mean, F.lit(0.0))
+    out = running(df, sums, keys, order).withColumn("typical_abs", F.when(n >= ENOUGH, F.col("__abs") / n).otherwise(PRIOR_ABS))
+    return out.withColumn("scale", F.when(n >= ENOUGH, F.sqrt(variance)).otherwise(PRIOR_STD)).drop(*sums)
 
 
-def drawdown(df: DataFrame, equity: str = "equity", keys: Sequence[str] = KEYS, out: str = "drawdown") -> DataFrame:
-    peak = F.max(equity).over(expanding(keys))
-    return df.withColumn(out, (peak - F.col(equity)) / peak)
+def drawdown(df: DataFrame, equity: str = "equity", keys: Sequence[str] = KEYS, out: str = "drawdown", order: str = ORDER) -> DataFrame:
+    peak = F.col("__peak")
+    return running(df, {"__peak": ("max", F.col(equity))}, keys, order).withColumn(out, (peak - F.col(equity)) / peak).drop("__peak")
 
 
 def tail_mean(values: Column, alpha: float) -> Column:

@@ -191,20 +191,15 @@ def run_config_metrics(spark, d) -> DataFrame:
 
 
 def series_signals(spark, d) -> DataFrame:
-    """Signals of all orders as one series, with the operators' own splits, starts and bandwidths."""
+    """Signals of all orders as one series, with the operators' own splits, starts and bandwidths; the flow is that of lineitem by ship date."""
     from ..operators import options
 
     df = whole(spark, d).withColumn("ts", F.col("ts").cast("timestamp_ntz")).persist()
-    return wf.build_signals(df, V.macro(spark, d), synthetic.flow_noise(spark, df.count()), options.chain_noise(spark))
-
-
-def market_signals(spark, n: int = 400, splits: int = 4) -> DataFrame:
-    from ..operators import options
-
-    df = synthetic.daily_bars(spark, n).withColumn("ts", F.col("date").cast("timestamp_ntz"))
-    events = spark.createDataFrame([("2020-10-02", "NFP", 1.8), ("2020-11-12", "CPI", 0.9), ("2021-01-27", "FOMC", -0.6), ("2021-02-25", "GDP", 1.2)], "day string, event_type string, surprise double")
-    events = events.select(F.col("day").cast("timestamp_ntz").alias("event_ts"), "event_type", "surprise")
-    return wf.build_signals(df, events, synthetic.flow_noise(spark, n), options.chain_noise(spark), splits, regimes.seeds_of(2), (3, 8, 18))
+    days = V.flow_days(spark, d).select("series_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "buy", "sell", "bid_depth", "ask_depth")
+    # A day without a line has no flow and no tilt.
+    met = df.select("series_id", "bar_idx", "ts").join(days, ["series_id", "ts"], "left").na.fill(0.0, ["buy", "sell", "bid_depth", "ask_depth"])
+    panel = flow.features(met, fill=0.0).select("series_id", "bar_idx", *flow.FEATURES)
+    return wf.build_signals(df, V.macro(spark, d), panel, options.chain_noise(spark))
 
 
 @query(QUERIES)
