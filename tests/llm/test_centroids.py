@@ -77,10 +77,11 @@ def test_trees_settle_as_brute_force_does(spread):
 def test_far_groups_are_assigned_as_nodes():
     """Groups that lie apart are settled above the leaves: no vector is compared by itself."""
     rng = np.random.default_rng(1)
-    x = np.concatenate([rng.integers(0, 50, (400, 4)) + c for c in (0, 100_000, 200_000)])
+    far = (0, 100_000, 200_000, 300_000)
+    x = np.concatenate([rng.integers(0, 50, (300, 4)) + c for c in far])
     tree = C.Tree.built(np.arange(1200), np.ones(1200, bool), x)
-    nodes, clusters, single = tree.settle(np.array([[0] * 4, [100_000] * 4, [200_000] * 4]))
-    assert (single == -1).all() and len(nodes) < 12 and set(clusters.tolist()) == {0, 1, 2}
+    nodes, clusters, single = tree.settle(np.array([[c] * 4 for c in far]))
+    assert (single == -1).all() and len(nodes) == 4 and sorted(clusters.tolist()) == [0, 1, 2, 3]
 
 
 def test_trees_of_a_partition_hold_all_rows(spark):

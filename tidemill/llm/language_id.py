@@ -4,10 +4,10 @@ Each language has probabilities for the pieces of one fixed public vocabulary. A
 segmentations into pieces, found by the forward algorithm; a text's is the product over its words, and the prediction is the
 language of the largest posterior. Piece probabilities are learnt by expectation maximisation over the words of labelled
 documents that are not held out. Learning takes a bounded sample of them: about ``train_docs`` documents a language, chosen by
-a hash of their id, with all their words; prediction takes whole texts. Each language is learnt by itself in a task of its own;
-the driver gets one row of piece probabilities a language.
+a hash of their id, with all their words; prediction takes whole texts. Languages are numbered, and each is learnt in the task of
+its number; the driver gets one row of piece probabilities a language.
 
-Words are runs of letters in lower case; for learning, a run of more than ``LONG`` letters counts as stretches of so many.
+Words are runs of letters (Unicode's, so no digits, fractions or letter-like numbers) in lower case; for learning, a run of more than ``LONG`` letters counts as stretches of so many.
 Edge cases: null text or text without a letter is 'und' with score 0, and so is every text when there is nothing to learn from
 (``keep_known_languages`` then keeps all rows, as nothing is known against them); a null doc_id counts as held out; repeated rows
 give repeated rows; an empty table an empty result; lang, source and doc_id never enter a prediction, other columns are not
@@ -15,7 +15,6 @@ read. Equal posteriors go to the language that sorts first.
 """
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections import Counter
@@ -24,13 +23,14 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, give_back, hinted, in_worker, stored, trimmed, vocabulary
+from .common import bounded_batches, give_back, hinted, in_worker, rows_of, stored, trimmed, vocabulary
 from .encoding import texts_of
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
 START = "▁"
 #: Word scores a worker keeps; texts learnt from at once; words of more code points go through one by one, in logarithms.
 KEPT, TOGETHER, LONG = 150_000, 128, 60
@@ -188,6 +188,14 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def by_language(words: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Dealt so that partition i has the words of language i alone: as many tasks as languages, none of them merged."""
+    of = Window.orderBy("lang")  # a row a language
+    numbers = sizes.select(F.col("lang").alias("l"), (F.row_number().over(of) - 1).alias("number"))
+    met = words.join(hinted(numbers, BROADCAST_LANGUAGES, sizes), F.col("lang") == F.col("l")).drop("l")
+    return met.repartitionById(max(1, rows_of(sizes)), F.col("number")).drop("number")
+
+
 def train(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model", train_docs: int = 800) -> Model | None:
     """From text and lang of labelled documents that are not held out, about train_docs of each language."""
     bounded_batches(docs.sparkSession)
@@ -209,13 +217,16 @@ def train(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model", train_d
                 keys = list(seen)
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([seen[k] for k in keys], pa.int64())], ["lang", "word", "n"])
 
-    def learn(table: pa.Table) -> pa.Table:
-        table = table.sort_by("word")  # sums in one order, whatever the partitions
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts).sort_by("word")  # sums in one order, whatever the partitions
         p = fitted(table.column("word").to_pylist(), table.column("n").to_numpy().astype(np.float64), pieces_of(path))
-        return pa.table({"lang": table.column("lang").slice(0, 1), "log_p": pa.array([p.astype("<f8").tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_arrays([pa.array([table.column("lang")[0].as_py()]), pa.array([p.astype("<f8").tobytes()], pa.binary())], ["lang", "log_p"])
 
     words = sample.mapInArrow(trimmed(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rows = words.groupBy("lang").applyInArrow(learn, "lang string, log_p binary").join(sizes, "lang").collect()  # a row a language
+    rows = by_language(words, sizes).mapInArrow(trimmed(learn), "lang string, log_p binary").join(sizes, "lang").collect()  # a row a language
     if not rows:
         return None
     rows = sorted(rows, key=lambda r: r["lang"])

@@ -346,7 +346,7 @@ def decode_pieces(df: DataFrame, ids: str = "ids", to: str = "text", model: str
     path = vocabulary(model)
 
     @pandas_udf("string")
-    def text(column: pd.Series) -> pd.Series:
+    def text(column):
         own = pieces_of(path)
         return pd.Series([None if x is None else own.decode(np.frombuffer(x, "<u4")) for x in column], dtype=object)
 
