@@ -19,7 +19,7 @@ def bars_resample(spark, d) -> DataFrame:
     return rounded(bars.resample_ticks(V.ticks(spark, d), "1 hour"), 6, ["volume"])
 
 
-RULES = ["missing values", "timestamps are not monotonic increasing", "duplicate timestamps", "bars outside the Globex session", *(f"{c} is off the 0.25 tick grid" for c in contracts.PRICES), "high < low", "high is below open or close", "low is above open or close", "negative volume"]
+RULES = contracts.BAR_SAYS
 GLOBEX = "((isodow(timestamp) <= 4 AND NOT (m >= 1020 AND m < 1080)) OR (isodow(timestamp) = 5 AND m < 1020) OR (isodow(timestamp) = 7 AND m >= 1080))"
 BAD = [
     "timestamp IS NULL OR open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR volume IS NULL", "timestamp < before", "again", f"NOT {GLOBEX}",

@@ -7,12 +7,16 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..operators.online import Changepoints, Gate
+from ..sources.contracts import bar_rules
 
 KEYS = ("series_id",)
 
@@ -76,3 +80,126 @@ def stream_gate(df: DataFrame, score: str, realised: str, scale: float, order: s
 
     rows = df.where(F.col(score).isNotNull() & F.col(realised).isNotNull()).select(key, order, F.col(score).cast("double").alias(score), F.col(realised).cast("double").alias(realised))
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} string, bar_idx long, action string, lower double, upper double, covered boolean", "t long, width double, errors string, last long", "append", GroupStateTimeout.NoTimeout)
+
+
+GATED = "bar_idx long, action string, lower double, upper double, covered boolean, scale double"
+
+
+class FittedGate(StatefulProcessor):
+    """The gate of one series on a stream that brings its own scale: a warm-up whose rows are kept as a list, then the scale fitted on
+    them, frozen, and every row, those of the warm-up first, through the gate.
+
+    State: ``warm``, the rows of the warm-up (emptied when it ends); ``gate``, its width, scale and count; ``errors``, the last
+    ones; ``last``, the place of the last row taken. There are no timers: with them (time mode processingTime) a pandas
+    processor of this Spark version waits for ever.
+    """
+
+    def __init__(self, key: str, score: str, realised: str, order: str, alpha: float, warmup: int) -> None:
+        self.key, self.score, self.realised, self.order, self.alpha, self.warmup = key, score, realised, order, alpha, warmup
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.warm = handle.getListState("warm", "place long, score double, realised double")
+        self.gate = handle.getValueState("gate", "t long, width double, scale double")
+        self.errors = handle.getListState("errors", "error double")
+        self.last = handle.getValueState("last", "place long")
+
+    def _told(self, key: tuple, places: list, out: list, scale: float) -> pd.DataFrame:
+        return pd.DataFrame({self.key: key[0], "bar_idx": places, **pd.DataFrame(out, columns=["action", "lower", "upper", "covered"]), "scale": scale})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        part = in_order(rows, self.order, self.last.get()[0] if self.last.exists() else None)
+        if part.empty:
+            return
+        fresh = list(zip(part[self.order].tolist(), part[self.score].tolist(), part[self.realised].tolist()))
+        self.last.update((int(fresh[-1][0]),))
+        gate = Gate(self.alpha, warmup=self.warmup)
+        if self.gate.exists():
+            gate.t, gate.width, gate.scale = self.gate.get()
+            gate.errors = [e[0] for e in self.errors.get()]
+        else:
+            held = [tuple(r) for r in self.warm.get()] if self.warm.exists() else []
+            if len(held) + len(fresh) <= self.warmup:
+                self.warm.appendList([(int(a), float(b), float(c)) for a, b, c in fresh])
+                return
+            fresh = held + fresh
+            s, r = (np.array([x[i] for x in fresh[: self.warmup]]) for i in (1, 2))
+            square = float(s @ s)
+            gate.scale = float(s @ r) / square if square else 0.0
+            self.warm.clear()
+        out = []
+        for _, a, b in fresh:
+            action, low, high = gate.decide(a)
+            out.append((action, low, high, low <= b <= high))
+            gate.update(a, b)
+        self.gate.update((int(gate.t), float(gate.width), float(gate.scale)))
+        self.errors.put([(float(e),) for e in gate.errors])
+        yield self._told(key, [x[0] for x in fresh], out, gate.scale)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_fitted_gate(df: DataFrame, score: str, realised: str, order: str = "bar_idx", alpha: float = 0.1, warmup: int = 60, key: str = "series_id") -> DataFrame:
+    """key, bar_idx, action, lower, upper, covered, scale: conformal_gate over a stream, wherever it is cut. A series comes out from
+    its first row on once it has more rows than the warm-up. Needs the RocksDB state store (``rocksdb``)."""
+    Gate(alpha, warmup=warmup)
+    rows = df.where(F.col(score).isNotNull() & F.col(realised).isNotNull()).select(key, F.col(order).cast("bigint").alias(order), F.col(score).cast("double").alias(score), F.col(realised).cast("double").alias(realised))
+    processor = FittedGate(key, score, realised, order, alpha, warmup)
+    return rows.groupBy(key).transformWithStateInPandas(processor, f"{key} string, {GATED}", "append", "none")
+
+
+def rocksdb(spark: SparkSession) -> None:
+    """The state store that typed state needs, for the streams that this session starts from now on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class ArrivalOrder(StatefulProcessor):
+    """Marks rows that are earlier than one that arrived before them: the state of a key is the latest time it has seen."""
+
+    def __init__(self, key: str, ts: str, order: str) -> None:
+        self.key, self.ts, self.order = key, ts, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", "micros long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        part = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        seen = self.latest.get()[0] if self.latest.exists() else np.iinfo(np.int64).min
+        at = part["at_micros"].to_numpy(np.int64)
+        before = np.maximum.accumulate(np.concatenate([[seen], at]))
+        self.latest.update((int(before[-1]),))
+        yield part.assign(is_early=at < before[:-1])
+
+    def close(self) -> None:
+        pass
+
+
+def checked_bars(df: DataFrame, key: str = "series_id", ts: str = "timestamp", arrival: str = "arrival", late: str = "1 day") -> DataFrame:
+    """The rows of a stream of bars with ``broken``, the names of the contract's rules that each breaks (empty: a good row).
+
+    Repeats of (key, time) within the watermark are dropped by the engine before; order of arrival is held in keyed state. df:
+    key, ts (timestamp), open, high, low, close, volume, arrival (a number that grows as rows arrive).
+    """
+    whole = df.withWatermark(ts, late).dropDuplicatesWithinWatermark([key, ts])
+    whole = whole.withColumn("at_micros", F.coalesce(F.unix_micros(ts), F.lit(-(1 << 62))))
+    schema = StructType([*whole.schema.fields, StructField("is_early", BooleanType())])
+    marked = whole.groupBy(key).transformWithStateInPandas(ArrivalOrder(key, ts, arrival), schema, "append", "none")
+    rules = bar_rules(marked.withColumnRenamed(ts, "timestamp"), early=F.col("is_early"), again=F.lit(False))
+    named = F.array_compact(F.array(*(F.when(F.coalesce(r.bad, F.lit(False)), F.lit(r.says)) for r in rules)))
+    return marked.withColumnRenamed(ts, "timestamp").withColumn("broken", named).withColumnRenamed("timestamp", ts).drop("at_micros", "is_early")
+
+
+def quarantine(checked: DataFrame, good: str, bad: str, checkpoint: str) -> StreamingQuery:
+    """Write good rows to one table and, a row for each rule it breaks, bad ones to another. A trigger's folders bear its number and
+    replace what an earlier try of the same trigger wrote: every row lands once, over restarts too."""
+    shown = [c for c in checked.columns if c != "broken"]
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            batch.where(F.size("broken") == 0).select(*shown).write.mode("overwrite").parquet(f"{good}/trigger={number}")
+            batch.where(F.size("broken") > 0).select(*shown, F.explode("broken").alias("rule")).write.mode("overwrite").parquet(f"{bad}/trigger={number}")
+        finally:
+            batch.unpersist()
+
+    return checked.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
