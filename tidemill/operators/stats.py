@@ -5,12 +5,16 @@ import math
 from collections.abc import Sequence
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.frames import KEYS, ORDER, ordered, trailing
+from ..functions.frames import KEYS, ORDER, ordered, spread
 from ..functions.prefix import running
 from ..functions.scalars import normal_cdf
+from .sliding import sliding_tail_means
 
 YEAR, WEEK = 252, 5
 #: Scales taken before enough rows are there, and how many are enough.
@@ -42,9 +46,36 @@ def tail_mean(values: Column, alpha: float) -> Column:
     return F.when(F.size(values) == 0, 0.0).otherwise(F.aggregate(worst, F.lit(0.0), lambda a, x: a + x) / k)
 
 
+#: Rows of a stretch of a series that a task takes.
+STRETCH = 4096
+
+
 def trailing_cdar(df: DataFrame, alpha: float = 0.05, window: int = 252, equity: str = "equity", keys: Sequence[str] = KEYS, out: str = "cdar") -> DataFrame:
-    """Peaks come from the whole history, the tail from the last rows of the window."""
-    return drawdown(df, equity, keys, "__dd").withColumn(out, tail_mean(F.collect_list("__dd").over(trailing(window, keys)), alpha)).drop("__dd")
+    """Peaks come from the whole history, the tail from the last rows of the window.
+
+    Drawdowns under carried peaks go in stretches of STRETCH rows, with the window's rows before them, to a tree of ranks that gives
+    the mean of the worst in a logarithm of the stretch; only (keys, bar, mean) comes back.
+    """
+    if not 0 < alpha <= 1:
+        raise ValueError(f"alpha must be in (0, 1], got {alpha}")
+    if window < 1:
+        raise ValueError(f"window must be at least 1, got {window}")
+    rows = running(drawdown(df.select(*keys, ORDER, equity), equity, keys, "__dd"), {"__n": ("sum", F.lit(1))}, keys, ORDER)
+    place = F.col("__n") - 1
+    rows = rows.select(*keys, F.col(ORDER).alias("__i"), place.alias("__n"), F.col("__dd").cast("double").alias("__dd"), F.explode(F.sequence(F.floor(place / STRETCH), F.floor((place + window - 1) / STRETCH))).alias("__s"))
+    schema = StructType([*(rows.schema[k] for k in keys), rows.schema["__i"], StructField(out, DoubleType())])
+
+    def tails(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("__n")
+        means = sliding_tail_means(part["__dd"].to_numpy(np.float64), window, alpha)
+        own = (part["__n"] // STRETCH == part["__s"]).to_numpy()
+        return pd.DataFrame({**{k: part[k][own] for k in keys}, "__i": part["__i"][own], out: means[own]})
+
+    found = spread(rows, *keys, "__s").groupBy(*keys, "__s").applyInPandas(tails, schema).withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    same = F.col(ORDER) == F.col("__i")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
+    return df.join(found, same, "left").drop("__i", *(f"__key_{k}" for k in keys))
 
 
 def sharpe(returns: Column, per_year: int = 1) -> Column:

@@ -63,6 +63,68 @@ def hmm_viterbi(spark, d) -> DataFrame:
     return regimes.decode(s, regimes.fit(s), "viterbi").select("series_id", "bar_idx", "regime")
 
 
+#: Parameters of a model that decodes the orders' series: pi, a, mu, var, nu by state.
+GIVEN = {"pi": [0.3, 0.4, 0.3], "a": [0.90, 0.05, 0.05, 0.10, 0.80, 0.10, 0.05, 0.15, 0.80], "mu": [-0.5, 0.0, 0.5], "var": [0.30, 0.15, 0.20], "nu": [4.0, 12.0, 6.0]}
+#: What the labels of those states are: the highest mean is bull, the more volatile of the others bear.
+GIVEN_LABELS = ["bear", "sideways", "bull"]
+
+
+def given_model(spark, d) -> tuple[DataFrame, DataFrame]:
+    s = V.series(spark, d)
+    model = spark.createDataFrame([(0, 0, *GIVEN.values(), 0.0)], f"fold int, start int, {regimes.MODEL}")
+    return s, s.select("series_id").distinct().join(F.broadcast(model))
+
+
+def _emission(k: int) -> str:
+    mu, var, nu = (GIVEN[c][k] for c in ("mu", "var", "nu"))
+    return f"lgamma({(nu + 1) / 2}::DOUBLE) - lgamma({nu / 2}::DOUBLE) - 0.5::DOUBLE * ln({var * nu}::DOUBLE * pi()) - {(nu + 1) / 2}::DOUBLE * ln(1 + (x - {mu}::DOUBLE) ** 2 / {var * nu}::DOUBLE)"
+
+
+DECODED = f"""{V.SERIES}, x AS (SELECT series_id, bar_idx, log_return AS x, row_number() OVER ({BY}) AS t FROM series WHERE log_return IS NOT NULL),
+e AS MATERIALIZED (SELECT series_id, bar_idx, t, {", ".join(f"{_emission(k)} AS b{k}" for k in range(3))} FROM x)"""
+_LABEL = f"({GIVEN_LABELS})[state + 1]"
+_STATE = "CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END"
+_A = [GIVEN["a"][3 * i : 3 * i + 3] for i in range(3)]
+FILTERED = f"""WITH RECURSIVE {DECODED},
+f(series_id, t, p0, p1, p2) AS (
+  SELECT series_id, t, {", ".join(f"q{k} / (q0 + q1 + q2)" for k in range(3))} FROM (SELECT series_id, t, {", ".join(f"{GIVEN['pi'][k]}::DOUBLE * exp(b{k} - greatest(b0, b1, b2)) AS q{k}" for k in range(3))} FROM e WHERE t = 1)
+  UNION ALL SELECT series_id, t, {", ".join(f"q{k} / (q0 + q1 + q2)" for k in range(3))} FROM (SELECT e.series_id, e.t, {", ".join("(" + " + ".join(f"p{i} * {_A[i][k]}::DOUBLE" for i in range(3)) + f") * exp(b{k} - greatest(b0, b1, b2)) AS q{k}" for k in range(3))}
+    FROM f JOIN e ON e.series_id = f.series_id AND e.t = f.t + 1)),
+s AS (SELECT e.series_id, e.bar_idx, {_STATE} AS state FROM f JOIN e ON e.series_id = f.series_id AND e.t = f.t)
+SELECT series_id, bar_idx, state::INT AS state, {_LABEL} AS regime FROM s"""
+
+
+@query(QUERIES, FILTERED)
+def hmm_filter_given(spark, d) -> DataFrame:
+    """Causal states of every series under a given model."""
+    s, models = given_model(spark, d)
+    return regimes.decode(s, models, "filter").select("series_id", "bar_idx", "state", "regime")
+
+
+def _from(k: int) -> str:
+    """Best way into state k: its score, and the state it comes from (the first of equals)."""
+    ways = [f"v{i} + ln({_A[i][k]}::DOUBLE)" for i in range(3)]
+    return f"greatest({', '.join(ways)}) AS w{k}, CASE WHEN {ways[0]} >= {ways[1]} AND {ways[0]} >= {ways[2]} THEN 0 WHEN {ways[1]} >= {ways[2]} THEN 1 ELSE 2 END AS c{k}"
+
+
+BEST = f"""WITH RECURSIVE {DECODED},
+f(series_id, t, v0, v1, v2, c0, c1, c2) AS (
+  SELECT series_id, t, {", ".join(f"ln({GIVEN['pi'][k]}::DOUBLE) + b{k}" for k in range(3))}, 0, 0, 0 FROM e WHERE t = 1
+  UNION ALL SELECT series_id, t, w0 + b0, w1 + b1, w2 + b2, c0, c1, c2 FROM (SELECT e.series_id, e.t, b0, b1, b2, {", ".join(_from(k) for k in range(3))} FROM (SELECT series_id, t, v0, v1, v2 FROM f) f JOIN e ON e.series_id = f.series_id AND e.t = f.t + 1)),
+m AS MATERIALIZED (SELECT *, {_STATE.replace("p0", "v0").replace("p1", "v1").replace("p2", "v2")} AS ends, max(t) OVER (PARTITION BY series_id) AS n FROM f),
+z(series_id, t, state) AS (
+  SELECT series_id, t, ends FROM m WHERE t = n
+  UNION ALL SELECT m.series_id, m.t - 1, CASE z.state WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END FROM z JOIN m ON m.series_id = z.series_id AND m.t = z.t WHERE m.t > 1)
+SELECT z.series_id, e.bar_idx, state::INT AS state, {_LABEL} AS regime FROM z JOIN e ON e.series_id = z.series_id AND e.t = z.t"""
+
+
+@query(QUERIES, BEST)
+def hmm_viterbi_given(spark, d) -> DataFrame:
+    """The likeliest path of every series under a given model."""
+    s, models = given_model(spark, d)
+    return regimes.decode(s, models, "viterbi").select("series_id", "bar_idx", "state", "regime")
+
+
 @query(QUERIES)
 def walk_forward_regimes(spark, d) -> DataFrame:
     return regimes.walk_forward_regimes(whole(spark, d)).select("series_id", "fold", "bar_idx", "regime")
@@ -118,19 +180,20 @@ def select_setting(spark, d) -> DataFrame:
     return rounded(backtest.select_setting(backtest.sweep(scored_view(spark, d), settings(spark))), 6)
 
 
-def gate_sql(g: str, told: str = "") -> str:
+def gate_sql(g: str, told: str = "", alpha: float = 0.1) -> str:
     """g: common table expressions up to g (series_id, bar_idx, s, r, t) and sc (series_id, scale)."""
     return f"""WITH RECURSIVE {g},
 e0 AS (SELECT g.*, scale, abs(r - scale * s) AS err FROM g JOIN sc USING (series_id)), e AS MATERIALIZED (SELECT *, avg(err) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS m FROM e0),
 w AS (SELECT series_id, t, CASE WHEN err > 0 THEN err ELSE 1e-6::DOUBLE END AS width FROM e WHERE t = 1
- UNION ALL SELECT e.series_id, e.t, greatest(w.width + 0.05::DOUBLE * greatest(e.m, 1e-12::DOUBLE) * ((e.err > w.width)::INT - 0.1::DOUBLE), 1e-12::DOUBLE) FROM w JOIN e ON e.series_id = w.series_id AND e.t = w.t + 1),
+ UNION ALL SELECT e.series_id, e.t, greatest(w.width + 0.05::DOUBLE * greatest(e.m, 1e-12::DOUBLE) * ((e.err > w.width)::INT - {alpha}::DOUBLE), 1e-12::DOUBLE) FROM w JOIN e ON e.series_id = w.series_id AND e.t = w.t + 1),
 i AS (SELECT e.*, CASE WHEN e.t > 60 THEN w.width END AS width FROM e LEFT JOIN w ON w.series_id = e.series_id AND w.t = e.t - 1)
 SELECT series_id, bar_idx, CASE WHEN scale * s - width > 0 THEN 'long' WHEN scale * s + width < 0 THEN 'short' ELSE 'abstain' END AS action, round(scale * s - width, 8) + 0 AS lower, round(scale * s + width, 8) + 0 AS upper,
  width IS NULL OR (r >= scale * s - width AND r <= scale * s + width) AS covered{told} FROM i"""
 
 
-GATE = gate_sql(f"""{V.SERIES}, {SIGNALS}, n AS (SELECT series_id, bar_idx, (v_regime + v_flow + v_kernel) / 3 AS s, lead(log_return) OVER ({BY}) AS r FROM v),
-g AS (SELECT *, row_number() OVER ({BY}) AS t FROM n WHERE r IS NOT NULL), sc AS (SELECT series_id, sum(s * r) / sum(s * s) AS scale FROM g WHERE t <= 60 GROUP BY series_id)""", ", round(scale, 8) + 0 AS scale")
+GATED = f"""{V.SERIES}, {SIGNALS}, n AS (SELECT series_id, bar_idx, (v_regime + v_flow + v_kernel) / 3 AS s, lead(log_return) OVER ({BY}) AS r FROM v),
+g AS (SELECT *, row_number() OVER ({BY}) AS t FROM n WHERE r IS NOT NULL), sc AS (SELECT series_id, sum(s * r) / sum(s * s) AS scale FROM g WHERE t <= 60 GROUP BY series_id)"""
+GATE = gate_sql(GATED, ", round(scale, 8) + 0 AS scale")
 
 
 @query(QUERIES, GATE)
@@ -140,7 +203,16 @@ def conformal_gate(spark, d) -> DataFrame:
     return rounded(df.withColumns({c: F.when(~infinite, F.col(c)) for c in ("upper", "lower")}), 8)
 
 
-@query(QUERIES)
+def experiment_sql(alpha: float) -> str:
+    """Positions of the gate at a level, costed, and both Sharpe ratios behind the warm-up."""
+    ratio = lambda x: f"CASE WHEN coalesce(stddev_samp({x}), 0) > 0 THEN avg({x}) / stddev_samp({x}) * sqrt(252) ELSE 0 END"
+    return f"""SELECT series_id, round(avg(covered::INT), 6) + 0 AS coverage, round(avg((action = 'abstain')::INT), 6) + 0 AS abstain_rate, round({ratio("net")}, 6) + 0 AS sharpe, round({ratio("sign(s) * r")}, 6) + 0 AS sharpe_ungated, {alpha}::DOUBLE AS alpha
+FROM (SELECT *, position * r - 0.0002::DOUBLE * abs(position - coalesce(lag(position) OVER (PARTITION BY series_id ORDER BY bar_idx), 0)) AS net
+  FROM (SELECT q.*, g.s, g.r, CASE action WHEN 'long' THEN 1 WHEN 'short' THEN -1 ELSE 0 END AS position FROM ({gate_sql(GATED, alpha=alpha)}) q JOIN (WITH {GATED} SELECT series_id, bar_idx, s, r FROM g) g USING (series_id, bar_idx)))
+WHERE lower IS NOT NULL GROUP BY series_id"""
+
+
+@query(QUERIES, " UNION ALL ".join(f"SELECT * FROM ({experiment_sql(a)})" for a in (0.10, 0.25)))
 def conformal_experiment(spark, d) -> DataFrame:
     """Coverage, abstention and Sharpe ratio of gated positions at two levels, next to the ungated score's sign."""
     s = scored_view(spark, d)
