@@ -145,9 +145,10 @@ def session_calendar(spark, d) -> DataFrame:
 
 
 @query(QUERIES, f"""WITH {V.HOURLY}
-SELECT r.event_id, r.ts, h.close AS spot FROM events r ASOF LEFT JOIN (SELECT * FROM hourly WHERE series_id = 'view') h ON r.ts >= h.bar_ts""")
+SELECT r.event_id, r.ts, h.close AS spot FROM events r ASOF LEFT JOIN hourly h ON r.event_type = h.series_id AND r.ts >= h.bar_ts""")
 def asof_spot(spark, d) -> DataFrame:
-    requests = V.table(spark, d, "events").select("event_id", "ts", F.lit("view").alias("series_id"))
+    """Each event with the last bar of its own type."""
+    requests = V.table(spark, d, "events").select("event_id", "ts", F.col("event_type").alias("series_id"))
     found = bars.as_of(requests, V.hourly(spark, d).select("series_id", "bar_ts", "close"), ["series_id"], "ts", "bar_ts", ["close"])
     return found.select("event_id", "ts", F.col("close").alias("spot"))
 
