@@ -5,7 +5,11 @@ length that occurs again are grouped by the hash of their first characters too;
 have their whole content hashed and compared by it. One pass over the texts writes length and head (narrow rows), another reads
 the survivors' content: those whose head is in a broadcast list or, where that would be too long, in a bitmap of hashed heads of
 bounded size, whose few false survivors drop out when narrow rows meet the heads. Groups are aggregations with partial sums
-before the shuffle, so a text that a third of all rows share costs one row a task; no text is ever shuffled.
+before the shuffle, so a text that a third of all rows share costs one row a task. Texts are shuffled by ``drop_exact_copies``
+alone, and there only those of null or repeated ids of which some rows go and some stay.
+
+The bitmap ends at 2^29 bits. Of h heads it lets about 1 - exp(-h / 2^29) of the other rows through: 12 % at 67 million, 61 % at
+500 million. Each of these costs a digest of its own text and a narrow row; results stay what they are.
 
 Edge cases: a null text counts as empty, and empty texts are equal to each other; a null doc_id comes after all others when
 the row that stays is chosen; rows that repeat a doc_id are rows of their own, of which one stays; an empty table gives an

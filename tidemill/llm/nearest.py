@@ -10,7 +10,8 @@ Tiles are joined by block, not by row; the queries are a stated set (id divisibl
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part; vectors of another length are
 infinitely far; ties go to the smaller id; rows that repeat an id are candidates of their own (never of the query with that
-id); a null id takes no part; fewer candidates than k give fewer rows; an empty table an empty result.
+id); rows that repeat a query's id are one query with one heap: of the distances of all of them the k smallest come back, so a
+candidate may stand there once for each; a null id takes no part; fewer candidates than k give fewer rows; an empty table an empty result.
 """
 from __future__ import annotations
 
