@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is written as Parquet and read
 again. All but the last return the columns of documents.
+
+Null and repeated doc_ids are rows of their own throughout; null texts count as empty; tables without rows give none; other
+columns are carried along and not read.
 """
 from __future__ import annotations
 
@@ -16,22 +19,22 @@ from tidemill.llm.packing import pack
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no language with a posterior of a half, go."""
+    """Documents without a letter (null and empty ones among them), or of no language with a posterior of a half, go; copies share a fate. Without labels to learn from all stay."""
     return keep_known_languages(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal up to white space the one with the smallest doc_id stays."""
+    """Of texts equal up to white space the row with the smallest doc_id stays, null ids last; of rows that repeat id and text one."""
     return drop_exact_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of similarity 0.8 on five-word shingles connect, the one with the smallest doc_id stays."""
+    """Of documents that links of similarity 0.8 on five-word shingles connect, the one with the smallest doc_id stays. Texts without words link with nothing; another text under the same id stays or goes by itself."""
     return drop_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Small sources are read up to 1.5 times as often as the largest; every document is read at least once."""
+    """Small sources are read up to 1.5 times as often as the largest; every document is read at least once. Null is a source; rows of one id are read equally often."""
     return mix_documents(docs)
 
 
