@@ -112,32 +112,50 @@ def message(*own: tuple[str, Column], others: Column | None = None) -> Column:
     return joined(found if others is None else F.concat(found, F.coalesce(others, F.array().cast("array<struct<key:string,json:string>>"))))
 
 
+def then(first: Column, second: Column) -> Column:
+    """What a call's dependency amounts to, as a function (m, k, r) of the settled (turn, level) of another call: of a turn from m on the
+    same turn, k levels deeper; of an earlier turn (m, r). This is the function that goes through first, then second."""
+    ahead = first["m"] >= second["m"]
+    return F.struct(F.greatest(first["m"], second["m"]).alias("m"), (first["k"] + second["k"]).alias("k"), F.when(ahead, first["r"] + second["k"]).otherwise(second["r"]).alias("r"))
+
+
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """conv_id, id, order_turn, level, cycle of the calls (conv_id, id, turn): a call behind others by edges (conv_id, id, needs) takes the turn of the last of them if its own is no later.
 
-    Calls are settled once all they need are: a round for each step of the longest chain, each over the edges still open. A
-    round that settles nothing leaves circles, and what is behind them, however long they are.
+    Calls are settled once all they need are. A round also shortens what is open: an edge to a call that itself needs one other
+    alone goes on to that one, with what lies between as a function, so ways along such calls halve and a chain of n takes
+    log2(n) rounds; calls with several dependencies in a row take a round each. A round that settles nothing leaves circles, and
+    what is behind them, however long they are.
     """
     known = calls.select("conv_id", F.col("id").alias("needs"))
-    open_ = stored(edges.join(known, ["conv_id", "needs"], "left_semi").withColumns({"dt": F.lit(None).cast("bigint"), "dl": F.lit(None).cast("bigint")}), "open")
+    none = F.struct(F.lit(-(1 << 62)).cast("bigint").alias("m"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("r"))
+    met = edges.join(known, ["conv_id", "needs"], "left_semi").join(calls.select("conv_id", "id", F.col("turn").cast("bigint").alias("turn")), ["conv_id", "id"])
+    open_ = stored(met.select("conv_id", "id", "turn", "needs", none.alias("way"), F.lit(None).cast("bigint").alias("dt"), F.lit(None).cast("bigint").alias("dl")), "open")
     waiting = open_.select("conv_id", "id").distinct()
-    new = stored(calls.join(waiting, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.col("turn").alias("order_turn"), F.lit(0).cast("bigint").alias("level")), "settled")
+    new = stored(calls.join(waiting, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.col("turn").cast("bigint").alias("order_turn"), F.lit(0).cast("bigint").alias("level")), "settled")
     settled = new
     while True:
         done = new.select("conv_id", F.col("id").alias("needs"), F.col("order_turn").alias("t"), F.col("level").alias("l"))
-        told = open_.join(done, ["conv_id", "needs"], "left").select("conv_id", "id", "needs", F.coalesce("dt", "t").alias("dt"), F.coalesce("dl", "l").alias("dl"))
+        late = F.col("t") >= F.col("way.m")
+        told = open_.join(done, ["conv_id", "needs"], "left").select(
+            "conv_id", "id", "turn", "needs", "way", F.coalesce("dt", F.when(F.col("t").isNotNull(), F.greatest("t", "way.m"))).alias("dt"), F.coalesce("dl", F.when(late, F.col("l") + F.col("way.k")).when(F.col("t").isNotNull(), F.col("way.r"))).alias("dl")
+        )
         told = stored(told, "open")
-        ready = told.groupBy("conv_id", "id").agg(F.count_if(F.col("dt").isNull()).alias("left"), F.max(F.struct("dt", "dl")).alias("d")).where(F.col("left") == 0)
-        late = F.col("d.dt") >= F.col("turn")
-        new = ready.join(calls, ["conv_id", "id"]).select("conv_id", "id", F.when(late, F.col("d.dt")).otherwise(F.col("turn")).alias("order_turn"), F.when(late, F.col("d.dl") + 1).otherwise(0).alias("level"))
-        new = stored(new, "settled")
+        ready = told.groupBy("conv_id", "id", "turn").agg(F.count_if(F.col("dt").isNull()).alias("left"), F.max(F.struct("dt", "dl")).alias("d")).where(F.col("left") == 0)
+        behind = F.col("d.dt") >= F.col("turn")
+        new = stored(ready.select("conv_id", "id", F.when(behind, F.col("d.dt")).otherwise(F.col("turn")).alias("order_turn"), F.when(behind, F.col("d.dl") + 1).otherwise(0).alias("level")), "settled")
         discard(open_)
-        open_ = stored(told.join(new, ["conv_id", "id"], "left_anti"), "open")
+        rest = told.join(new, ["conv_id", "id"], "left_anti")
+        own = F.struct(F.col("turn").alias("m"), F.lit(1).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("r"))
+        alone = rest.groupBy("conv_id", "id").agg(F.count("*").alias("n"), F.count("dt").alias("told"), F.any_value("needs").alias("on"), F.any_value(then(F.col("way"), own)).alias("by")).where("n = 1 and told = 0")
+        on = rest.join(alone.select("conv_id", F.col("id").alias("needs"), "on", "by"), ["conv_id", "needs"], "left")
+        jump = F.col("on").isNotNull() & F.col("dt").isNull()
+        open_ = stored(on.select("conv_id", "id", "turn", F.when(jump, F.col("on")).otherwise(F.col("needs")).alias("needs"), F.when(jump, then(F.col("by"), F.col("way"))).otherwise(F.col("way")).alias("way"), "dt", "dl"), "open")
         discard(told)
         if not rows_of(new):
             break
         settled = settled.union(new)
-    circle = calls.join(open_.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_semi").select("conv_id", "id", F.col("turn").alias("order_turn"), F.lit(0).cast("bigint").alias("level"), F.lit(True).alias("cycle"))
+    circle = calls.join(open_.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_semi").select("conv_id", "id", F.col("turn").cast("bigint").alias("order_turn"), F.lit(0).cast("bigint").alias("level"), F.lit(True).alias("cycle"))
     return settled.withColumn("cycle", F.lit(False)).union(circle)
 
 
