@@ -16,13 +16,56 @@ from .timeseries import scored as scored_view
 QUERIES: Queries = {}
 
 
-@query(QUERIES)
+def composite_sql(moments: str, final: str) -> str:
+    """moments: common table expressions up to c (id, n, mean, cov as lists); final: the select over p (id, n, mean, sd, vector, top, n_signal).
+
+    The leading eigenvector by squaring the correlation matrix again and again, how many eigenvalues pass the bound by the signs of
+    the pivots of the matrix less the bound (Sylvester's law of inertia).
+    """
+    k = len(flow.FEATURES)
+    at = lambda m, i, j: f"{m}[({i}) * {k} + ({j}) + 1]"
+    return f"""WITH RECURSIVE {moments},
+d AS (SELECT *, list_transform(range({k}), lambda i: CASE WHEN {at("cov", "i", "i")} > 0 THEN sqrt({at("cov", "i", "i")}) ELSE 1 END) AS sd FROM c),
+r AS MATERIALIZED (SELECT *, list_transform(range({k * k}), lambda q: CASE WHEN q // {k} = q % {k} THEN 1.0::DOUBLE ELSE cov[q + 1] / sd[q // {k} + 1] / sd[q % {k} + 1] END) AS corr, (1 + sqrt({k}.0::DOUBLE / n)) ** 2 AS bound FROM d),
+sq(id, step, m) AS (
+  SELECT id, 0, corr FROM r
+  UNION ALL SELECT id, step + 1, list_transform(m2, lambda x: x / list_max(list_transform(m2, lambda y: abs(y)))) FROM (
+    SELECT id, step, list_transform(range({k * k}), lambda q: list_sum(list_transform(range({k}), lambda l: {at("m", f"q // {k}", "l")} * {at("m", "l", f"q % {k}")}))) AS m2 FROM sq WHERE step < 24)),
+v0 AS (SELECT id, list_transform(range({k}), lambda i: {at("m", "i", f"list_position(list_transform(range({k}), lambda j: {at('m', 'j', 'j')}), list_max(list_transform(range({k}), lambda j: {at('m', 'j', 'j')}))) - 1")}) AS v FROM sq WHERE step = 24),
+v1 AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y))) * CASE WHEN list_sum(v) < 0 THEN -1 ELSE 1 END) AS vector FROM v0),
+el(id, step, m, passed) AS (
+  SELECT id, 0, list_transform(range({k * k}), lambda q: corr[q + 1] - CASE WHEN q // {k} = q % {k} THEN bound ELSE 0 END), 0 FROM r
+  UNION ALL SELECT id, step + 1, list_transform(range({k * k}), lambda q: CASE WHEN q // {k} > step AND q % {k} > step THEN m[q + 1] - {at("m", f"q // {k}", "step")} * {at("m", "step", f"q % {k}")} / {at("m", "step", "step")} ELSE m[q + 1] END),
+    passed + ({at("m", "step", "step")} > 0)::INT FROM el WHERE step < {k}),
+p AS (SELECT r.id, n, mean, sd, bound, vector, greatest(1, passed)::INT AS n_signal, list_sum(list_transform(range({k * k}), lambda q: vector[q // {k} + 1] * corr[q + 1] * vector[q % {k} + 1])) AS top
+  FROM r JOIN v1 USING (id) JOIN (SELECT id, passed FROM el WHERE step = {k}) e USING (id))
+{final}"""
+
+
+def _lists(over: str) -> str:
+    f = flow.FEATURES
+    return f"[{', '.join(f'avg({c}){over}' for c in f)}] AS mean, [{', '.join(f'covar_pop({a}, {b}){over}' for a in f for b in f)}] AS cov"
+
+
+_PROJECTED = "list_sum(list_transform(range(8), lambda i: (x[i + 1] - mean[i + 1]) / sd[i + 1] * vector[i + 1]))"
+_X = f"[{', '.join(flow.FEATURES)}] AS x"
+COMPOSITE = composite_sql(
+    f"{V.FLOW}, c AS (SELECT series_id AS id, count(*) AS n, {_lists('')} FROM features GROUP BY series_id)",
+    f"SELECT series_id, ts, round({_PROJECTED}, 6) + 0 AS composite, round(bound, 6) + 0 AS mp_upper, n_signal FROM (SELECT series_id, ts, {_X} FROM features) f JOIN p ON p.id = f.series_id",
+)
+CAUSAL = composite_sql(
+    f"{V.FLOW}, c AS (SELECT * FROM (SELECT bar_idx AS id, bar_idx + 1 AS n, {_lists(' OVER w')} FROM features WINDOW w AS (PARTITION BY series_id ORDER BY bar_idx ROWS UNBOUNDED PRECEDING)) WHERE n >= 60)",
+    f"SELECT series_id, ts, round({_PROJECTED}, 6) + 0 AS composite, round(top, 6) + 0 AS top_eigenvalue, coalesce(n_signal, 0) AS n_signal FROM (SELECT series_id, ts, bar_idx, {_X} FROM features) f LEFT JOIN p ON p.id = f.bar_idx",
+)
+
+
+@query(QUERIES, COMPOSITE)
 def mp_composite(spark, d) -> DataFrame:
     df = flow.whole_composite(V.flow_features(spark, d))
     return rounded(df.select("series_id", "ts", "composite", "mp_upper", "n_signal"), 6)
 
 
-@query(QUERIES)
+@query(QUERIES, CAUSAL)
 def mp_composite_causal(spark, d) -> DataFrame:
     df = flow.causal_composite(V.flow_features(spark, d).select("series_id", "ts", "bar_idx", *flow.FEATURES))
     return rounded(df.select("series_id", "ts", "composite", "top_eigenvalue", "n_signal"), 6)
