@@ -27,5 +27,5 @@ def test_empty_corpus(spark, data, none):
 
 def test_queries_are_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(names)
