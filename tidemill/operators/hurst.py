@@ -1,4 +1,4 @@
-"""Detrended fluctuation analysis as relations: boxes are exploded, segments are regressions, the exponent a slope of logs."""
+"""Detrended fluctuation analysis: of windows as relations (boxes are exploded, segments are regressions), of whole series and their resamples in stretches."""
 from __future__ import annotations
 
 import hashlib
@@ -10,13 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEYS, ORDER, nan_as_null, spread
+from ..functions.frames import KEYS, ORDER, spread
+from . import stretched
 
 LEAST_BOX, BOXES, WINDOW, RESAMPLES, CONFIDENCE = 10, 15, 252, 200, 0.95
 
 
 def profile(df: DataFrame, returns: str, keys: Sequence[str], order: str = ORDER) -> DataFrame:
-    """keys, i (from 0), n, y: the running sum of returns less their mean; null returns do not count."""
+    """keys, i (from 0), n, y: the running sum of returns less their mean; null returns do not count. For windows: a task has all rows of a key."""
     rows = df.where(F.col(returns).isNotNull())
     every, by = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(order)
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
@@ -43,8 +44,8 @@ def exponent(f: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def dfa(df: DataFrame, returns: str = "log_return", keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:
-    """keys, hurst, intercept, boxes."""
-    return exponent(fluctuations(profile(df, returns, keys, order), keys), keys)
+    """keys, hurst, intercept, boxes of whole series, each in stretches."""
+    return exponent(stretched.fluctuations(df, returns, keys, order, 0, LEAST_BOX, BOXES)[0], keys)
 
 
 def windows_of(df: DataFrame, returns: str, window: int, step: int, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -60,7 +61,7 @@ def windows_of(df: DataFrame, returns: str, window: int, step: int, keys: Sequen
 def rolling_dfa(df: DataFrame, returns: str = "log_return", window: int = WINDOW, step: int = 1, keys: Sequence[str] = KEYS) -> DataFrame:
     """keys, end_bar, hurst of every ``step``-th full window."""
     own = [*keys, "end_bar"]
-    return dfa(windows_of(df, returns, window, step, keys), "r", own).select(*own, "hurst")
+    return exponent(fluctuations(profile(windows_of(df, returns, window, step, keys), "r", own), own), own).select(*own, "hurst")
 
 
 def rolling_exponent(df: DataFrame, returns: str = "log_return", window: int = WINDOW, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -85,9 +86,8 @@ def dfa_many(rows: np.ndarray, least: int = LEAST_BOX, boxes: int = BOXES) -> np
     """Exponents of many series of one length at once (one a row)."""
     n = rows.shape[1]
     y = np.cumsum(rows - rows.mean(axis=1, keepdims=True), axis=1)
-    sizes = np.unique(np.rint(10 ** np.linspace(np.log10(least), np.log10(n // 4), boxes)).astype(int))
     logs, f = [], []
-    for b in sizes[(sizes >= 4) & (n // np.maximum(sizes, 1) >= 2)]:
+    for b in stretched.box_sizes(n, least, boxes):
         k, t = n // b, np.arange(b) - (b - 1) / 2
         both = np.concatenate([y[:, : k * b].reshape(len(y), k, b), y[:, n - k * b :].reshape(len(y), k, b)], axis=1)
         both = both - both.mean(axis=2, keepdims=True)
@@ -109,22 +109,12 @@ def pieced_series(values: np.ndarray, resample: int) -> np.ndarray:
 def series_interval(df: DataFrame, returns: str = "log_return", resamples: int = RESAMPLES, keys: Sequence[str] = KEYS, order: str = ORDER, confidence: float = CONFIDENCE, least: int = 40) -> DataFrame:
     """keys, hurst, ci_low, ci_high, resamples: the exponent of each whole series and the percentile interval of its block bootstrap.
 
-    Null returns do not count; a series shorter than ``least`` has nulls and 0 resamples. A resample is a task's work of its own, so
-    one series spreads over the cluster.
+    Null returns do not count; a series shorter than ``least`` has nulls and 0 resamples, and a constant one has no exponent.
+    Tasks work on stretches of a series or of a resample (``stretched``), so one series spreads over the cluster.
     """
-    rows = df.where(F.col(returns).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(returns).alias("r")))).alias("rows"))
-    each = rows.select(*keys, F.col("rows.r").alias("w"), F.explode(F.sequence(F.lit(-1), F.lit(resamples - 1))).alias("resample"))
-
-    @F.pandas_udf("double")
-    def found(windows: pd.Series, which: pd.Series) -> pd.Series:
-        out = []
-        for w, k in zip(windows, which):
-            w = np.asarray(w, np.float64)
-            out.append(None if len(w) < least else float(dfa_many((w if k < 0 else pieced_series(w, k))[None])[0]))
-        return pd.Series(out, dtype="float64")
-
-    each = spread(each, *keys, "resample").select(*keys, "resample", nan_as_null(found("w", "resample")).alias("h"))
-    own, drawn = F.when(F.col("resample") < 0, F.col("h")), F.when(F.col("resample") >= 0, F.col("h"))
+    f, series = stretched.fluctuations(df, returns, keys, order, resamples, LEAST_BOX, BOXES, least)
+    each = exponent(f, [*keys, "resample"]).unionByName(series.select(*keys), allowMissingColumns=True)
+    own, drawn = F.when(F.col("resample") < 0, F.col("hurst")), F.when(F.col("resample") >= 0, F.col("hurst"))
     tail = (1 - confidence) / 2
     return each.groupBy(*keys).agg(F.max(own).alias("hurst"), F.percentile(drawn, F.lit(tail)).alias("ci_low"), F.percentile(drawn, F.lit(1 - tail)).alias("ci_high"), F.count(drawn).alias("resamples"))
 
