@@ -26,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fanout, new_path, trimmed, vocabulary
+from ..functions.prefix import running
+from .common import bounded_batches, fanout, in_worker, new_path, stored, trimmed, vocabulary
 from .encoding import encoder, texts_of
 
 MAGIC = b"TMTOK02\n"
@@ -34,6 +35,7 @@ _TRAILER = struct.Struct("<qqqqqqq8s")  # where the footer begins, bytes an id,
 #: Bytes of text a shard is made for; characters of a text by which rows of one id may be cut into shards.
 SHARD_BYTES, CUT_CHARS = 256 << 20, 64
 GAMMA = 2  # bits a key at each level
+BOUNDS_BLOCK = 4096  # shards whose ids are added up in one task
 MAX_LEVELS = 64
 
 
@@ -177,11 +179,12 @@ def shards_for(rows: DataFrame) -> int:
     return max(fanout(rows.sparkSession), -(-size // SHARD_BYTES))
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", kind: str = "word", end_id: int = 1) -> list[dict]:
-    """Encode every whole text, append end_id, write the shards; returns the manifest: a small row for each shard, ascending.
+MANIFEST = "part int, uri string, low long, high long, ids long, records long, null_rows long"
 
-    The manifest's size follows the number of partitions, not of documents.
-    """
+
+def write_shards(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", kind: str = "word", end_id: int = 1) -> DataFrame:
+    """Encode every whole text, append end_id, write the shards; returns the manifest, a stored table: a small row for each shard
+    that holds a document, numbered in ascending order (``part``)."""
     bounded_batches(docs.sparkSession)
     path = vocabulary(tokenizer)
 
@@ -197,41 +200,59 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
         if out:
             keys = out.close()
             low, high = (int(keys[0]), int(keys[-1])) if len(keys) else (None, None)
-            found = ((part, pa.int64()), (uri, pa.string()), (low, pa.int64()), (high, pa.int64()), (out.at // out.width, pa.int64()), (len(out.counts), pa.int64()), (out.null_rows, pa.int64()))
+            found = ((part, pa.int32()), (uri, pa.string()), (low, pa.int64()), (high, pa.int64()), (out.at // out.width, pa.int64()), (len(out.counts), pa.int64()), (out.null_rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in found], ["part", "uri", "low", "high", "ids", "records", "null_rows"])
 
     key, text = F.col("k").asc_nulls_first(), F.col("t").asc_nulls_first()
     rows = docs.select(F.col("doc_id").cast("bigint").alias("k"), F.col("text").alias("t"))
     dealt = rows.repartitionByRange(shards_for(rows), key, F.substring("t", 1, CUT_CHARS).asc_nulls_first()).sortWithinPartitions(key, text)
-    rows = dealt.mapInArrow(trimmed(shard), "part long, uri string, low long, high long, ids long, records long, null_rows long").collect()
-    return [r.asDict() for r in sorted(rows, key=lambda r: r["part"])]
+    return stored(dealt.mapInArrow(trimmed(shard), MANIFEST), "manifest")
+
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", kind: str = "word", end_id: int = 1) -> list[dict]:
+    """write_shards, its manifest as a list: for callers that look at single shards of a corpus that has few."""
+    return [r.asDict() for r in write_shards(docs, folder, tokenizer, kind, end_id).orderBy("part").collect()]
+
+
+class Bounds:
+    """The manifest as arrays, read by a task from the stored table: some 100 bytes for 256 MB of input."""
+
+    def __init__(self, path: str) -> None:
+        from pyarrow import dataset
+
+        system, inner = _file_system(path)
+        rows = dataset.dataset(inner, filesystem=system, format="parquet").to_table().sort_by("part")
+        keyed, null = rows.filter(pa.compute.is_valid(rows["low"])), rows.filter(pa.compute.greater(rows["null_rows"], 0))
+        self.low, self.high = (keyed[c].to_numpy() for c in ("low", "high"))
+        self.keyed, self.null = (t.select(["part", "uri", "base"]).combine_chunks() for t in (keyed, null))
 
 
-def read_by_key(keys: DataFrame, manifest: list[dict]) -> DataFrame:
+def read_by_key(keys: DataFrame, manifest: DataFrame | list[dict]) -> DataFrame:
     """For each distinct key of keys (doc_id) the rows stored under it, found through the index.
 
-    A key's shards are found by bisecting the shards' bounds; keys meet their shard in one shuffle of the bare keys, into as
-    many tasks as there are shards. Returns doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+    A key's shards are found by bisecting the shards' bounds, which tasks read from a stored table; keys meet their shard in one
+    shuffle of the bare keys, a task a shard. Returns doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
     """
-    shards = [m for m in manifest if m["low"] is not None]
-    lows, highs, bases, total = np.array([m["low"] for m in shards], np.int64), np.array([m["high"] for m in shards], np.int64), {}, 0
-    for m in manifest:
-        bases[m["uri"]] = total
-        total += m["ids"]
-    uris = [m["uri"] for m in shards]
-    of_null = [m["uri"] for m in manifest if m["null_rows"]]
+    if isinstance(manifest, list):
+        manifest = keys.sparkSession.createDataFrame([tuple(m[c] for c in ("part", "uri", "low", "high", "ids", "records", "null_rows")) for m in manifest], MANIFEST)
+    before = running(manifest, {"upto": ("sum", F.col("ids"))}, [], "part", BOUNDS_BLOCK)
+    bounds = stored(before.withColumn("base", F.col("upto") - F.col("ids")), "shards")
+    last, path = bounds.agg(F.max("part")).first()[0], bounds._tidemill_path
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for b in batches:
-            k = b.column(0).drop_null()
-            x = k.to_numpy(zero_copy_only=False)
-            first, last = np.searchsorted(highs, x, side="left"), np.searchsorted(lows, x, side="right")
+            held = held or in_worker(("shards", path), lambda: Bounds(path))
+            x = b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            first, last = np.searchsorted(held.high, x, side="left"), np.searchsorted(held.low, x, side="right")
             times = np.maximum(last - first, 0)
             row = np.repeat(np.arange(len(x)), times)
             at = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-            yield pa.RecordBatch.from_arrays([pa.array(x[row].astype(np.int64)), pa.array([uris[i] for i in at.tolist()], pa.string())], ["doc_id", "uri"])
+            found = [(pa.array(x[row]), held.keyed.take(pa.array(at)))]
             if b.column(0).null_count:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(of_null), pa.int64()), pa.array(of_null, pa.string())], ["doc_id", "uri"])
+                found.append((pa.nulls(len(held.null), pa.int64()), held.null))
+            for own, shards in found:
+                yield from pa.Table.from_arrays([own, *shards.columns], ["doc_id", "part", "uri", "base"]).combine_chunks().to_batches()
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, Shard] = {}
@@ -242,7 +263,7 @@ def read_by_key(keys: DataFrame, manifest: list[dict]) -> DataFrame:
                         s.close()
                     open_ = {uri: Shard(uri)}
                 s, own = open_[uri], b.filter(pa.compute.equal(b.column(1), uri))
-                k = own.column(0)
+                k, base = own.column(0), own.column(2)[0].as_py()
                 found, times = s.find(k.drop_null().to_numpy(zero_copy_only=False))
                 wanted = [(None, r) for r in range(s.null_rows)] if k.null_count else []
                 wanted += [(key, r + j) for key, r, n in zip(k.drop_null().to_pylist(), found.tolist(), times.tolist()) if r >= 0 for j in range(n)]
@@ -250,16 +271,17 @@ def read_by_key(keys: DataFrame, manifest: list[dict]) -> DataFrame:
                 for at in range(0, len(wanted), 10_000):
                     some = wanted[at : at + 10_000]
                     crc = [zlib.crc32(s.ids(r).tobytes()) for _, r in some]
-                    first = [bases[uri] + int(s.first[r]) for _, r in some]
+                    first = [base + int(s.first[r]) for _, r in some]
                     count = [int(s.first[r + 1] - s.first[r]) for _, r in some]
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), *(pa.array(x, pa.int64()) for x in (first, count, crc))], ["doc_id", "start", "n_tokens", "ids_crc32"])
         for s in open_.values():
             s.close()
 
-    placed = keys.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().mapInArrow(place, "doc_id long, uri string")
-    return placed.repartition(max(1, len(manifest)), "uri").sortWithinPartitions("uri", "doc_id").mapInArrow(fetch, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    placed = keys.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().mapInArrow(place, "doc_id long, part int, uri string, base long")
+    dealt = placed.repartitionById((last or 0) + 1, "part").sortWithinPartitions("doc_id").select("doc_id", "uri", "base")
+    return dealt.mapInArrow(fetch, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files_round_trip(spark: SparkSession, docs: DataFrame, folder: str | None = None, tokenizer: str = "word_bpe_49k.json", kind: str = "word", end_id: int = 1) -> DataFrame:
     """Write the shards, then read every document of docs back by its key."""
-    return read_by_key(docs, write_token_files(docs, folder or new_path(spark, "tokens"), tokenizer, kind, end_id))
+    return read_by_key(docs, write_shards(docs, folder or new_path(spark, "tokens"), tokenizer, kind, end_id))
