@@ -7,11 +7,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from ..functions.frames import KEYS, ORDER, ordered, spread, trailing, whole
+from ..functions.frames import KEYS, ORDER, spread, trailing, whole
+from ..functions.prefix import numbered
 
 REACH = 9
 STRETCH = 4096
@@ -24,20 +27,57 @@ def weights(bandwidth: float) -> list[float]:
     return [math.exp(-0.5 * (k / bandwidth) ** 2) / math.sqrt(2 * math.pi) for k in range(math.ceil(REACH * bandwidth) + 1)]
 
 
-def _dot(values: Column, w: Column) -> Column:
-    return F.aggregate(F.zip_with(values, w, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-
-
-def _total(w: Column) -> Column:
-    return F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
+def _in_stretches(df: DataFrame, reach: int, ahead: bool, keys: Sequence[str]) -> DataFrame:
+    """Rows with their number __i in the series, in every stretch __s of STRETCH rows that lies within reach of them."""
+    rows = numbered(df, ORDER, keys, None, "__i")
+    first = F.greatest(F.lit(0), F.col("__i") - reach) if ahead else F.col("__i")
+    return rows.withColumn("__s", F.explode(F.sequence(F.floor(first / STRETCH), F.floor((F.col("__i") + reach) / STRETCH))))
+
+
+def smoothed(y: np.ndarray, w: np.ndarray, ahead: bool) -> np.ndarray:
+    """Weighted means of the rows up to each one, or of those on both sides; w: by lag from 0. rows without a value (null or NaN) are left
+    out and those beyond them move up, within a frame of as many rows as there are weights."""
+    none = np.isnan(y)
+    if not none.any():
+        around = np.concatenate([w[:0:-1], w]) if ahead else w
+        at = len(w) - 1 if ahead else 0
+        top, low = (np.convolve(x, around)[at : at + len(y)] for x in (y, np.ones(len(y))))
+        return top / low
+    out = np.full(len(y), np.nan)
+    for i in range(len(y)):
+        sides = [y[max(0, i + 1 - len(w)) : i + 1][::-1]]
+        if ahead:
+            sides = [sides[0][1:], y[i + 1 : i + len(w)]]
+        sides = [x[~np.isnan(x)] for x in sides]
+        if ahead and none[i]:
+            continue
+        top, low = (w[0] * y[i], w[0]) if ahead else (0.0, 0.0)
+        for x in sides:
+            own = w[int(ahead) : int(ahead) + len(x)]
+            top, low = top + x @ own, low + own.sum()
+        out[i] = top / low if low else np.nan
+    return out
+
+
+def _estimate(df: DataFrame, bandwidth: float, value: str, keys: Sequence[str], out: str, ahead: bool) -> DataFrame:
+    """Stretches with the rows within reach go to numpy as Arrow tables; the other columns pass through untouched."""
+    w = np.array(weights(bandwidth))
+    rest = [c for c in df.columns if c != out]
+    schema = StructType([*(df.schema[c] for c in rest), StructField(out, DoubleType())])
+    rows = _in_stretches(df.withColumn("__y", F.col(value).cast("double")), len(w) - 1, ahead, keys)
+
+    def found(part: pa.Table) -> pa.Table:
+        part = part.sort_by("__i")
+        own = pc.equal(pc.floor(pc.divide(pc.cast(part["__i"], pa.float64()), float(STRETCH))), pc.cast(part["__s"], pa.float64()))
+        x = smoothed(part["__y"].to_numpy(), w, ahead)
+        return part.select(rest).append_column(out, pa.array(x, from_pandas=True)).filter(own)
+
+    return spread(rows.select(*rest, "__y", "__i", "__s"), *keys, "__s").groupBy(*keys, "__s").applyInArrow(found, schema)
 
 
 def causal_estimate(df: DataFrame, bandwidth: float, value: str = "close", keys: Sequence[str] = KEYS, out: str = "estimate") -> DataFrame:
-    own = weights(bandwidth)
-    table = F.array(*(F.lit(x) for x in reversed(own)))
-    seen = F.collect_list(value).over(trailing(len(own), keys))
-    df = df.withColumn("__y", seen).withColumn("__w", F.slice(table, len(own) - F.size("__y") + 1, F.size("__y")))
-    return df.withColumn(out, _dot(F.col("__y"), F.col("__w")) / _total(F.col("__w"))).drop("__y", "__w")
+    """Of a row and those before it; null before the first value."""
+    return _estimate(df, bandwidth, value, keys, out, False)
 
 
 def causal_deviation(df: DataFrame, bandwidth: float, value: str = "close", keys: Sequence[str] = KEYS, window: int = 252, least: int = 20, out: str = "deviation") -> DataFrame:
@@ -48,22 +88,9 @@ def causal_deviation(df: DataFrame, bandwidth: float, value: str = "close", keys
     return df.withColumn("__sd", sd).withColumn(out, F.when(F.col("__sd") > 0, F.col("__residual") / F.col("__sd"))).drop("__estimate", "__residual", "__sd")
 
 
-def _both_sides(df: DataFrame, bandwidth: float, value: str, keys: Sequence[str]) -> tuple[DataFrame, Column, Column]:
-    """Weighted sum and weight sum over the rows within reach on both sides and the row itself."""
-    own = weights(bandwidth)
-    reach = len(own) - 1
-    forward, backward = F.array(*(F.lit(x) for x in own[1:])), F.array(*(F.lit(x) for x in reversed(own[1:])))
-    by = ordered(keys)
-    df = df.withColumn("__before", F.collect_list(value).over(by.rowsBetween(-reach, -1))).withColumn("__after", F.collect_list(value).over(by.rowsBetween(1, reach)))
-    wb, wa = F.slice(backward, reach - F.size("__before") + 1, F.size("__before")), F.slice(forward, F.lit(1), F.size("__after"))
-    top = _dot(F.col("__before"), wb) + _dot(F.col("__after"), wa)
-    low = _total(wb) + _total(wa)
-    return df, top + own[0] * F.col(value), low + own[0]
-
-
 def two_sided_estimate(df: DataFrame, bandwidth: float, value: str = "close", keys: Sequence[str] = KEYS, out: str = "estimate") -> DataFrame:
-    df, top, low = _both_sides(df, bandwidth, value, keys)
-    return df.withColumn(out, top / low).drop("__before", "__after")
+    """Of the rows on both sides and the row itself; null for a row without a value."""
+    return _estimate(df, bandwidth, value, keys, out, True)
 
 
 def two_sided_deviation(df: DataFrame, estimate: str = "estimate", value: str = "close", keys: Sequence[str] = KEYS, out: str = "signal") -> DataFrame:
@@ -80,9 +107,7 @@ def loocv(df: DataFrame, bandwidths: Sequence[float] = BANDWIDTHS, value: str =
     series is many groups, and only sums of errors meet again. A row with no weight around it has no error; null without any.
     """
     reach = math.ceil(REACH * max(bandwidths))
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__y"), (F.row_number().over(ordered(keys)) - 1).cast("bigint").alias("__i"))
-    stretch = lambda i: F.floor(i / STRETCH)
-    rows = rows.withColumn("__s", F.explode(F.sequence(stretch(F.greatest(F.lit(0), F.col("__i") - reach)), stretch(F.col("__i") + reach))))
+    rows = _in_stretches(df.where(F.col(value).isNotNull()).select(*keys, ORDER, F.col(value).cast("double").alias("__y")), reach, True, keys).drop(ORDER)
     schema = StructType([*(rows.schema[k] for k in keys), StructField("bandwidth", DoubleType()), StructField("e", DoubleType()), StructField("n", LongType())])
 
     def errors(part: pd.DataFrame) -> pd.DataFrame:
