@@ -10,7 +10,7 @@ from ..sources import synthetic
 from . import views as V
 from . import walk_forward as wf
 from .registry import Queries, query, rounded
-from .timeseries import BY, SIGNALS, level
+from .timeseries import BY, OU, SIGNALS, level
 from .timeseries import scored as scored_view
 
 QUERIES: Queries = {}
@@ -71,7 +71,16 @@ def mp_composite_causal(spark, d) -> DataFrame:
     return rounded(df.select("series_id", "ts", "composite", "top_eigenvalue", "n_signal"), 6)
 
 
-@query(QUERIES)
+#: tr: the kernel curve of each trailing window (a row a place: weights of that place times the window's levels), its last slope over the deviation of its steps.
+TREND = f"""wd AS (SELECT series_id, bar_idx, list(level) OVER (PARTITION BY series_id ORDER BY bar_idx ROWS BETWEEN {reversion.TREND_WINDOW - 1} PRECEDING AND CURRENT ROW) AS ys FROM ou),
+kn AS (SELECT n, p, list(exp(-0.5::DOUBLE * pow((p - q) / {reversion.TREND_BANDWIDTH}.0::DOUBLE, 2)) ORDER BY q) AS ws FROM range(1, {reversion.TREND_WINDOW + 1}) a(n), range({reversion.TREND_WINDOW}) b(p), range({reversion.TREND_WINDOW}) c(q) WHERE p < n AND q < n GROUP BY n, p),
+cv AS (SELECT series_id, bar_idx, n, p, list_dot_product(ys, ws) / list_sum(ws) AS curve FROM wd JOIN kn ON kn.n = len(ys)),
+st AS (SELECT *, curve - lag(curve) OVER (PARTITION BY series_id, bar_idx ORDER BY p) AS step FROM cv),
+tr AS (SELECT series_id, bar_idx, CASE WHEN stddev_pop(step) > 0 THEN regr_slope(curve, p) FILTER (p >= n - {reversion.TREND_LOOKBACK}) / stddev_pop(step) ELSE 0 END AS trend FROM st GROUP BY ALL)"""
+
+
+@query(QUERIES, f"""WITH {V.SERIES}, {OU}, {TREND} SELECT series_id, bar_idx, regime, round(CASE WHEN regime IN ('bull', 'bear') THEN tanh(trend / 2) WHEN regime = 'sideways' THEN
+CASE WHEN half_life IS NULL OR resid_std = 0 THEN 0 ELSE tanh((mu - level) / (resid_std / sqrt(2 * theta)) / 2) END END, 6) + 0 AS subsignal FROM ou JOIN tr USING (series_id, bar_idx)""")
 def ax_subsignal(spark, d) -> DataFrame:
     df = reversion.with_trend_slope(reversion.ou_fit(level(spark, d), "level", least=20), "level")
     return rounded(df.select("series_id", "bar_idx", "regime", reversion.subsignal(F.col("regime"), F.col("level")).alias("subsignal")), 6)
