@@ -2,7 +2,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import tidemill.llm.ngram_join as J
 from tests.llm.conftest import corpus
@@ -295,3 +298,27 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, **{1000 + i: 1000 for i in range(1, 40)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5])
+def test_sets_of_a_batch_against_words(k):
+    """Equal sets of shingles and no others have equal hashes, over words of all lengths and a sliced column."""
+    rng = random.Random(k)
+    texts = [None, "", " ", " A\tb ", "a B", "a", "a\0", "ab" * 32, "ab" * 32 + "c", "x " + "ab" * 40, "x " + "ab" * 40 + "\v", "caf\u00c9 caf\u00e9", "a\x1cb", "a\x85b"]
+    texts += ["".join(rng.choice("aAb\u00e9 \t\n\v\f\r\x1c") for _ in range(rng.randrange(30))) for _ in range(800)]
+    made = J.shingled(pa.array(["cut off", *texts], pa.string()).slice(1), k)
+    of, back = {}, {}
+    for i, (text, s, n, *marks) in enumerate(zip(texts, made.each(), made.sizes, *made.marks())):
+        want = frozenset(sets_of([(i, text)], k)[i])
+        assert len(want) == len(s) == n and (np.diff(s.astype(object)) > 0).all()
+        assert of.setdefault(want, (s.tobytes(), *marks)) == (s.tobytes(), *marks) and back.setdefault(s.tobytes(), want) == want
+    assert len(of) > 100 and not len(J.shingled(pa.array([], pa.string()), k).flat)
+
+
+def test_rows_of_counters_grow_with_the_tokens(spark):
+    """Three million tokens over 1,024 ranges: a row holds some thousand counters, and a batch many rows."""
+    docs = spark.range(300, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 10000), i -> concat('w', id * 10000 + i)), ' ')").alias("text"))
+    both = J.described(docs, 3, 30, 1024)
+    assert both.where("kind = 0").count() == 300
+    counters = both.where("kind = 1").select(F.count("*"), F.sum(F.octet_length("counts") / 4)).first()
+    assert counters[0] <= 1024 and 2_900_000 < counters[1] <= 300 * 9998
