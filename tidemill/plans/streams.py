@@ -37,6 +37,6 @@ def stream_bocpd(spark, d) -> DataFrame:
 sc AS (SELECT DISTINCT event_type AS series_id, 1.0::DOUBLE AS scale FROM events)"""))
 def stream_gate(spark, d) -> DataFrame:
     rows = ticks(spark, d).withColumn("bar_idx", F.col("event_id").cast("bigint")).withColumn("score", F.sin(F.col("event_id").cast("double"))).withColumn("realised", F.sin(F.col("event_id").cast("double")) + F.log1p("value") / 10)
-    out = available_now(ops.stream_gate(rows, "score", "realised", 1.0))
+    out = available_now(ops.stream_gate(rows, "score", "realised", 1.0, spark_sorts=True), sorts=True)
     infinite = F.abs("lower") == float("inf")
     return rounded(out.withColumns({c: F.when(~infinite, F.col(c)) for c in ("upper", "lower")}), 8)

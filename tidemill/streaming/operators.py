@@ -1,7 +1,11 @@
 """Streaming forms: watermarked bars, changepoints and the conformal gate. Rows of a trigger are put in event order before the
 state sees them, so a stream that is cut into triggers at any point gives what the batch operators give. The state keeps the last
-row's place: a row that arrives after one that follows it was taken is late and dropped, as behind a watermark. A trigger's rows
-of one series stand in a worker at once; the source's own limits (files or offsets a trigger) bound them."""
+row's place: a row that arrives after one that follows it was taken is late and dropped, as behind a watermark.
+
+Spark orders a trigger's rows where ``spark_sorts`` is set: the worker then holds one Arrow batch of a series, however large the
+trigger. Spark refuses sorts in streams by default (it cannot order a stream as a whole; within a trigger's partitions it can), so
+such a stream is started by ``available_now(..., sorts=True)`` or with spark.sql.streaming.unsupportedOperationCheck off. Without it
+a trigger's rows of one series stand in a worker at once, as numbers, and the source's own limits (files or offsets a trigger) bound them."""
 from __future__ import annotations
 
 import json
@@ -27,6 +31,36 @@ def in_order(parts: Iterator[pd.DataFrame], order: str, last: int | None) -> pd.
     return rows.sort_values(order, kind="stable")
 
 
+#: Rows that a model takes at once from a trigger that was sorted in the worker.
+ROWS_AT_ONCE = 10_000
+
+
+def in_steps(parts: Iterator[pd.DataFrame], order: str, columns: Sequence[str], last: int | None, spark_sorts: bool) -> Iterator[pd.DataFrame]:
+    """The rows of in_order, some thousand at a time, without their key; parts that Spark has sorted pass one by one."""
+    parts = (p[[order, *columns]] for p in parts)
+    if not spark_sorts:
+        rows = in_order(parts, order, last)
+        yield from (rows.iloc[i : i + ROWS_AT_ONCE] for i in range(0, len(rows), ROWS_AT_ONCE))
+        return
+    before = None
+    for p in parts:
+        p = p if last is None else p[p[order] > last]
+        if p.empty:
+            continue
+        at = p[order].to_numpy()
+        if pd.isna(at).any():
+            raise ValueError("a row has no place in its series")
+        if (at[1:] < at[:-1]).any() or (before is not None and at[0] < before):
+            raise RuntimeError("a trigger's rows are not in order: has the number of shuffle partitions changed since the stream's first start?")
+        before = at[-1]
+        yield p
+
+
+def by_series(rows: DataFrame, key: str, order: str, spark_sorts: bool):
+    """Groups of rows by key; the stateful operator needs the same partitions, so Spark's sort by key and place reaches it as it is."""
+    return (rows.repartition(key).sortWithinPartitions(key, order) if spark_sorts else rows).groupBy(key)
+
+
 def event_time(df: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """Watermarks need a timestamp with a zone; rows later than that are dropped and counted by the engine."""
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
@@ -40,7 +74,7 @@ def stream_bars(df: DataFrame, width: str, ts: str = "ts", value: str = "value",
     return made.select(*keys, F.col("w.start").alias("bar_ts"), "open", "high", "low", "close", "volume", "n")
 
 
-def stream_changepoints(df: DataFrame, value: str, order: str = "bar_idx", hazard: float = 0.01, k: int = 5, most: int = 500, key: str = "series_id") -> DataFrame:
+def stream_changepoints(df: DataFrame, value: str, order: str = "bar_idx", hazard: float = 0.01, k: int = 5, most: int = 500, key: str = "series_id", spark_sorts: bool = False) -> DataFrame:
     """key, bar_idx, change_prob, expected_run, map_run; the state of a series is its posterior, at most ``most`` runs."""
     Changepoints(hazard, most)
 
@@ -48,38 +82,35 @@ def stream_changepoints(df: DataFrame, value: str, order: str = "bar_idx", hazar
         model = Changepoints(hazard, most)
         if state.exists:
             model.restore(bytes(state.get[0]))
-        rows = in_order(parts, order, state.get[1] if state.exists else None)
-        if rows.empty:
-            return
-        out = [model.update(float(x), k) for x in rows[value]]
-        state.update((model.state(), int(rows[order].iloc[-1])))
-        yield pd.DataFrame({key: own[0], "bar_idx": rows[order].to_numpy(), "change_prob": [o[0] for o in out], "expected_run": [o[1] for o in out], "map_run": [o[2] for o in out]})
+        for rows in in_steps(parts, order, [value], state.get[1] if state.exists else None, spark_sorts):
+            out = [model.update(float(x), k) for x in rows[value]]
+            state.update((model.state(), int(rows[order].iloc[-1])))
+            yield pd.DataFrame({key: own[0], "bar_idx": rows[order].to_numpy(), "change_prob": [o[0] for o in out], "expected_run": [o[1] for o in out], "map_run": [o[2] for o in out]})
 
     rows = df.where(F.col(value).isNotNull()).select(key, order, F.col(value).cast("double").alias(value))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} string, bar_idx long, change_prob double, expected_run double, map_run int", "posterior binary, last long", "append", GroupStateTimeout.NoTimeout)
+    return by_series(rows, key, order, spark_sorts).applyInPandasWithState(step, f"{key} string, bar_idx long, change_prob double, expected_run double, map_run int", "posterior binary, last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_gate(df: DataFrame, score: str, realised: str, scale: float, order: str = "bar_idx", alpha: float = 0.1, warmup: int = 60, key: str = "series_id") -> DataFrame:
+def stream_gate(df: DataFrame, score: str, realised: str, scale: float, order: str = "bar_idx", alpha: float = 0.1, warmup: int = 60, key: str = "series_id", spark_sorts: bool = False) -> DataFrame:
     """key, bar_idx, action, lower, upper, covered under a scale fitted before; the state is the width and the last errors."""
     Gate(alpha, scale, warmup=warmup)
 
     def step(own: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        gate = Gate(alpha, scale, warmup=warmup)
+        gate, last = Gate(alpha, scale, warmup=warmup), None
         if state.exists:
             gate.t, gate.width, errors, last = state.get
             gate.errors = json.loads(errors)
-        rows, out = in_order(parts, order, last if state.exists else None), []
-        if rows.empty:
-            return
-        for a, b in zip(rows[score].tolist(), rows[realised].tolist()):
-            action, low, high = gate.decide(a)
-            out.append((action, low, high, low <= b <= high))
-            gate.update(a, b)
-        state.update((gate.t, gate.width, json.dumps(gate.errors), int(rows[order].iloc[-1])))
-        yield pd.DataFrame({key: own[0], "bar_idx": rows[order].to_numpy(), **pd.DataFrame(out, columns=["action", "lower", "upper", "covered"])})
+        for rows in in_steps(parts, order, [score, realised], last, spark_sorts):
+            out = []
+            for a, b in zip(rows[score].tolist(), rows[realised].tolist()):
+                action, low, high = gate.decide(a)
+                out.append((action, low, high, low <= b <= high))
+                gate.update(a, b)
+            state.update((gate.t, gate.width, json.dumps(gate.errors), int(rows[order].iloc[-1])))
+            yield pd.DataFrame({key: own[0], "bar_idx": rows[order].to_numpy(), **pd.DataFrame(out, columns=["action", "lower", "upper", "covered"])})
 
     rows = df.where(F.col(score).isNotNull() & F.col(realised).isNotNull()).select(key, order, F.col(score).cast("double").alias(score), F.col(realised).cast("double").alias(realised))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} string, bar_idx long, action string, lower double, upper double, covered boolean", "t long, width double, errors string, last long", "append", GroupStateTimeout.NoTimeout)
+    return by_series(rows, key, order, spark_sorts).applyInPandasWithState(step, f"{key} string, bar_idx long, action string, lower double, upper double, covered boolean", "t long, width double, errors string, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 GATED = "bar_idx long, action string, lower double, upper double, covered boolean, scale double"

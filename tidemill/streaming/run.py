@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,10 +18,25 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def available_now(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Process everything the source has, into Parquet, and read it back."""
+@contextmanager
+def sorts_allowed(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside may sort within the partitions of a trigger; Spark looks at that when they start."""
+    key = "spark.sql.streaming.unsupportedOperationCheck"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def available_now(df: DataFrame, mode: str = "append", sorts: bool = False) -> DataFrame:
+    """Process everything the source has, into Parquet, and read it back. sorts: the stream sorts within its triggers."""
     base = folder(df.sparkSession)
-    df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    writer = df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True)
+    with sorts_allowed(df.sparkSession) if sorts else nullcontext():
+        query = writer.start()
+    query.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(f"{base}/out")
 
 
