@@ -30,7 +30,7 @@ BY = "PARTITION BY event_type ORDER BY event_id"
 @query(QUERIES, bocpd_sql(f"x AS MATERIALIZED (SELECT event_type AS series_id, event_id AS bar_idx, ln(1 + value) AS x, row_number() OVER ({BY}) AS t FROM events)", False))
 def stream_bocpd(spark, d) -> DataFrame:
     rows = ticks(spark, d).withColumn("bar_idx", F.col("event_id").cast("bigint")).withColumn("z", F.log1p("value"))
-    return rounded(available_now(ops.stream_changepoints(rows, "z")), 6)
+    return rounded(available_now(ops.stream_changepoints(rows, "z", spark_sorts=True), sorts=True), 6)
 
 
 @query(QUERIES, gate_sql(f"""g AS (SELECT event_type AS series_id, event_id AS bar_idx, sin(event_id::DOUBLE) AS s, sin(event_id::DOUBLE) + ln(1 + value) / 10 AS r, row_number() OVER ({BY}) AS t FROM events),
