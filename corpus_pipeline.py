@@ -40,7 +40,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the mix at their places in sequences of at most 2048 tokens."""
-    return pack(docs, cache_entries=150_000)  # a worker that other stages have used already has less to spare
+    return pack(docs, cache_entries=75_000)  # a worker that other stages have used already has less to spare
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
